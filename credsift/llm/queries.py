@@ -6,12 +6,19 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, simhash
+from . import bpe, decontaminate, secret_scan, simhash
 from .common import table
 
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 
 
+def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A document's source stands for the owner, source and language for the repository."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source", "lang")
+    found = secret_scan.scan(docs, "text", F.concat_ws("/", "source", "lang"), F.col("source"), ["doc_id"])
+    return secret_scan.report(found).drop("found", "text_hash")
+
+
 def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     ids = bpe.encode(docs, RANKS, public_tokenizers.PATTERN).select("doc_id", "ids")
@@ -24,9 +31,14 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("print"), 16, "0")).alias("fingerprint"), F.col("component").alias("component_id"))
 
 
+def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.hits(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark").select("item_id", "text"))
+    return found.select(F.col("id").alias("doc_id"), F.col("item").alias("item_id"), "coverage", "slots", "consistency", F.col("same").alias("verbatim"))
+
+
 def queries() -> dict:
     return {k: f for k, f in globals().items() if k.startswith("op") and callable(f)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op2_secret_scan": secret_scan.SQL, "op8_decontaminate": decontaminate.SQL}
