@@ -6,12 +6,19 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, secret_scan, simhash
-from .common import table
+from . import ann, bpe, decontaminate, language_id, quality, secret_scan, simhash, token_count, toxicity
+from .common import held_out, table
 
+WORDS = public_tokenizers.path("word_bpe_49k.json")
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 
 
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    network = language_id.train(docs)
+    return language_id.identify(docs.select("doc_id", "text"), network).select("doc_id", held_out("doc_id").alias("held_out"), "lang_pred", "score")
+
+
 def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A document's source stands for the owner, source and language for the repository."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source", "lang")
@@ -31,11 +38,36 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("print"), 16, "0")).alias("fingerprint"), F.col("component").alias("component_id"))
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.train(docs, table(spark, sf_dir, "labels"))
+    scored = docs.select("doc_id", held_out("doc_id").alias("held_out"), toxicity.score(spark, model, F.col("text")).alias("score"))
+    return scored.withColumn("predicted", (F.col("score") >= toxicity.THRESHOLD).cast("int"))
+
+
+def op7_token_count(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", token_count.counts(WORDS, F.col("text")).alias("n"))
+    return docs.select("doc_id", F.col("n.tokens").alias("n_tokens"), F.col("n.words").alias("n_words"))
+
+
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.hits(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark").select("item_id", "text"))
     return found.select(F.col("id").alias("doc_id"), F.col("item").alias("item_id"), "coverage", "slots", "consistency", F.col("same").alias("verbatim"))
 
 
+def op9_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.search(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+
+
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Grades: 0 is poor, 1 well written but toxic, 2 well written and civil. Selected is what is probably 1 or more."""
+    docs, labels = table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels")
+    rated = labels.where("quality in (0, 1)").select("doc_id", F.when(F.col("quality") == 0, 0).when(F.col("toxic") == 1, 1).otherwise(2).alias("grade"))
+    model = quality.train(docs, rated)
+    graded = docs.select("doc_id", held_out("doc_id").alias("held_out"), quality.grade(spark, model, F.col("text"), 1).alias("g"))
+    return graded.select("doc_id", "held_out", F.col("g.expected").alias("expected_grade"), F.col("g.tail").alias("tail"), (F.col("g.tail") >= 0.5).alias("selected"))
+
+
 def queries() -> dict:
     return {k: f for k, f in globals().items() if k.startswith("op") and callable(f)}
 
