@@ -1,8 +1,8 @@
 """Toxicity by class-conditional Kneser-Ney models.
 
-A word-bigram model of toxic and one of ordinary texts, with modified Kneser-Ney discounts, back off to continuation counts
-of the class and then to those that both classes share; words that neither has seen are spelled out by character models
-of the same kind. A text's evidence is its length-normalised difference of log-likelihoods, and that of its three most telling
+Word and word-pair models of toxic and of ordinary texts, with modified Kneser-Ney discounts, back off to counts that both
+classes share, so a rare expression says little until its counts differ; words that neither has seen are judged by
+character models of the same kind. A text's evidence is its length-normalised difference of log-likelihoods, and that of its three most telling
 words, so that a long text isn't acquitted for being long. A logistic function, fitted on texts whose counts
 weren't used, turns both into a score.
 
@@ -13,7 +13,9 @@ aren't learned from; if a class has no rows every score is 0; repeated rows, emp
 from __future__ import annotations
 
 import re
+import zlib
 from collections import Counter
+from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
@@ -25,7 +27,11 @@ from . import common
 #: Bounds of the training sample: rows of each class, characters of a row.
 TRAIN_ROWS, TRAIN_CHARS = 2500, 20_000
 THRESHOLD = 0.7
-ORDER = 5
+ORDER, EVIDENCE, FOLDS = 5, 6, 3
+#: Words before which a word must have been seen, in number and against the texts; rarer ones are left to the shared counts.
+SEEN, SEEN_SHARE = 4, 0.003
+#: A training text with at least this share of word pairs in earlier ones is a copy, and would count as evidence twice.
+COPIED = 0.5
 #: Unseen words that a worker remembers.
 REMEMBERED = 1 << 18
 WORD = re.compile(r"\w+")
@@ -35,6 +41,12 @@ def words(text: str | None) -> list[str]:
     return WORD.findall((text or "").lower())
 
 
+def spelled(word: str) -> list[str]:
+    """Runs of ORDER characters of a word, its first 64 characters, between marks."""
+    marked = "^" * (ORDER - 1) + word[:64] + "$"
+    return [marked[i : i + ORDER] for i in range(len(marked) - ORDER + 1)]
+
+
 def discounts(counts: np.ndarray) -> np.ndarray:
     """Discounts of counts 0, 1, 2 and 3 or more, from the counts of counts."""
     n = np.bincount(np.minimum(counts, 5), minlength=6)[1:5] + 1.0
@@ -42,143 +54,115 @@ def discounts(counts: np.ndarray) -> np.ndarray:
     return np.array([0, *(np.clip(k - (k + 1) * y * n[k] / n[k - 1], 0.1 * k, 0.98 * k) for k in (1, 2, 3))])
 
 
-class Spelling:
-    """Character models of two classes: orders 3 to ORDER by class, below that shared."""
-
-    def __init__(self, tallies: list[Counter]):
-        self.grams: list[dict[str, float]] = []
-        self.context: list[dict[str, tuple[float, float]]] = []
-        for tally in tallies:
-            grams = Counter()
-            for word, count in tally.items():
-                spelled = "^" * (ORDER - 1) + word + "$"
-                for i in range(ORDER - 1, len(spelled)):
-                    grams[spelled[i - ORDER + 1 : i + 1]] += count
-            self.add(grams)
-        shared = Counter()
-        for own in self.grams:
-            for gram, count in own.items():
-                if len(gram) == 2:
-                    shared[gram] += count
-        total, single = Counter(), Counter()
-        for gram, count in shared.items():
-            total[gram[0]] += count
-            single[gram[1]] += 1
-        self.pairs, self.totals = shared, total
-        every = sum(single.values()) or 1
-        self.singles = {c: n / (every + 1) for c, n in single.items()}
-        self.rest = 1 / (every + 1) / 256
-
-    def add(self, grams: Counter) -> None:
-        """Counts of all orders of one class: the highest as they are, lower ones by distinct left neighbours."""
-        level, every, context = grams, {}, {}
-        for size in range(ORDER, 1, -1):
-            d = discounts(np.fromiter(level.values(), np.int64, len(level)))
-            total, held = Counter(), Counter()
-            for gram, count in level.items():
-                cut = d[min(count, 3)]
-                every[gram] = count - cut if size > 2 else count
-                total[gram[:-1]] += count
-                held[gram[:-1]] += cut
-            if size > 2:
-                context |= {c: (1 / n, held[c] / n) for c, n in total.items()}
-            level = Counter(gram[1:] for gram in level)
-        self.grams.append(every)
-        self.context.append(context)
-
-    def log_ratio(self, word: str) -> float:
-        spelled = "^" * (ORDER - 1) + word[:64] + "$"
-        out = 0.0
-        for i in range(ORDER - 1, len(spelled)):
-            pair = spelled[i - 1 : i + 1]
-            n = self.totals.get(pair[0], 0)
-            base = self.singles.get(pair[1], self.rest)
-            base = (self.pairs.get(pair, 0) + 4 * base) / (n + 4)
-            p = [base, base]
-            for c in (0, 1):
-                grams, context = self.grams[c], self.context[c]
-                for size in range(3, ORDER + 1):
-                    scale = context.get(spelled[i - size + 1 : i])
-                    if scale is None:
-                        break
-                    p[c] = grams.get(spelled[i - size + 1 : i + 1], 0.0) * scale[0] + scale[1] * p[c]
-            out += np.log(p[1] / p[0])
-        return float(out)
+def against_shared(keys: list[np.ndarray], counts: list[np.ndarray], contexts: list[np.ndarray], size: int, shared_below: Callable) -> tuple[np.ndarray, np.ndarray]:
+    """Expressions that either class has, and the log ratio of their probabilities, class 1 to class 0, given their contexts.
+
+    Each class discounts its own counts and backs off to the shared model of the same order, which is the discounted pooled count
+    backed off to shared_below(expressions). So what only one text of one class has says little.
+    """
+    every = np.union1d(*keys)
+    context = np.zeros(len(every), np.int64)
+    own = []
+    for k, n, c in zip(keys, counts, contexts, strict=True):
+        at = np.searchsorted(every, k)
+        context[at] = c
+        full = np.zeros(len(every), np.int64)
+        full[at] = n
+        own.append(full)
+    pooled = own[0] + own[1]
+
+    def interpolated(n: np.ndarray, below: np.ndarray) -> np.ndarray:
+        cut = discounts(n[n > 0])[np.minimum(n, 3)]
+        total, held = np.bincount(context, n, size)[context], np.bincount(context, cut, size)[context]
+        return np.where(total > 0, (n - cut + held * below) / np.maximum(total, 1), below)
+
+    shared = interpolated(pooled, shared_below(every))
+    return every, np.log(interpolated(own[1], shared) / interpolated(own[0], shared)).astype(np.float32)
 
 
 class Model:
-    """Log-likelihood differences, toxic less ordinary. Class 0 is ordinary."""
+    """Log-likelihood differences, toxic less ordinary. Class 0 is ordinary.
+
+    A position's difference is that of its word by continuation counts (by its spelling if neither class has the word) plus that
+    of its word after the word before.
+    """
 
     def __init__(self, texts: list[list[str]], labels: np.ndarray):
         self.index = {w: i for i, w in enumerate(dict.fromkeys(w for t in texts for w in t))}
         size = self.size = len(self.index) + 1  # the last id starts a text
-        tallies, pairs = [], []
+        pairs, tallies = [], []
         for c in (0, 1):
             own = [t for t, y in zip(texts, labels, strict=True) if y == c]
             ids = [np.array([size - 1, *map(self.index.__getitem__, t)], np.int64) for t in own]
-            tallies.append(Counter(w for t in own for w in t))
-            keys = np.concatenate([i[:-1] * size + i[1:] for i in ids] or [np.zeros(0, np.int64)])
-            pairs.append(np.unique(keys, return_counts=True))
-        continuation = [np.bincount(k % size, minlength=size).astype(np.int64) for k, _ in pairs]
-        pooled = continuation[0] + continuation[1]
-        shared = (pooled + 0.5) / (pooled.sum() + 0.5 * size)
-        unigram, weight = [], []
-        for c in (0, 1):
-            n = continuation[c]
-            cut = discounts(n[n > 0])[np.minimum(n, 3)]
-            unigram.append((n - cut + cut.sum() * shared) / max(1, n.sum()))
-        every = np.union1d(pairs[0][0], pairs[1][0])
-        seen = []
-        for c in (0, 1):
-            keys, counts = pairs[c]
-            cut = discounts(counts)[np.minimum(counts, 3)]
-            total = np.bincount(keys // size, counts, size)
-            held = np.bincount(keys // size, cut, size)
-            lam = np.where(total > 0, held / np.maximum(total, 1), 1.0)
-            got = np.zeros(len(every))
-            got[np.searchsorted(every, keys)] = counts - cut
-            seen.append(got / np.maximum(total, 1)[every // size] + lam[every // size] * unigram[c][every % size])
-            weight.append(lam)
-        self.pairs, self.pair_ratio = every, np.log(seen[1] / seen[0]).astype(np.float32)
-        self.unigram = np.log(unigram[1] / unigram[0]).astype(np.float32)
-        self.weight = np.log(np.maximum(weight[1], 1e-9) / np.maximum(weight[0], 1e-9)).astype(np.float32)
-        self.spelling = Spelling(tallies)
+            pairs.append(np.unique(np.concatenate([i[:-1] * size + i[1:] for i in ids] or [np.zeros(0, np.int64)]), return_counts=True))
+            tallies.append(np.bincount(np.concatenate([i[1:] for i in ids] or [np.zeros(0, np.int64)]), minlength=size))
+        follows = [np.bincount(k % size, minlength=size).astype(np.int64) for k, _ in pairs]
+        present = [np.flatnonzero(f) for f in follows]
+        words, ratio = against_shared(present, [f[p] for f, p in zip(follows, present, strict=True)], [np.zeros(len(p), np.int64) for p in present], 1, lambda e: np.full(len(e), 1 / size))
+        self.word_ratio = np.zeros(size, np.float32)
+        both = follows[0] + follows[1]
+        self.word_ratio[words] = np.where(both[words] >= max(SEEN, SEEN_SHARE * len(texts)), ratio, 0)
+        once = (both + 0.5) / (both.sum() + 0.5 * size)
+        self.pairs, self.pair_ratio = against_shared([k for k, _ in pairs], [n for _, n in pairs], [k // size for k, _ in pairs], size, lambda e: once[e % size])
+        self.spell(tallies)
         self.unseen: dict[str, float] = {}
-        self.logit = np.zeros(4)
+        self.logit = np.zeros(EVIDENCE)
 
-    def ratios(self, text: list[str]) -> np.ndarray:
-        """Of each word."""
-        ids = np.fromiter((self.index.get(w, -1) for w in text), np.int64, len(text))
+    def spell(self, tallies: list[np.ndarray]) -> None:
+        """Log ratios of runs of ORDER characters, within words, by the counts of the words."""
+        names, grams = list(self.index), [Counter(), Counter()]
+        for c in (0, 1):
+            for i in np.flatnonzero(tallies[c]).tolist():
+                n = int(tallies[c][i])
+                for g in spelled(names[i]):
+                    grams[c][g] += n
+        index = {g: i for i, g in enumerate(dict.fromkeys([*grams[0], *grams[1]]))}
+        before = {g: i for i, g in enumerate(dict.fromkeys(g[:-1] for g in index))}
+        of = np.fromiter((before[g[:-1]] for g in index), np.int64, len(index))
+        last = Counter(g[-1] for g in index)
+        below = np.fromiter((last[g[-1]] for g in index), float, len(index)) / max(1, len(index))
+        keys = [np.sort(np.fromiter((index[g] for g in t), np.int64, len(t))) for t in grams]
+        names = list(index)
+        counts = [np.fromiter((t[names[k]] for k in own.tolist()), np.int64, len(own)) for t, own in zip(grams, keys, strict=True)]
+        every, ratio = against_shared(keys, counts, [of[k] for k in keys], max(1, len(before)), lambda e: below[e])
+        self.spelling = {names[k]: float(r) for k, r in zip(every.tolist(), ratio, strict=True) if abs(r) > 0.01}
+
+    def ratios(self, text: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of each position; of the seen words alone, without their pairs; of the unseen ones."""
+        ids = np.array([self.index.get(w, -1) for w in text], np.int64)
         before = np.concatenate(([self.size - 1], ids[:-1]))
         known = ids >= 0
-        out = np.where(known, self.unigram[ids] + np.where(before >= 0, self.weight[before], 0), 0)
-        both = known & (before >= 0)
-        keys = np.where(both, before * self.size + ids, -1)
+        alone = np.where(known, self.word_ratio[ids], np.float32(0))
+        keys = np.where(known & (before >= 0), before * self.size + ids, -1)
         at = np.minimum(np.searchsorted(self.pairs, keys), len(self.pairs) - 1)
-        out = np.where(self.pairs[at] == keys, self.pair_ratio[at], out)
+        out = alone + np.where(self.pairs[at] == keys, self.pair_ratio[at], np.float32(0))
         for i in np.flatnonzero(~known).tolist():
             w = text[i]
             r = self.unseen.get(w)
             if r is None:
                 if len(self.unseen) > REMEMBERED:
                     self.unseen.clear()
-                r = self.unseen[w] = self.spelling.log_ratio(w)
+                get = self.spelling.get
+                r = self.unseen[w] = sum([get(g, 0.0) for g in spelled(w)])
             out[i] = r
-        return out
+        return out, alone[known], out[~known]
 
     def evidence(self, text: list[str]) -> np.ndarray:
-        """1, ten times the mean difference, and the largest and third largest (or least) of single words."""
+        """1, ten times the mean difference, the three largest of single words that were seen, the largest of others."""
         if not text:
-            return np.array([1.0, 0, 0, 0])
-        r = self.ratios(text)
-        top = np.partition(r, len(r) - min(3, len(r)))[-min(3, len(r)) :]
-        return np.array([1, 10 * r.mean(), max(0, top.max()), max(0, top.min())])
+            return np.eye(EVIDENCE)[0]
+        r, seen, spelled_out = self.ratios(text)
+        tops = []
+        for some, ranks in ((seen, (1, 2, 3)), (spelled_out, (1,))):
+            for k in ranks:
+                tops.append(max(0.0, np.partition(some, len(some) - k)[len(some) - k]) if len(some) >= k else 0.0)
+        return np.array([1, 10 * r.mean(), *tops])
 
     def score(self, text: str | None) -> float:
         return float(1 / (1 + np.exp(-np.clip(self.logit @ self.evidence(words(text)), -30, 30))))
 
 
-def fit_logit(x: np.ndarray, y: np.ndarray, ridge: float = 0.02, rounds: int = 30) -> np.ndarray:
+def fit_logit(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, rounds: int = 30) -> np.ndarray:
     """Newton's method."""
     w = np.zeros(x.shape[1])
     penalty = ridge * np.eye(x.shape[1])
@@ -190,21 +174,33 @@ def fit_logit(x: np.ndarray, y: np.ndarray, ridge: float = 0.02, rounds: int = 3
     return w
 
 
+def without_copies(texts: list[list[str]]) -> list[int]:
+    """Places of the texts that are no near copies of earlier ones, by a hashed eighth of their word pairs."""
+    seen: set[int] = set()
+    kept = []
+    for i, text in enumerate(texts):
+        some = {h for a, b in zip(text, text[1:], strict=False) if not (h := zlib.crc32(f"{a} {b}".encode("utf-8", "replace"))) & 7}
+        if len(some & seen) < COPIED * len(some) or not some:
+            seen |= some
+            kept.append(i)
+    return kept
+
+
 def fit(texts: list[str], labels: list[int]) -> Model | None:
-    """None if a class is missing. The logistic part is fitted on halves that the counts of the other half score."""
-    y = np.array(labels)
-    if len(set(labels)) < 2:
-        return None
+    """None if a class is missing. The logistic part is fitted on folds that the counts of the other folds score."""
     split = [words(t) for t in texts]
-    half = np.zeros(len(y), bool)
+    kept = without_copies(split)
+    split, y = [split[i] for i in kept], np.array([labels[i] for i in kept])
+    if len(set(y.tolist())) < 2:
+        return None
+    fold = np.zeros(len(y), int)
     for c in (0, 1):
-        half[np.flatnonzero(y == c)[::2]] = True
-    evidence = np.zeros((len(y), 4))
-    for side in (half, ~half):
-        if len(set(y[side])) < 2:
-            side = ~half | half
-        part = Model([split[i] for i in np.flatnonzero(side)], y[side])
-        for i in np.flatnonzero(~side if not side.all() else side):
+        fold[y == c] = np.arange((y == c).sum()) % FOLDS
+    evidence = np.zeros((len(y), EVIDENCE))
+    for k in range(FOLDS):
+        used = np.flatnonzero(fold != k)
+        part = Model([split[i] for i in used], y[used])
+        for i in np.flatnonzero(fold == k).tolist():
             evidence[i] = part.evidence(split[i])
     model = Model(split, y)
     model.logit = fit_logit(evidence, y.astype(float))
