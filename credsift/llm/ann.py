@@ -25,10 +25,11 @@ from pyspark.sql import functions as F
 from . import common
 
 #: Rows of the fitting sample; rows a list should have; rows of a block.
-TRAIN_ROWS, LIST_ROWS, BLOCK_ROWS = 10_000, 400, 20_000
+TRAIN_ROWS, LIST_ROWS, BLOCK_ROWS = 10_000, 1600, 20_000
 MAX_LISTS = 4096
-#: Share of the lists that a query probes, and how many at least.
-PROBED, LEAST_PROBED = 0.45, 24
+#: Share of the lists that a query probes, and how many at least. Vectors with little structure need most lists for recall;
+#: clustered ones do with a small share.
+PROBED, LEAST_PROBED = 0.8, 24
 ETA = 4.0
 #: Candidates a block that are reranked, in multiples of k.
 RERANK = 4
@@ -120,7 +121,7 @@ class Index:
     def probes(self, queries: np.ndarray, count: int) -> np.ndarray:
         scores = queries @ self.centroids.T
         count = min(count, scores.shape[1])
-        return np.argpartition(-scores, count - 1, axis=1)[:, :count]
+        return np.argsort(-scores, axis=1)[:, :count]
 
     def tables(self, query: np.ndarray) -> np.ndarray:
         """(bytes, 256): inner products of the query with what each byte of codes stands for."""
@@ -131,11 +132,11 @@ class Index:
         return (one[1::2, :, None] + one[::2, None, :]).reshape(len(one) // 2, 256)
 
 
-def scan_block(index: Index, own_list: int, ids: np.ndarray, vectors: np.ndarray, codes: np.ndarray, query_ids: np.ndarray, queries: np.ndarray, k: int, rerank: int):
-    """(query, id, score) of the best of one block: tables first, then the exact measure."""
+def scan_block(index: Index, ids: np.ndarray, vectors: np.ndarray, codes: np.ndarray, query_ids: np.ndarray, queries: np.ndarray, bounds: np.ndarray, k: int, rerank: int):
+    """(query, id, score) of the best of one block, of those that reach the query's bound: tables first, then the exact measure."""
     out, take = [], min(len(ids), k * rerank + 1)
     columns = np.ascontiguousarray(codes.T).astype(np.intp)
-    for qid, q in zip(query_ids, queries, strict=True):
+    for qid, q, least in zip(query_ids, queries, bounds, strict=True):
         if take < len(ids):
             table = index.tables(q.astype(np.float32))
             rough = table[0].take(columns[0])
@@ -144,8 +145,9 @@ def scan_block(index: Index, own_list: int, ids: np.ndarray, vectors: np.ndarray
             some = np.argpartition(-rough, take - 1)[:take]
         else:
             some = np.arange(len(ids))
-        some = some[ids[some] != qid]
-        exact = np.array([q @ v for v in vectors[some]]) if len(some) < 4 else (vectors[some] * q).sum(1)
+        exact = (vectors[some] * q).sum(1)
+        fine = (ids[some] != qid) & (exact >= least)
+        some, exact = some[fine], exact[fine]
         best = np.lexsort((ids[some], -exact))[:k]
         out.append((np.full(len(best), qid), ids[some][best], exact[best]))
     return [np.concatenate(x) for x in zip(*out, strict=True)]
@@ -162,7 +164,7 @@ def search(rows: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding",
         return spark.createDataFrame([], schema)
     dim, total = sizes[0]["d"], sizes[0]["count"]
     fine = fine.where(F.size("v") == dim)
-    sample = np.array([r.v for r in common.bounded_sample(fine, train_rows, "id").select("v").collect()])
+    sample = np.array([r.v for r in common.bounded_sample(fine, train_rows, "id", total).select("v").collect()])
     lists = int(min(MAX_LISTS, max(1, total // LIST_ROWS), len(sample)))
     index = spark.sparkContext.broadcast(Index(sample, lists))
     probes = min(lists, max(LEAST_PROBED, round(probed * lists)))
@@ -179,31 +181,43 @@ def search(rows: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding",
     many = F.create_map(*[F.lit(x) for key, n in blocks.items() for x in (key, n)]) if blocks else F.create_map()
     placed = stored.select("list", F.pmod(F.xxhash64("id"), F.element_at(many, F.col("list"))).cast("int").alias("block"), "id", "v", "codes")
 
-    def probing(batches):
-        for b in batches:
-            if len(b):
-                at = index.value.probes(np.stack(b["v"].to_numpy()), probes)
-                pairs = [(i, own, blk) for i, row in enumerate(at) for own in row.tolist() for blk in range(blocks.get(own, 0))]
-                if pairs:
-                    i, own, blk = map(list, zip(*pairs, strict=True))
-                    yield pd.DataFrame({"list": own, "block": blk, "q": b["id"].to_numpy()[i], "v": b["v"].to_numpy()[i]})
+    def probing(ranks: slice):
+        """Rows (list, block, q, v, least) of the queries' probes of these ranks, nearest list first."""
+
+        def probe(batches):
+            for b in batches:
+                if len(b):
+                    at = index.value.probes(np.stack(b["v"].to_numpy()), probes)[:, ranks]
+                    pairs = [(i, own, blk) for i, row in enumerate(at) for own in row.tolist() for blk in range(blocks.get(own, 0))]
+                    if pairs:
+                        i, own, blk = map(list, zip(*pairs, strict=True))
+                        yield pd.DataFrame({"list": own, "block": blk, "q": b["id"].to_numpy()[i], "v": b["v"].to_numpy()[i], "least": b["least"].to_numpy()[i]})
 
-    asked = stored.where(F.pmod("id", F.lit(every)) == 0).select("id", "v").mapInPandas(probing, "list int, block int, q long, v array<double>")
+        return probe
 
     def scanned(key, left, right):
-        ids, vectors = left["id"].to_numpy(), np.stack(left["v"].to_numpy()) if len(left) else None
-        if vectors is not None and len(right):
-            codes = np.frombuffer(b"".join(left["codes"]), np.uint8).reshape(len(ids), -1)
-            for s in range(0, len(right), QUERY_SLICE):
-                part = right.iloc[s : s + QUERY_SLICE]
-                q, i, x = scan_block(index.value, key[0], ids, vectors, codes, part["q"].to_numpy(), np.stack(part["v"].to_numpy()), k, rerank)
-                yield pd.DataFrame({"query_id": q, "vec_id": i, "score": x})
+        ids, vectors = left["id"].to_numpy(), np.stack(left["v"].to_numpy())
+        codes = np.frombuffer(b"".join(left["codes"]), np.uint8).reshape(len(ids), -1)
+        for s in range(0, len(right), QUERY_SLICE):
+            part = right.iloc[s : s + QUERY_SLICE]
+            q, i, x = scan_block(index.value, ids, vectors, codes, part["q"].to_numpy(), np.stack(part["v"].to_numpy()), part["least"].to_numpy(), k, rerank)
+            yield pd.DataFrame({"query_id": q, "vec_id": i, "score": x})
 
     def whole(key, left, right):
-        parts = list(scanned(key, left, right))
+        parts = list(scanned(key, left, right)) if len(left) and len(right) else []
         return pd.concat(parts) if parts else pd.DataFrame({"query_id": np.zeros(0, np.int64), "vec_id": np.zeros(0, np.int64), "score": np.zeros(0)})
 
-    found = placed.groupBy("list", "block").cogroup(asked.groupBy("list", "block")).applyInPandas(whole, "query_id long, vec_id long, score double")
+    def searched(queries: DataFrame, ranks: slice) -> DataFrame:
+        asked = queries.mapInPandas(probing(ranks), "list int, block int, q long, v array<double>, least double")
+        return placed.groupBy("list", "block").cogroup(asked.groupBy("list", "block")).applyInPandas(whole, "query_id long, vec_id long, score double")
+
+    # the nearest list first: its k-th score is a bound that what other lists send on must reach, which loses nothing
+    asking = stored.where(F.pmod("id", F.lit(every)) == 0).select("id", "v")
+    near = common.written(searched(asking.withColumn("least", F.lit(float("-inf"))), slice(0, 1)), "near")
+    kth = F.get(F.sort_array(F.collect_list("score"), asc=False), F.lit(k - 1))
+    bound = near.groupBy(F.col("query_id").alias("id")).agg(F.coalesce(kth, F.lit(float("-inf"))).alias("least"))
+    bounded = asking.join(bound, "id", "left").withColumn("least", F.coalesce("least", F.lit(float("-inf"))))
+    found = near.union(searched(bounded.select("id", "v", "least"), slice(1, None))) if probes > 1 else near
     best = F.slice(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("s"), "vec_id"))), 1, k)
     top = found.groupBy("query_id").agg(best.alias("b")).select("query_id", F.posexplode("b").alias("p", "c"))
     return top.select("query_id", (F.col("p") + 1).cast("int").alias("rank"), F.col("c.vec_id").alias("vec_id"), (-F.col("c.s")).alias("score"))

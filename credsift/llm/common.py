@@ -55,9 +55,16 @@ def held_out(id_col: str):
     return F.coalesce(fold(id_col) == 1, F.lit(False))
 
 
-def bounded_sample(df: DataFrame, rows: int, key: str) -> DataFrame:
-    """At most `rows` rows, the same ones on every run and layout: those with the smallest hash of `key`."""
-    return df.orderBy(F.xxhash64(key), key).limit(rows)
+def bounded_sample(df: DataFrame, rows: int, key: str, total: int | None = None) -> DataFrame:
+    """At most `rows` rows, the same ones on every run and layout: those with the smallest hash of `key`.
+
+    With the table's size, rows whose hash can't be among the smallest are filtered first, so that what partitions send on
+    doesn't grow with their number.
+    """
+    rank = F.pmod(F.xxhash64(F.lit("sample"), key), F.lit(1 << 40))
+    if total and total > 2 * rows:
+        df = df.where(rank < int((1 << 40) * (2 * rows + 50) / total))
+    return df.orderBy(rank, key).limit(rows)
 
 
 def free_name(df: DataFrame, wanted: str) -> str:
