@@ -181,9 +181,15 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     share = F.create_map(*[F.lit(x) for k, v in counts.items() for x in (k, float(v))])
     # rows with the smallest hash times frequency: each language gets the same share while it lasts
     priority = (F.pmod(F.xxhash64(F.lit("sample"), id_col), F.lit(1 << 40)) + 1) * F.element_at(share, F.col(lang_col))
+    # a bound under which twice the wanted rows are expected, so partitions send on no more than that together
+    low, high = 0.0, float(max(counts.values()))
+    for _ in range(60):
+        middle = (low + high) / 2
+        low, high = (low, middle) if sum(min(n, middle) for n in counts.values()) > 2 * rows + 50 else (middle, high)
     room = F.greatest(F.length(text_col) - PASSAGE_CHARS, F.lit(0)) + 1
     passages = F.array(*[F.substring(F.col(text_col), (F.pmod(F.xxhash64(F.lit(k), id_col), room) + 1).cast("int"), F.lit(PASSAGE_CHARS)) for k in range(PASSAGES)])
-    sample = usable.where(F.col(lang_col).isin(list(counts))).orderBy(priority, id_col).limit(rows).select(F.col(lang_col).alias("lang"), passages.alias("passages")).collect()
+    drawn = usable.where(F.col(lang_col).isin(list(counts)) & (priority <= high * ((1 << 40) + 1))).select(F.col(lang_col).alias("lang"), passages.alias("passages"), priority.alias("priority"), F.col(id_col).alias("id"))
+    sample = drawn.orderBy("priority", "id").limit(rows).collect()
     languages = sorted({r.lang for r in sample})
     parts = [(p.encode("utf-8", "replace")[:LENGTH], languages.index(r.lang)) for r in sample for p in r.passages]
     texts = np.zeros((len(parts), LENGTH), np.uint8)
