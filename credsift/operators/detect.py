@@ -53,7 +53,7 @@ def matches(line: Column, p: Pattern) -> Column:
 
     found = fn.let(whole, lambda m: fn.let(gaps, lambda g: located(m, g)))
     groups_then_match = F.array(*captured, whole) if captured else F.array(whole)
-    secrets = fn.let(groups_then_match, lambda c: F.transform(found, lambda x: F.struct(x["at"].alias("at"), x["match"].alias("match"), F.element_at(F.filter(F.transform(c, lambda a: F.get(a, x["i"])), lambda v: v != ""), 1).alias("secret"))))
+    secrets = fn.let(groups_then_match, lambda c: F.transform(found, lambda x: F.struct(x["at"].alias("at"), x["match"].alias("match"), F.get(F.filter(F.transform(c, lambda a: F.get(a, x["i"])), lambda v: v != ""), F.lit(0)).alias("secret"))))
     return F.filter(secrets, lambda x: x["match"] != "")
 
 

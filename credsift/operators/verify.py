@@ -99,7 +99,7 @@ def with_facts(bearing: DataFrame, parser: Parser = structure.facts) -> DataFram
     """
     places = F.transform("candidates", lambda c: F.struct(c["line"].alias("line"), c["at"].alias("at")))
     suffix = fn.extension(F.col("path"))
-    supported = suffix.isin(*structure.EXTENSIONS)
+    supported = F.coalesce(suffix.isin(*structure.EXTENSIONS), F.lit(False))
 
     @F.pandas_udf(FACT)
     def of(texts: pd.Series, suffixes: pd.Series, where: pd.Series) -> pd.Series:
