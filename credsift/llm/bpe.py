@@ -29,7 +29,7 @@ from . import common
 #: Characters of a chunk without its overlap, and of the overlap.
 CHUNK, OVERLAP = 1 << 16, 1 << 10
 #: Pieces that a worker remembers; the memory is emptied when full.
-REMEMBERED = 1 << 19
+REMEMBERED = 1 << 18
 #: A piece of more bytes is merged with a heap.
 LONG_PIECE = 64
 
@@ -178,20 +178,29 @@ def scan(codec: Codec, text: str, chunk: int, overlap: int) -> tuple[bytes, np.n
     return b"".join(parts), bounds[keep], offsets[keep]
 
 
-def encode(docs: DataFrame, path: str, pattern: str, text_col: str = "text", ids_col: str = "ids", chunk: int = CHUNK, overlap: int = OVERLAP) -> DataFrame:
-    """docs with a binary column of packed ids. Texts of one chunk are encoded where they are; the chunks of longer ones are
-    dealt over the cluster and stitched by text."""
+def encode(docs: DataFrame, path: str, pattern: str, text_col: str = "text", ids_col: str = "ids", decoded_col: str | None = None, chunk: int = CHUNK, overlap: int = OVERLAP) -> DataFrame:
+    """docs with a binary column of packed ids, and with decoded_col also one of the bytes that they decode to.
+
+    Texts of one chunk are encoded where they are; the chunks of longer ones are dealt over the cluster and stitched by
+    text. Decoding in the same pass spares a second set of Python workers.
+    """
     common.small_batches(docs.sparkSession)
+    both = decoded_col is not None
 
-    @F.pandas_udf(T.BinaryType())
-    def whole(texts: pd.Series) -> pd.Series:
+    @F.pandas_udf("ids binary, decoded binary")
+    def whole(texts: pd.Series) -> pd.DataFrame:
         codec = Codec.of(path, pattern)
-        return pd.Series([codec.encode(t or "") for t in texts], dtype=object)
+        ids = [codec.encode(t or "") for t in texts]
+        return pd.DataFrame({"ids": ids, "decoded": [codec.decode(i) for i in ids] if both else [b""] * len(ids)}, dtype=object)
+
+    def out(df: DataFrame, pair: str) -> DataFrame:
+        return df.select(*docs.columns, F.col(f"{pair}.ids").alias(ids_col), *([F.col(f"{pair}.decoded").alias(decoded_col)] if both else []))
 
-    text = F.coalesce(F.col(text_col), F.lit(""))
+    text, pair = F.coalesce(F.col(text_col), F.lit("")), common.free_name(docs, "pair")
     long = F.length(text) > chunk
-    short = docs.where(~long).withColumn(ids_col, whole(text))
-    names, schema = docs.columns, T.StructType([*docs.schema.fields, T.StructField(ids_col, T.BinaryType())])
+    short = out(docs.where(~long).withColumn(pair, whole(text)), pair)
+    names = docs.columns
+    schema = T.StructType([*docs.schema.fields, T.StructField(pair, T.StructType([T.StructField("ids", T.BinaryType()), T.StructField("decoded", T.BinaryType())]))])
     rest = [c for c in names if c != text_col]
     numbered = docs.where(long).select(
         F.monotonically_increasing_id().alias("row"), F.struct(F.lit(0).alias("_"), *rest).alias("rest"), F.transform(F.sequence(F.lit(0), F.floor((F.length(text) - 1) / chunk).cast("int")), lambda i: F.substring(text, i * chunk + 1, F.lit(chunk + overlap))).alias("texts")
@@ -210,10 +219,11 @@ def encode(docs: DataFrame, path: str, pattern: str, text_col: str = "text", ids
         ids = stitch(codec, texts, [s["ids"] for s in group["s"]], [np.array(s["ends"]) for s in group["s"]], [np.array(s["at"]) for s in group["s"]], chunk)
         whole_text = "".join(t[:chunk] for t in texts)
         first = group["rest"].iloc[0]
-        return pd.DataFrame([[whole_text if c == text_col else first[c] for c in names] + [ids]], columns=[*names, ids_col])
+        found = {"ids": ids, "decoded": codec.decode(ids) if both else b""}
+        return pd.DataFrame([[whole_text if c == text_col else first[c] for c in names] + [found]], columns=[*names, pair])
 
     dealt = parts.repartition("row", "i").withColumn("s", scanned("t"))
-    stitched = dealt.groupBy("row").applyInPandas(joined, schema)
+    stitched = out(dealt.groupBy("row").applyInPandas(joined, schema), pair)
     return short.unionByName(stitched)
 
 

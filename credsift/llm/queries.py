@@ -28,8 +28,7 @@ def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    ids = bpe.encode(docs, RANKS, public_tokenizers.PATTERN).select("doc_id", "ids")
-    both = ids.withColumn("decoded", bpe.decode(RANKS, public_tokenizers.PATTERN, F.col("ids")))
+    both = bpe.encode(docs, RANKS, public_tokenizers.PATTERN, decoded_col="decoded")
     return both.select("doc_id", (F.length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 

@@ -5,6 +5,7 @@ import random
 import public_tokenizers
 import pytest
 import tiktoken
+from pyspark.sql import functions as F
 
 from credsift.llm import bpe, queries
 
@@ -66,6 +67,8 @@ def test_odd_rows(spark, library):
     df = spark.createDataFrame(rows, "doc_id long, text string, row string")
     out = bpe.encode(df, PATH, public_tokenizers.PATTERN, chunk=256, overlap=32)
     assert out.columns == [*df.columns, "ids"]
+    both = bpe.encode(df, PATH, public_tokenizers.PATTERN, decoded_col="back", chunk=256, overlap=32).withColumn("again", bpe.decode(PATH, public_tokenizers.PATTERN, F.col("ids")))
+    assert all(bytes(r.back) == bytes(r.again) == (r.text or "").encode() for r in both.collect())
     got = sorted(out.collect(), key=lambda r: str(r[:3]))
     assert [r[:3] for r in got] == sorted(rows, key=str)
     for r in got:
