@@ -309,14 +309,14 @@ class Trees:
 
 
 def decode(order: list[Node], odds: np.ndarray) -> list[bool]:
-    """Whether each node is kept: the likeliest labels in which all below a dropped node is dropped."""
+    """Whether each node is kept: the likeliest labels in which all below a dropped node is dropped; the page itself is kept."""
     gain = odds.tolist()  # of keeping a node over dropping it, given that its ancestors are kept
     for node in reversed(order):
         if gain[node.order] > 0 and node.parent is not None:
             gain[node.parent.order] += gain[node.order]
     kept = [False] * len(order)
     for node in order:
-        kept[node.order] = (node.parent is None or kept[node.parent.order]) and gain[node.order] > 0
+        kept[node.order] = node.parent is None or kept[node.parent.order] and gain[node.order] > 0
     return kept
 
 

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from . import common
 
 UNKNOWN = "und"
-SPAN, CONTEXT, LANES = 448, 32, 2048
+SPAN, CONTEXT, LANES = 448, 32, 1024
 #: Bounds of the training sample: rows, passages a row, characters a passage.
 TRAIN_ROWS, PASSAGES, PASSAGE_CHARS = 4000, 2, 128
 UNITS, STEPS, BATCH, LENGTH = 16, 320, 192, 96

@@ -5,7 +5,8 @@ a word can get stuck at has a failure link to the node that remains after the pi
 off, and the number of those pieces. No piece is ever built.
 
 Words are what WORD finds in the lower-cased, NFC-normalised text: letter runs, single digits, runs of other signs. A word
-ends with the vocabulary's end mark, so pieces that end words differ from those that don't.
+ends with the vocabulary's end mark, so pieces that end words differ from those that don't; where the last piece has no such
+form, the mark that is left over counts nothing.
 
 Defined results: null and empty texts have 0 tokens; a vocabulary without some single byte counts one for each byte that no
 piece covers; repeated rows, empty tables and other columns pass through untouched.
@@ -37,12 +38,12 @@ def byte_letters() -> dict[str, int]:
 
 
 class Automaton:
-    """Trie over symbols 0 to 255 for bytes and 256 for the end of a word; node 0 is the root."""
+    """Trie over symbols 0 to 255 for bytes and 256 for the end of a word; node 0 is the root. Pieces in `free` count nothing."""
 
-    def __init__(self, pieces: list[tuple[int, ...]]):
+    def __init__(self, pieces: list[tuple[int, ...]], free: tuple[tuple[int, ...], ...] = ()):
         self.next: list[dict[int, int]] = [{}]
-        whole = [False]
-        for piece in pieces:
+        whole, costs = [False], {}
+        for piece in [*pieces, *free]:
             node = 0
             for symbol in piece:
                 to = self.next[node].get(symbol)
@@ -52,13 +53,14 @@ class Automaton:
                     whole.append(False)
                 node = to
             whole[node] = True
+            costs[node] = piece not in free
         self.link, self.popped = [-1] * len(self.next), [0] * len(self.next)
         queue = [0]
         for parent in queue:  # breadth first
             for symbol, node in self.next[parent].items():
                 queue.append(node)
                 if whole[node]:
-                    self.link[node], self.popped[node] = 0, 1
+                    self.link[node], self.popped[node] = 0, int(costs[node])
                     continue
                 at, count = self.link[parent], self.popped[parent]
                 while at >= 0 and symbol not in self.next[at]:
@@ -98,7 +100,7 @@ class Counter:
             body = piece.removesuffix(END_MARK)
             if body and all(c in letters for c in body):
                 self.pieces.append((*[letters[c] for c in body], *[256] * ends))
-        self.automaton, self.word, self.known = Automaton(self.pieces), regex.compile(WORD), {}
+        self.automaton, self.word, self.known = Automaton(self.pieces, ((256,),)), regex.compile(WORD), {}
 
     @staticmethod
     def of(path: str) -> Counter:
