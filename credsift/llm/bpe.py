@@ -28,8 +28,8 @@ from . import common
 
 #: Characters of a chunk without its overlap, and of the overlap.
 CHUNK, OVERLAP = 1 << 16, 1 << 10
-#: Pieces that a worker remembers; the memory is emptied when full.
-REMEMBERED = 1 << 18
+#: Pieces that a worker remembers: two generations of so many, so frequent ones are never forgotten.
+GENERATION = 1 << 16
 #: A piece of more bytes is merged with a heap.
 LONG_PIECE = 64
 
@@ -45,6 +45,7 @@ class Codec:
         self.split = regex.compile(pattern)
         self.tokens = {rank: token for token, rank in self.ranks.items()}
         self.known: dict[str, bytes] = {}
+        self.before: dict[str, bytes] = {}
 
     @staticmethod
     def of(path: str, pattern: str) -> Codec:
@@ -60,17 +61,22 @@ class Codec:
         return np.array(ids, "<u4").tobytes()
 
     def merge(self, raw: bytes) -> list[int]:
-        parts, ranks = [raw[i : i + 1] for i in range(len(raw))], self.ranks
-        while len(parts) > 1:
-            best, at = None, -1
-            for i in range(len(parts) - 1):
-                rank = ranks.get(parts[i] + parts[i + 1])
-                if rank is not None and (best is None or rank < best):
-                    best, at = rank, i
-            if best is None:
+        """Lowest rank first, leftmost of equal ones; only the pairs next to a merge are looked up again."""
+        get, none = self.ranks.get, len(self.ranks) + 256
+        parts = [raw[i : i + 1] for i in range(len(raw))]
+        pairs = [get(raw[i : i + 2], none) for i in range(len(raw) - 1)]
+        while pairs:
+            best = min(pairs)
+            if best == none:
                 break
-            parts[at : at + 2] = [parts[at] + parts[at + 1]]
-        return [ranks[p] for p in parts]
+            i = pairs.index(best)
+            parts[i] += parts.pop(i + 1)
+            del pairs[i]
+            if i:
+                pairs[i - 1] = get(parts[i - 1] + parts[i], none)
+            if i < len(pairs):
+                pairs[i] = get(parts[i] + parts[i + 1], none)
+        return [self.ranks[p] for p in parts]
 
     def merge_long(self, raw: bytes) -> list[int]:
         """As merge, with a heap of pairs over a linked list: a piece can be as long as a text."""
@@ -106,16 +112,18 @@ class Codec:
         try:
             return [known[p] for p in pieces]
         except KeyError:
-            if len(known) > REMEMBERED:
-                known.clear()
             out = []
             for p in pieces:
                 ids = known.get(p)
                 if ids is None:
-                    ids = self.packed(p)
+                    ids = self.before.get(p)
+                    if ids is None:
+                        ids = self.packed(p)
                     if len(p) <= LONG_PIECE:
                         known[p] = ids
                 out.append(ids)
+            if len(known) > GENERATION:
+                self.known, self.before = {}, known
             return out
 
     def encode(self, text: str) -> bytes:
