@@ -22,8 +22,9 @@ RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 
 def identify_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejects texts without letters and those of which no learned language is likely."""
-    found = language_id.identify(docs, language_id.train(docs), lang_out="found_lang", score_out="found_score")
-    return found.where((F.col("found_lang") != language_id.UNKNOWN) & (F.col("found_score") >= LEAST_SCORE)).select(*docs.columns)
+    lang, score = common.free_name(docs, "found_lang"), common.free_name(docs, "found_score")
+    found = language_id.identify(docs, language_id.train(docs), lang_out=lang, score_out=score)
+    return found.where((F.col(lang) != language_id.UNKNOWN) & (F.col(score) >= LEAST_SCORE)).select(*docs.columns)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -25,6 +25,18 @@ def shared_dir(spark: SparkSession) -> str:
     return named.rstrip("/")
 
 
+_written: list[str] = []
+
+
+def discard(spark: SparkSession) -> int:
+    """Removes the intermediate tables of this process, once results that read them are stored; how many there were."""
+    paths, jvm = [_written.pop() for _ in range(len(_written))], spark.sparkContext._jvm
+    for path in paths:
+        at = jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+    return len(paths)
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """df after a round trip through Parquet in the shared folder.
 
@@ -32,6 +44,7 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """
     path = f"{shared_dir(df.sparkSession)}/credsift-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _written.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -103,9 +103,10 @@ def hits(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: st
 
 def clean(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text", **limits) -> DataFrame:
     """docs without the rows that hold a benchmark item."""
-    held = hits(docs, items, id_col, text_col, item_id_col, item_text_col, **limits).select(F.col("id").alias("h_id"), F.col("text_hash").alias("h_hash")).distinct()
+    of, digest = common.free_name(docs, "held_id"), common.free_name(docs, "held_hash")
+    held = hits(docs, items, id_col, text_col, item_id_col, item_text_col, **limits).select(F.col("id").alias(of), F.col("text_hash").alias(digest)).distinct()
     held = common.written(held, "held")
-    on = F.col(id_col).eqNullSafe(F.col("h_id")) & (F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))) == F.col("h_hash"))
+    on = F.col(id_col).eqNullSafe(F.col(of)) & (F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))) == F.col(digest))
     return docs.join(held, on, "left_anti")
 
 

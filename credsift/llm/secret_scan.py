@@ -177,11 +177,13 @@ def redact(docs: DataFrame, text_col: str, repo: Column, owner: Column, id_col:
 
     Spans are joined back by id and text hash, only for rows that have any.
     """
-    found = scan(docs, text_col, repo, owner, [id_col], copied_owners).select(F.col(id_col).alias("k_id"), F.col("text_hash").alias("k_hash"), F.transform(F.filter("found", is_span), lambda c: F.struct(c["start"].alias("start"), c["end"].alias("end"))).alias("k_spans"))
-    found = common.written(found.where(F.size("k_spans") > 0).dropDuplicates(["k_id", "k_hash"]), "spans")
+    of, digest, marks = (common.free_name(docs, f"span_{k}") for k in ("of", "hash", "marks"))
+    pairs = F.transform(F.filter("found", is_span), lambda c: F.struct(c["start"].alias("start"), c["end"].alias("end")))
+    found = scan(docs, text_col, repo, owner, [id_col], copied_owners).select(F.col(id_col).alias(of), F.col("text_hash").alias(digest), pairs.alias(marks))
+    found = common.written(found.where(F.size(marks) > 0).dropDuplicates([of, digest]), "spans")
     text = F.coalesce(F.col(text_col), F.lit(""))
-    joined = docs.join(found, F.col(id_col).eqNullSafe(F.col("k_id")) & (F.xxhash64(text) == F.col("k_hash")), "left")
-    masked = F.when(F.col("k_spans").isNull(), F.col(text_col)).otherwise(redacted(text, F.col("k_spans")))
+    joined = docs.join(found, F.col(id_col).eqNullSafe(F.col(of)) & (F.xxhash64(text) == F.col(digest)), "left")
+    masked = F.when(F.col(marks).isNull(), F.col(text_col)).otherwise(redacted(text, F.col(marks)))
     return joined.select(*[masked.alias(c) if c == text_col else docs[c] for c in docs.columns])
 
 
