@@ -7,7 +7,7 @@ and verification; no sink takes it.
 
 from __future__ import annotations
 
-from functools import reduce
+from functools import lru_cache, reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -86,12 +86,22 @@ def line_candidates(text: Column, number: Column, patterns: list[Pattern] | tupl
 
 def with_candidates(files: DataFrame, patterns: list[Pattern] | tuple[Pattern, ...] = BUILTIN, options: fn.EntropyOptions = fn.EntropyOptions()) -> DataFrame:
     """Candidate-bearing files with an array column `candidates`, in the order patterns, then lines, then places."""
-    low = "low_case"
-    kept = files.withColumn(low, F.lower("content")).where(may_match(F.col("content"), F.col(low), patterns)).drop(low)
+    gate, hits, found = _columns(files.sparkSession.sparkContext.applicationId, tuple(patterns), options)
+    kept = files.withColumn(LOW, F.lower("content")).where(gate).drop(LOW)
+    return kept.withColumn("hits", hits).withColumn("candidates", found).drop("hits").where(F.size("candidates") > 0)
+
+
+LOW = "low_case"
+
+
+@lru_cache(maxsize=32)
+def _columns(app: str, patterns: tuple[Pattern, ...], options: fn.EntropyOptions) -> tuple[Column, Column, Column]:
+    """What with_candidates is made of, once for each application and registry: building it takes longer than many a scan."""
+    gate = may_match(F.col("content"), F.col(LOW), patterns)
     split = F.transform(F.split("content", "\n", -1), lambda t, i: F.struct((i + 1).alias("n"), t.alias("t")))
     hits = F.filter(split, lambda x: fn.let(F.lower(x["t"]), lambda low: may_match(x["t"], low, patterns)))
     found = F.flatten(F.transform(F.col("hits"), lambda x: line_candidates(x["t"], x["n"], patterns, options)))
-    return kept.withColumn("hits", hits).withColumn("candidates", F.array_sort(found)).drop("hits").where(F.size("candidates") > 0)
+    return gate, hits, F.array_sort(found)
 
 
 def exploded(bearing: DataFrame, patterns: list[Pattern] | tuple[Pattern, ...] = BUILTIN, keep: tuple[str, ...] = ()) -> DataFrame:

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass
-from functools import reduce
+from functools import lru_cache, reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -116,11 +116,17 @@ def with_facts(bearing: DataFrame, parser: Parser = structure.facts) -> DataFram
 def judged(bearing: DataFrame, patterns: list[Pattern] | tuple[Pattern, ...] = BUILTIN, rules: tuple[Rule, ...] = RULES, parser: Parser = structure.facts) -> DataFrame:
     """Candidates with `verdicts`, the non-null verdicts in rule order, of which those after the first drop are void."""
     rows = detect.exploded(with_facts(bearing, parser), patterns, keep=("facts",))
-    fact = F.get(F.col("facts"), F.col("nth"))
-    no = F.lit(False)
+    return rows.withColumn("verdicts", _verdicts(rows.sparkSession.sparkContext.applicationId, tuple(rules))).drop("facts", "nth")
+
+
+@lru_cache(maxsize=32)
+def _verdicts(app: str, rules: tuple[Rule, ...]) -> Column:
+    """Verdicts of the rules on a row of judged(), built once for each application."""
+    fact, no = F.get(F.col("facts"), F.col("nth")), F.lit(False)
     subject = Subject(F.col("file"), F.col("raw_value"), F.coalesce(fact["has_tree"], no), fact["declared"], F.coalesce(fact["in_access"], no), F.coalesce(fact["interpolated"], no))
-    verdicts = F.filter(F.array(*[r(subject).cast(VERDICT) for r in rules]), lambda v: v.isNotNull()) if rules else F.array().cast(f"array<{VERDICT}>")
-    return rows.withColumn("verdicts", verdicts).drop("facts", "nth")
+    if not rules:
+        return F.array().cast(f"array<{VERDICT}>")
+    return F.filter(F.array(*[r(subject).cast(VERDICT) for r in rules]), lambda v: v.isNotNull())
 
 
 def survivors(rows: DataFrame) -> DataFrame:
