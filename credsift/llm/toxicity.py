@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from array import array
 from collections import Counter
 from collections.abc import Callable
 
@@ -30,7 +31,7 @@ THRESHOLD = 0.7
 ORDER, EVIDENCE, FOLDS = 5, 6, 3
 #: Words before which a word must have been seen, in number and against the texts; rarer ones are left to the shared counts.
 SEEN, SEEN_SHARE = 4, 0.003
-#: A training text with at least this share of word pairs in earlier ones is a copy, and would count as evidence twice.
+#: A training text with at least this share of word pairs in one earlier text is a copy, and would count as evidence twice.
 COPIED = 0.5
 #: Unseen words that a worker remembers.
 REMEMBERED = 1 << 18
@@ -175,13 +176,16 @@ def fit_logit(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, rounds: int = 30
 
 
 def without_copies(texts: list[list[str]]) -> list[int]:
-    """Places of the texts that are no near copies of earlier ones, by a hashed eighth of their word pairs."""
-    seen: set[int] = set()
+    """Places of the texts that are no near copies of any one earlier text, by a hashed eighth of their word pairs."""
+    holders: dict[int, array] = {}  # places in `kept` of the texts with a pair
     kept = []
     for i, text in enumerate(texts):
         some = {h for a, b in zip(text, text[1:], strict=False) if not (h := zlib.crc32(f"{a} {b}".encode("utf-8", "replace"))) & 7}
-        if len(some & seen) < COPIED * len(some) or not some:
-            seen |= some
+        met = [holders[h] for h in some if h in holders]
+        shared = np.bincount(np.concatenate([np.frombuffer(m, np.int32) for m in met])).max() if met else 0
+        if shared < COPIED * len(some) or not some:
+            for h in some:
+                holders.setdefault(h, array("i")).append(len(kept))
             kept.append(i)
     return kept
 

@@ -41,6 +41,16 @@ def test_copies_are_left_out():
     assert toxicity.without_copies([text, text, [*text[:70], "other"], [f"v{i}" for i in range(80)], []]) == [0, 3, 4]
 
 
+def test_pairs_of_many_texts_make_no_copy():
+    r = random.Random(5)
+    words = [f"w{i}" for i in range(40)]
+    texts = [[r.choice(words) for _ in range(200)] for _ in range(200)]
+    assert len(toxicity.without_copies(texts)) >= 190
+    thirds = [[f"{c}{i}" for i in range(300)] for c in "abc"]
+    mixed = [w for t in thirds for w in t[:100]]
+    assert toxicity.without_copies([*thirds, mixed, mixed]) == [0, 1, 2, 3]
+
+
 def test_held_out_rows_of_the_table(spark):
     sf = "/root/testdata/sf0.1"
     labels = {r.doc_id: r.toxic for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}
