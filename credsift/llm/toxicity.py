@@ -1,8 +1,8 @@
 """Toxicity by class-conditional Kneser-Ney models.
 
 Word and word-pair models of toxic and of ordinary texts, with modified Kneser-Ney discounts, back off to counts that both
-classes share, so a rare expression says little until its counts differ; words that neither has seen are judged by
-character models of the same kind. A text's evidence is its length-normalised difference of log-likelihoods, and that of its three most telling
+classes share, so a rare expression says little until its counts differ; single words are also weighed by significance, and none is cut off. Words that neither has seen, or whose counts say
+nothing, are judged by character models of the same kind. A text's evidence is its length-normalised difference of log-likelihoods, and that of its three most telling
 words, so that a long text isn't acquitted for being long. A logistic function, fitted on texts whose counts
 weren't used, turns both into a score.
 
@@ -29,8 +29,10 @@ from . import common
 TRAIN_ROWS, TRAIN_CHARS = 2500, 20_000
 THRESHOLD = 0.7
 ORDER, EVIDENCE, FOLDS = 5, 6, 3
-#: Words before which a word must have been seen, in number and against the texts; rarer ones are left to the shared counts.
-SEEN, SEEN_SHARE = 4, 0.003
+#: Log ratio below which a seen word's counts say nothing, and its spelling is used.
+SILENT = 0.05
+#: Log-likelihood gain at which a word's evidence counts half: the 95 % point of chi-squared with one degree of freedom.
+CHANCE = 3.84
 #: A training text with at least this share of word pairs in one earlier text is a copy, and would count as evidence twice.
 COPIED = 0.5
 #: Unseen words that a worker remembers.
@@ -55,6 +57,10 @@ def discounts(counts: np.ndarray) -> np.ndarray:
     return np.array([0, *(np.clip(k - (k + 1) * y * n[k] / n[k - 1], 0.1 * k, 0.98 * k) for k in (1, 2, 3))])
 
 
+def xlogy(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    return np.where(x > 0, x * np.log(np.maximum(y, 1e-300)), 0.0)
+
+
 def against_shared(keys: list[np.ndarray], counts: list[np.ndarray], contexts: list[np.ndarray], size: int, shared_below: Callable) -> tuple[np.ndarray, np.ndarray]:
     """Expressions that either class has, and the log ratio of their probabilities, class 1 to class 0, given their contexts.
 
@@ -84,7 +90,7 @@ def against_shared(keys: list[np.ndarray], counts: list[np.ndarray], contexts: l
 class Model:
     """Log-likelihood differences, toxic less ordinary. Class 0 is ordinary.
 
-    A position's difference is that of its word by continuation counts (by its spelling if neither class has the word) plus that
+    A position's difference is that of its word by continuation counts (by its spelling if they say nothing) plus that
     of its word after the word before.
     """
 
@@ -102,12 +108,21 @@ class Model:
         words, ratio = against_shared(present, [f[p] for f, p in zip(follows, present, strict=True)], [np.zeros(len(p), np.int64) for p in present], 1, lambda e: np.full(len(e), 1 / size))
         self.word_ratio = np.zeros(size, np.float32)
         both = follows[0] + follows[1]
-        self.word_ratio[words] = np.where(both[words] >= max(SEEN, SEEN_SHARE * len(texts)), ratio, 0)
+        # by how far the counts differ from those that chance deals out, so that a word of one text weighs less than one of many
+        share = np.array([f.sum() for f in follows]) / max(1, both.sum())
+        gain = 2 * sum(xlogy(f[words], f[words] / np.maximum(both[words] * p, 1e-9)) for f, p in zip(follows, share, strict=True))
+        self.word_ratio[words] = ratio * gain / (gain + CHANCE)
         once = (both + 0.5) / (both.sum() + 0.5 * size)
         self.pairs, self.pair_ratio = against_shared([k for k, _ in pairs], [n for _, n in pairs], [k // size for k, _ in pairs], size, lambda e: once[e % size])
         self.spell(tallies)
+        # words of which the counts say next to nothing are judged by their spelling, like unseen ones
+        self.silent = np.abs(self.word_ratio) < SILENT
+        for w, i in self.index.items():
+            if self.silent[i]:
+                self.word_ratio[i] = self.by_spelling(w)
         self.unseen: dict[str, float] = {}
         self.logit = np.zeros(EVIDENCE)
+        self.range = np.full(EVIDENCE, -np.inf), np.full(EVIDENCE, np.inf)
 
     def spell(self, tallies: list[np.ndarray]) -> None:
         """Log ratios of runs of ORDER characters, within words, by the counts of the words."""
@@ -128,8 +143,12 @@ class Model:
         every, ratio = against_shared(keys, counts, [of[k] for k in keys], max(1, len(before)), lambda e: below[e])
         self.spelling = {names[k]: float(r) for k, r in zip(every.tolist(), ratio, strict=True) if abs(r) > 0.01}
 
+    def by_spelling(self, word: str) -> float:
+        get = self.spelling.get
+        return sum([get(g, 0.0) for g in spelled(word)])
+
     def ratios(self, text: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Of each position; of the seen words alone, without their pairs; of the unseen ones."""
+        """Of each position; of the words that counts tell of, without their pairs; of those judged by their spelling."""
         ids = np.array([self.index.get(w, -1) for w in text], np.int64)
         before = np.concatenate(([self.size - 1], ids[:-1]))
         known = ids >= 0
@@ -143,13 +162,13 @@ class Model:
             if r is None:
                 if len(self.unseen) > REMEMBERED:
                     self.unseen.clear()
-                get = self.spelling.get
-                r = self.unseen[w] = sum([get(g, 0.0) for g in spelled(w)])
-            out[i] = r
-        return out, alone[known], out[~known]
+                r = self.unseen[w] = self.by_spelling(w)
+            out[i] = alone[i] = r
+        counted = known & ~self.silent[ids]
+        return out, alone[counted], alone[~counted]
 
     def evidence(self, text: list[str]) -> np.ndarray:
-        """1, ten times the mean difference, the three largest of single words that were seen, the largest of others."""
+        """1, ten times the mean difference, the three largest of single words by their counts, the largest of others by their spelling."""
         if not text:
             return np.eye(EVIDENCE)[0]
         r, seen, spelled_out = self.ratios(text)
@@ -160,7 +179,7 @@ class Model:
         return np.array([1, 10 * r.mean(), *tops])
 
     def score(self, text: str | None) -> float:
-        return float(1 / (1 + np.exp(-np.clip(self.logit @ self.evidence(words(text)), -30, 30))))
+        return float(1 / (1 + np.exp(-np.clip(self.logit @ np.clip(self.evidence(words(text)), *self.range), -30, 30))))
 
 
 def fit_logit(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, rounds: int = 30) -> np.ndarray:
@@ -208,6 +227,7 @@ def fit(texts: list[str], labels: list[int]) -> Model | None:
             evidence[i] = part.evidence(split[i])
     model = Model(split, y)
     model.logit = fit_logit(evidence, y.astype(float))
+    model.range = evidence.min(0), evidence.max(0)  # the logistic part isn't carried on beyond what it was fitted to
     return model
 
 

@@ -51,6 +51,16 @@ def test_pairs_of_many_texts_make_no_copy():
     assert toxicity.without_copies([*thirds, mixed, mixed]) == [0, 1, 2, 3]
 
 
+def test_rare_words_count():
+    data = made(600)
+    toxic = [i for i, (_, y) in enumerate(data) if y == 1][:3]
+    texts = [(f"{t} rarefoul" if i in toxic else t).split() for i, (t, _) in enumerate(data)]
+    model = toxicity.Model(texts, np.array([y for _, y in data]))
+    assert model.word_ratio[model.index["rarefoul"]] > 0.5
+    quiet = [w for w, i in model.index.items() if model.silent[i]]
+    assert all(np.isclose(model.word_ratio[model.index[w]], model.by_spelling(w), atol=1e-5) for w in quiet)
+
+
 def test_held_out_rows_of_the_table(spark):
     sf = "/root/testdata/sf0.1"
     labels = {r.doc_id: r.toxic for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}
