@@ -35,8 +35,8 @@ SILENT = 0.05
 CHANCE = 3.84
 #: A training text with at least this share of word pairs in one earlier text is a copy, and would count as evidence twice.
 COPIED = 0.5
-#: Unseen words that a worker remembers.
-REMEMBERED = 1 << 18
+#: Unseen words that a worker remembers, and their length; longer ones are spelled out each time.
+REMEMBERED, REMEMBERED_CHARS = 1 << 18, 64
 WORD = re.compile(r"\w+")
 
 
@@ -45,8 +45,8 @@ def words(text: str | None) -> list[str]:
 
 
 def spelled(word: str) -> list[str]:
-    """Runs of ORDER characters of a word, its first 64 characters, between marks."""
-    marked = "^" * (ORDER - 1) + word[:64] + "$"
+    """Runs of ORDER characters of a whole word, between marks."""
+    marked = "^" * (ORDER - 1) + word + "$"
     return [marked[i : i + ORDER] for i in range(len(marked) - ORDER + 1)]
 
 
@@ -162,7 +162,9 @@ class Model:
             if r is None:
                 if len(self.unseen) > REMEMBERED:
                     self.unseen.clear()
-                r = self.unseen[w] = self.by_spelling(w)
+                r = self.by_spelling(w)
+                if len(w) <= REMEMBERED_CHARS:
+                    self.unseen[w] = r
             out[i] = alone[i] = r
         counted = known & ~self.silent[ids]
         return out, alone[counted], alone[~counted]

@@ -61,6 +61,18 @@ def test_rare_words_count():
     assert all(np.isclose(model.word_ratio[model.index[w]], model.by_spelling(w), atol=1e-5) for w in quiet)
 
 
+def test_long_words_are_spelled_whole():
+    data = made(600)
+    model = toxicity.fit([t for t, _ in data], [y for _, y in data])
+    r = random.Random(2)
+    long = "".join(r.choice("abdegklmnorst") for _ in range(400))
+    marked = f"^^^^{long}$"
+    assert np.isclose(model.by_spelling(long), sum(model.spelling.get(marked[i : i + 5], 0.0) for i in range(401)))
+    assert model.by_spelling(long[:64] + "grumpus") != model.by_spelling(long[:64])
+    model.ratios([long, "unheardof"])
+    assert long not in model.unseen and "unheardof" in model.unseen
+
+
 def test_held_out_rows_of_the_table(spark):
     sf = "/root/testdata/sf0.1"
     labels = {r.doc_id: r.toxic for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}
