@@ -2,14 +2,16 @@
 
 A text is brought to template tokens: numbers become <n>, units after them <u>, names (capitalised words inside a sentence)
 <p>, other words lower case without punctuation. Windows of five template tokens are hash-joined with those of the benchmark
-items. A document holds an item if it has `coverage` of the item's windows and the slots are consistent: one value in the item
+items. Windows with names match also by the names themselves, so case doesn't matter to what is verbatim. A document holds an
+item if it, or one occurrence in it, has `coverage` of the item's windows and the slots are consistent: one value in the item
 stands for one value in the document, so a re-parameterised question is found while texts that only share phrases are not.
 
 The windows of the benchmark are broadcast in parts of at most PART_ROWS rows, one pass over the documents for each; the
 documents' windows are never shuffled.
 
 Defined results: null and empty texts have no windows, in documents or items; a text of one to four words has one window, of
-all its words; windows of fewer than `literals` plain words aren't used (all-placeholder windows match anything); rows with
+all its words; windows of fewer than `literals` plain words match by their own words only (all-placeholder windows match anything),
+and items with less than `coverage` of their words in other windows must have `coverage` of all windows; rows with
 null or repeated ids are told apart by their text; repeated rows give one result each in `clean`, one together in `hits`.
 """
 
@@ -39,66 +41,121 @@ def words(text: Column) -> Column:
     return let(bare, lambda b: F.struct(F.array_remove(F.array_remove(F.split(b, f"{SPACE}+"), END), "").alias("t"), F.array_remove(F.split(F.lower(F.translate(b, END, "")), f"{SPACE}+"), "").alias("l")))
 
 
-def template(w: Column) -> Column:
-    """Template tokens of words()."""
+def template(w: Column, names: bool = True) -> Column:
+    """Template tokens of words(); without `names`, capitalised words are taken as they are, in lower case."""
     digit = lambda c: F.substring(c, 1, 1).between("0", "9")
 
     def token(low: Column, i: Column) -> Column:
         first, own = F.substring(low, 1, 1), F.get(w["t"], i)
         name = (F.substring(own, 1, 1) != first) & (F.substring(low, 2, 1) != "") & (F.substring(own, 2, 1) == F.substring(low, 2, 1)) & (i > 0)
         unit = low.isin(*UNITS) & (i > 0)
+        out = F.when(first.between("0", "9"), "<n>")
+        if names:
+            out = out.when(name, F.when(F.substring(F.get(w["t"], i - 1), -1, 1) != END, "<p>").otherwise(low))
         return (
-            F.when(first.between("0", "9"), "<n>")
-            .when(name, F.when(F.substring(F.get(w["t"], i - 1), -1, 1) != END, "<p>").otherwise(low))
-            .when(unit, F.when(digit(F.get(w["l"], i - 1)), "<u>").otherwise(low))
+            out.when(unit, F.when(digit(F.get(w["l"], i - 1)), "<u>").otherwise(low))
             .otherwise(low)
         )
 
     return F.transform(w["l"], token)
 
 
-def windows(text: Column, size: int = WINDOW) -> Column:
-    """Array of (at, hash, slots): slots has the words of a window with placeholders and is null for others."""
-    join = lambda a, i: F.array_join(F.slice(a, i + 1, F.lit(size)), " ")
-    one = lambda w, c, i: let(
-        join(c, i), lambda k: F.struct(i.alias("at"), F.xxhash64(k).alias("hash"), F.when(F.instr(k, "<") > 0, join(w["l"], i)).alias("slots"))
-    )
-    each = let(words(text), lambda w: let(template(w), lambda c: F.when(F.size(c) > 0, F.transform(F.sequence(F.lit(0), F.greatest(F.size(c) - size, F.lit(0))), lambda i: one(w, c, i)))))
-    return each
+def joined(tokens: Column, at: Column, size: int) -> Column:
+    return F.array_join(F.slice(tokens, at + 1, F.lit(size)), " ")
+
+
+def few_plain(key: Column, n: Column, literals: int) -> Column:
+    """Whether a window of n tokens, joined as key, has too few plain words to be told by its template."""
+    return n - (F.length(key) - F.length(F.translate(key, "<", ""))) < F.least(F.lit(literals), n)
+
+
+def digest(key: Column, values: Column, n: Column, literals: int) -> Column:
+    """Hash of a window: of its template, or of its template and its own words where plain words are few."""
+    return F.xxhash64(key)
+
+
+def windows(text: Column, size: int = WINDOW, literals: int = LITERALS) -> Column:
+    """Array of (at, hash, slots, own): slots has the words of a window with placeholders and is null for others."""
+
+    def one(w: Column, c: Column, i: Column, own: bool = True) -> Column:
+        n = F.least(F.lit(size), F.size(c))
+        made = lambda k, s: F.struct(i.alias("at"), F.when(s.isNull(), F.xxhash64(k)).otherwise(digest(k, s, n, literals)).alias("hash"), s.alias("slots"), F.lit(own).alias("own"))
+        return let(joined(c, i, size), lambda k: let(F.when(F.instr(k, "<") > 0, joined(w["l"], i, size)), lambda s: made(k, s)))
+
+    def each(w: Column, c: Column) -> Column:
+        places = F.sequence(F.lit(0), F.greatest(F.size(c) - size, F.lit(0)))
+        plain = lambda i: F.struct(i.alias("at"), F.xxhash64(joined(c, i, size)).alias("hash"), F.lit(None).cast("string").alias("slots"), F.lit(True).alias("own"))
+        every = F.transform(places, lambda i: one(w, c, i))
+        return F.when(F.array_contains(c, "<p>") | F.array_contains(c, "<n>"), every).otherwise(F.transform(places, plain))
+
+    return let(words(text), lambda w: let(template(w), lambda c: F.when(F.size(c) > 0, each(w, c))))
 
 
 def item_windows(items: DataFrame, id_col: str, text_col: str, size: int = WINDOW, literals: int = LITERALS) -> DataFrame:
-    """(item, at, hash, template, slots, of): the windows used of each item; `of` is how many distinct places it has."""
-    key = F.struct("w", "c").alias("x")
-    base = items.select(F.col(id_col).alias("item"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).select("item", words(F.col("text")).alias("w")).select("item", "w", template(F.col("w")).alias("c"))
-    places = base.where(F.size("c") > 0).select("item", key, F.explode(F.sequence(F.lit(0), F.greatest(F.size("c") - size, F.lit(0)))).alias("at"))
-    rows = places.select("item", "at", F.slice("x.c", F.col("at") + 1, F.lit(size)).alias("c"), F.slice("x.w.l", F.col("at") + 1, F.lit(size)).alias("l"))
-    rows = rows.where(F.size(F.filter("c", lambda t: F.substring(t, 1, 1) != "<")) >= F.least(F.lit(literals), F.size("c")))
-    rows = rows.select("item", "at", F.xxhash64(F.array_join("c", " ")).alias("hash"), F.array_join("c", " ").alias("template"), F.array_join("l", " ").alias("values"))
-    counts = rows.groupBy("item").agg(F.count_distinct("hash").alias("of"))
-    return rows.join(counts, "item")
+    """(item, at, place, light, hash, template, values, own, first, of, of_light, spanned, slotted, words): the windows of each item.
+
+    A window has a row for each form that a document may have it in: with <p> for names; with the names themselves; and, at the
+    item's start, with <p> for its first word, which documents may have within a sentence (`first`: that word must be the
+    same). `place` is what they have in common. `light` windows have plain words enough to be told by their template.
+    `of` and `of_light` are the numbers of distinct places, `spanned` the share of the item's words in light windows.
+    """
+    base = items.select(F.col(id_col).alias("item"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).select("item", words(F.col("text")).alias("w"))
+    base = base.select("item", "w", template(F.col("w")).alias("c"), template(F.col("w"), names=False).alias("u")).where(F.size("c") > 0)
+    cut = lambda a: joined(F.col(a), F.col("at"), size)
+    rows = base.select("item", "c", "u", "w.l", F.explode(F.sequence(F.lit(0), F.greatest(F.size("c") - size, F.lit(0)))).alias("at"))
+    rows = rows.select("item", "at", F.least(F.lit(size), F.size("c")).alias("n"), F.size("c").alias("words"), cut("c").alias("k"), cut("u").alias("u"), cut("l").alias("values"))
+    rows = rows.withColumn("light", ~few_plain(F.col("k"), F.col("n"), literals)).withColumn("place", digest(F.col("k"), F.col("values"), F.col("n"), literals))
+    began = F.concat(F.lit("<p>"), F.expr("substr(k, length(substring_index(k, ' ', 1)) + 1)"))
+    form = lambda key, shown, own, first: F.struct(key.alias("key"), F.col(shown).alias("template"), F.lit(own).alias("own"), F.lit(first).alias("first"))
+    rows = rows.where("light")
+    forms = F.array(form(F.col("k"), "k", True, False))
+    rows = rows.withColumn("f", F.explode(forms)).where("f.own or f.first or u <> k").where((~F.col("f.first")) | ((F.col("at") == 0) & ~F.col("k").startswith("<")))
+    rows = rows.withColumn("hash", digest(F.col("f.key"), F.col("values"), F.col("n"), literals)).select("item", "at", "n", "words", "light", "place", "hash", F.col("f.template").alias("template"), "values", F.col("f.own").alias("own"), F.col("f.first").alias("first")).distinct()
+    counts = rows.groupBy("item").agg(
+        F.count_distinct("place").alias("of"),
+        F.count_distinct(F.when(F.col("light"), F.col("place"))).alias("of_light"),
+        (F.size(F.array_distinct(F.flatten(F.collect_set(F.when(F.col("light"), F.sequence("at", F.col("at") + F.col("n") - 1)))))) / F.max("words")).alias("spanned"),
+        F.max(F.instr("template", "<") > 0).alias("slotted"),
+    )
+    return rows.drop("n").join(counts, "item")
 
 
 def hits(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text", coverage: float = COVERAGE, consistency: float = CONSISTENCY, part_rows: int = PART_ROWS) -> DataFrame:
     """(id, text_hash, item, coverage, slots, consistency, same): one row for each document and benchmark item that it holds.
 
-    same: whether all slots have the item's own values, so the passage is verbatim up to case and punctuation.
+    The document as a whole may hold the item, or any one occurrence: windows of the same alignment, the place in the document
+    less that in the item, give or take a quarter of the item. The figures are those
+    of the document's windows by template as in SQL if these reach the limits, else those of the best of the others.
+
+    same: whether all slots of one of them have the item's own values, so the passage is verbatim up to case and punctuation.
     """
     wanted = common.written(item_windows(items, item_id_col, item_text_col), "windows")
     parts = max(1, -(-wanted.count() // part_rows))
     text = F.coalesce(F.col(text_col), F.lit(""))
-    rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("text_hash"), F.explode(windows(text)).alias("w")).select("id", "text_hash", "w.hash", "w.slots")
+    rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("text_hash"), F.explode(windows(text)).alias("w")).select("id", "text_hash", F.col("w.at").alias("d_at"), "w.hash", "w.slots", F.col("w.own").alias("d_own"))
     found = [rows.join(F.broadcast(wanted.where(F.pmod("hash", F.lit(parts)) == k)), "hash") for k in range(parts)]
-    met = common.written(reduce(DataFrame.union, found).distinct(), "met")
-    key = ["id", "text_hash", "item"]
-    covered = met.groupBy(*key, "of").agg(F.count_distinct("hash").alias("n")).withColumn("coverage", F.col("n") / F.col("of")).where(F.col("coverage") >= coverage).select(*key, "coverage")
+    met = reduce(DataFrame.union, found).where("not first or substring_index(slots, ' ', 1) = substring_index(values, ' ', 1)")
+    key, sizes = ["id", "text_hash", "item"], ["of", "of_light", "spanned"]
+    met = met.select(*key, *sizes, "place", "light", "template", "values", "slots", "words", (F.col("own") & F.col("d_own") & F.col("light")).alias("strict"), F.when(F.col("slotted"), F.col("d_at") - F.col("at")).alias("align"))
+    met = common.written(met.distinct(), "met")
+    half = F.greatest(F.lit(1), F.floor(F.col("words") / 4))
+    group = lambda kind, n: F.struct(F.lit(kind).alias("kind"), n.cast("long").alias("n"))
+    whole = F.when(F.col("strict"), F.array(group(0, F.lit(0)), group(1, F.lit(0)))).otherwise(F.array(group(1, F.lit(0))))
+    near = F.array(group(2, F.col("align")), group(3, F.floor(F.col("align") / (2 * half))), group(4, F.floor((F.col("align") + half) / (2 * half))))
+    met = met.withColumn("g", F.explode(F.when(F.col("align").isNull(), whole).otherwise(F.concat(whole, near))))
+    key = [*key, "g"]
+    covered = met.groupBy(*key, *sizes).agg(F.count_distinct("place").alias("n"), F.count_distinct(F.when(F.col("light"), F.col("place"))).alias("n_light"))
+    by_template = F.when(F.col("spanned") >= coverage, F.col("n_light") / F.nullif(F.col("of_light"), F.lit(0)))
+    by_either = F.when(F.col("g.kind") > 0, F.col("n") / F.col("of"))
+    covered = covered.withColumn("coverage", F.greatest(by_either, by_template)).where(F.col("coverage") >= coverage).select(*key, "coverage")
     pair = F.arrays_zip(F.split("template", " ").alias("k"), F.split("values", " ").alias("v"), F.split("slots", " ").alias("d"))
     slots = met.where("slots is not null").select(*key, F.explode(pair).alias("s")).where("s.k like '<%'").groupBy(*key, F.col("s.v").alias("v")).agg(F.min("s.d").alias("least"), F.max("s.d").alias("most"))
     slots = slots.groupBy(*key).agg(F.count("*").alias("slots"), F.avg((F.col("least") == F.col("most")).cast("double")).alias("consistency"), F.min((F.col("least") == F.col("v")) & (F.col("most") == F.col("v"))).alias("same"))
     slots = slots.select(*[F.col(c).alias(f"s_{c}") for c in slots.columns])
-    both = covered.join(slots, covered["id"].eqNullSafe(slots["s_id"]) & (covered["text_hash"] == slots["s_text_hash"]) & covered["item"].eqNullSafe(slots["s_item"]), "left")
-    out = both.select(*key, "coverage", F.coalesce("s_slots", F.lit(0)).alias("slots"), F.coalesce("s_consistency", F.lit(1.0)).alias("consistency"), F.coalesce("s_same", F.lit(True)).alias("same"))
-    return out.where(F.col("consistency") >= consistency)
+    both = covered.join(slots, covered["id"].eqNullSafe(slots["s_id"]) & (covered["text_hash"] == slots["s_text_hash"]) & covered["item"].eqNullSafe(slots["s_item"]) & (covered["g"] == slots["s_g"]), "left")
+    held = both.select(*key[:-1], F.coalesce("s_same", F.lit(True)).alias("same"), F.struct((F.col("g.kind") == 0).alias("strict"), F.coalesce("s_consistency", F.lit(1.0)).alias("consistency"), "coverage", F.coalesce("s_slots", F.lit(0)).alias("slots")).alias("b"))
+    best = held.where(F.col("b.consistency") >= consistency).groupBy(*key[:-1]).agg(F.max("b").alias("b"), F.max("same").alias("same"))
+    return best.select(*key[:-1], "b.coverage", "b.slots", "b.consistency", "same")
 
 
 def clean(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text", **limits) -> DataFrame:

@@ -24,6 +24,16 @@ def test_verbatim_and_reparameterised(spark):
     assert got[6, 2].consistency == 1 and not got[6, 2].same
 
 
+def test_each_occurrence_counts(spark):
+    other = ITEM.replace("40 km", "55 km").replace("Alice", "Berta").replace("3 hours", "7 hours")
+    third = other.replace("55", "66").replace("Berta", "Carla").replace("7", "8")
+    longer = third.replace("far did", "far indeed did")
+    got = hits(spark, [f"{ITEM} {other}", f"Some. {other} And more words. {third}", f"{other} Then there came. {longer}", f"Far off. {ITEM} Station at 99 km per hour. Later meets Zora near the river."])
+    assert set(got) == {(0, 1), (1, 1), (2, 1), (3, 1)}
+    assert got[0, 1].same and got[3, 1].same and not got[1, 1].same
+    assert got[1, 1].consistency == 1
+
+
 def test_parts_give_the_same(spark):
     docs = [f"Intro. {ITEM}", "no", ITEM + " " + ITEM]
     key = lambda d: sorted((k, r.coverage, r.slots) for k, r in d.items())
