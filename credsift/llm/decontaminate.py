@@ -71,7 +71,7 @@ def few_plain(key: Column, n: Column, literals: int) -> Column:
 
 def digest(key: Column, values: Column, n: Column, literals: int) -> Column:
     """Hash of a window: of its template, or of its template and its own words where plain words are few."""
-    return F.xxhash64(key)
+    return F.xxhash64(key, F.when((F.instr(key, "<") > 0) & few_plain(key, n, literals), values))
 
 
 def windows(text: Column, size: int = WINDOW, literals: int = LITERALS) -> Column:
@@ -107,7 +107,6 @@ def item_windows(items: DataFrame, id_col: str, text_col: str, size: int = WINDO
     rows = rows.withColumn("light", ~few_plain(F.col("k"), F.col("n"), literals)).withColumn("place", digest(F.col("k"), F.col("values"), F.col("n"), literals))
     began = F.concat(F.lit("<p>"), F.expr("substr(k, length(substring_index(k, ' ', 1)) + 1)"))
     form = lambda key, shown, own, first: F.struct(key.alias("key"), F.col(shown).alias("template"), F.lit(own).alias("own"), F.lit(first).alias("first"))
-    rows = rows.where("light")
     forms = F.array(form(F.col("k"), "k", True, False))
     rows = rows.withColumn("f", F.explode(forms)).where("f.own or f.first or u <> k").where((~F.col("f.first")) | ((F.col("at") == 0) & ~F.col("k").startswith("<")))
     rows = rows.withColumn("hash", digest(F.col("f.key"), F.col("values"), F.col("n"), literals)).select("item", "at", "n", "words", "light", "place", "hash", F.col("f.template").alias("template"), "values", F.col("f.own").alias("own"), F.col("f.first").alias("first")).distinct()

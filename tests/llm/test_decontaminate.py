@@ -34,6 +34,14 @@ def test_each_occurrence_counts(spark):
     assert got[1, 1].consistency == 1
 
 
+@pytest.mark.parametrize("item", ["Compute 12 34 56 78 90.", "Evaluate 3 + 4 * 5 - 6 / 2 = ?", "12 7 19 3 8 44 5", "Add 1 2 3 4 5 6 7 8 and show how it is done"])
+def test_items_of_numbers(spark, item):
+    changed = "".join("7" if c.isdigit() else c for c in item)
+    got = hits(spark, [f"Some words. {item} More words.", f"Some words. {changed} More words.", "and show how it is done"], [(1, item)])
+    assert set(got) == {(0, 1)}
+    assert got[0, 1].coverage == 1 and got[0, 1].same
+
+
 def test_parts_give_the_same(spark):
     docs = [f"Intro. {ITEM}", "no", ITEM + " " + ITEM]
     key = lambda d: sorted((k, r.coverage, r.slots) for k, r in d.items())
