@@ -75,7 +75,10 @@ def digest(key: Column, values: Column, n: Column, literals: int) -> Column:
 
 
 def windows(text: Column, size: int = WINDOW, literals: int = LITERALS) -> Column:
-    """Array of (at, hash, slots, own): slots has the words of a window with placeholders and is null for others."""
+    """Array of (at, hash, slots, own): slots has the words of a window with placeholders and is null for others.
+
+    Windows with names are given twice, with <p> (`own`) and with the names themselves.
+    """
 
     def one(w: Column, c: Column, i: Column, own: bool = True) -> Column:
         n = F.least(F.lit(size), F.size(c))
@@ -84,9 +87,11 @@ def windows(text: Column, size: int = WINDOW, literals: int = LITERALS) -> Colum
 
     def each(w: Column, c: Column) -> Column:
         places = F.sequence(F.lit(0), F.greatest(F.size(c) - size, F.lit(0)))
+        named = F.filter(places, lambda i: F.array_contains(F.slice(c, i + 1, F.lit(size)), "<p>"))
         plain = lambda i: F.struct(i.alias("at"), F.xxhash64(joined(c, i, size)).alias("hash"), F.lit(None).cast("string").alias("slots"), F.lit(True).alias("own"))
         every = F.transform(places, lambda i: one(w, c, i))
-        return F.when(F.array_contains(c, "<p>") | F.array_contains(c, "<n>"), every).otherwise(F.transform(places, plain))
+        literal = let(template(w, names=False), lambda u: F.transform(named, lambda i: one(w, u, i, False)))
+        return F.when(F.array_contains(c, "<p>"), F.concat(every, literal)).when(F.array_contains(c, "<n>"), every).otherwise(F.transform(places, plain))
 
     return let(words(text), lambda w: let(template(w), lambda c: F.when(F.size(c) > 0, each(w, c))))
 
@@ -107,7 +112,7 @@ def item_windows(items: DataFrame, id_col: str, text_col: str, size: int = WINDO
     rows = rows.withColumn("light", ~few_plain(F.col("k"), F.col("n"), literals)).withColumn("place", digest(F.col("k"), F.col("values"), F.col("n"), literals))
     began = F.concat(F.lit("<p>"), F.expr("substr(k, length(substring_index(k, ' ', 1)) + 1)"))
     form = lambda key, shown, own, first: F.struct(key.alias("key"), F.col(shown).alias("template"), F.lit(own).alias("own"), F.lit(first).alias("first"))
-    forms = F.array(form(F.col("k"), "k", True, False))
+    forms = F.array(form(F.col("k"), "k", True, False), form(F.col("u"), "u", False, False), form(began, "k", False, True))
     rows = rows.withColumn("f", F.explode(forms)).where("f.own or f.first or u <> k").where((~F.col("f.first")) | ((F.col("at") == 0) & ~F.col("k").startswith("<")))
     rows = rows.withColumn("hash", digest(F.col("f.key"), F.col("values"), F.col("n"), literals)).select("item", "at", "n", "words", "light", "place", "hash", F.col("f.template").alias("template"), "values", F.col("f.own").alias("own"), F.col("f.first").alias("first")).distinct()
     counts = rows.groupBy("item").agg(

@@ -42,6 +42,19 @@ def test_items_of_numbers(spark, item):
     assert got[0, 1].coverage == 1 and got[0, 1].same
 
 
+def test_doubtful_capitals(spark):
+    item = "What is the capital city of France?"
+    trip = "When Alice went home she took 4 apples"
+    docs = [f"Question: {item}", f'He said "{item}"', f"Well, {item}", f"Intro words\n{item}", item.upper(), item.lower(), f"Question: {trip.replace('Alice', 'Berta')}", trip.upper().replace("4", "9"), "Question: Which is the capital city of France?"]
+    got = hits(spark, docs, [(1, item), (2, trip)])
+    assert {d for d, i in got if i == 1} == set(range(6))
+    assert all(got[d, 1].coverage == 1 and got[d, 1].same for d in range(6))
+    assert {d for d, i in got if i == 2} == {6, 7}
+    got = hits(spark, [ITEM.upper(), ITEM.lower()])
+    assert set(got) == {(0, 1), (1, 1)}
+    assert got[0, 1].same and got[1, 1].same
+
+
 def test_parts_give_the_same(spark):
     docs = [f"Intro. {ITEM}", "no", ITEM + " " + ITEM]
     key = lambda d: sorted((k, r.coverage, r.slots) for k, r in d.items())
