@@ -4,7 +4,7 @@ Vectors are dealt to the list of their nearest centroid, and their residuals are
 bits each. Codes are chosen and codebooks fitted to a loss that weighs the part of the error along the vector (which
 moves large inner products) `eta` times the part across it. A query probes the lists of the largest inner products with
 its centroids, scans them by tables of partial inner products (two four-bit codes a look-up), and the best candidates of every
-list are reranked exactly, in double precision on the original vectors.
+list, with all that the error of the tables leaves undecided, are reranked exactly, in double precision on the original vectors.
 
 Centroids and codebooks are fitted on a bounded sample; every vector is indexed. Lists are cut into blocks of at most about
 BLOCK_ROWS rows, so a list that holds a third of all vectors is many tasks; queries of a block are handled in slices.
@@ -31,9 +31,11 @@ MAX_LISTS = 4096
 #: clustered ones do with a small share.
 PROBED, LEAST_PROBED = 0.8, 24
 ETA = 4.0
-#: Candidates a block that are reranked, in multiples of k.
+#: Candidates a block that are reranked at first, in multiples of k.
 RERANK = 4
 QUERY_SLICE = 256
+#: Relative error of sums in single precision, which table scores are.
+SLACK = 1e-5
 
 
 def usable(rows: DataFrame, id_col: str, vec_col: str) -> DataFrame:
@@ -118,6 +120,12 @@ class Index:
             codes = np.pad(codes, ((0, 0), (0, 1)))
         return own, codes[:, ::2] | codes[:, 1::2] << 4
 
+    def errors(self, residual: np.ndarray, codes: np.ndarray) -> np.ndarray:
+        """Length of what the codes of each vector miss."""
+        each = np.stack((codes & 15, codes >> 4), 2).reshape(len(codes), -1)[:, : self.pairs]
+        back = self.books[np.arange(self.pairs), each].reshape(len(codes), -1)[:, : self.dim]
+        return np.linalg.norm(residual - back, axis=1)
+
     def probes(self, queries: np.ndarray, count: int) -> np.ndarray:
         scores = queries @ self.centroids.T
         count = min(count, scores.shape[1])
@@ -132,8 +140,12 @@ class Index:
         return (one[1::2, :, None] + one[::2, None, :]).reshape(len(one) // 2, 256)
 
 
-def scan_block(index: Index, ids: np.ndarray, vectors: np.ndarray, codes: np.ndarray, query_ids: np.ndarray, queries: np.ndarray, bounds: np.ndarray, k: int, rerank: int):
-    """(query, id, score) of the best of one block, of those that reach the query's bound: tables first, then the exact measure."""
+def scan_block(index: Index, ids: np.ndarray, vectors: np.ndarray, codes: np.ndarray, centroid: np.ndarray, errors: np.ndarray, query_ids: np.ndarray, queries: np.ndarray, bounds: np.ndarray, k: int, rerank: int):
+    """(query, id, score) of the best of one block, of those that reach the query's bound: tables first, then the exact measure.
+
+    Reranked are the k * rerank best by the tables, and then all that can reach the k-th best of these: whose table score is no
+    further below than the error of their codes allows. So copies and equal scores are told apart by the exact measure.
+    """
     out, take = [], min(len(ids), k * rerank + 1)
     columns = np.ascontiguousarray(codes.T).astype(np.intp)
     for qid, q, least in zip(query_ids, queries, bounds, strict=True):
@@ -143,9 +155,17 @@ def scan_block(index: Index, ids: np.ndarray, vectors: np.ndarray, codes: np.nda
             for b in range(1, len(columns)):
                 rough += table[b].take(columns[b])
             some = np.argpartition(-rough, take - 1)[:take]
+            exact = (vectors[some] * q).sum(1)
+            own = exact[ids[some] != qid]
+            cut = max(least, np.partition(own, len(own) - k)[len(own) - k] if len(own) >= k else -np.inf)
+            reach = rough + q @ centroid + np.linalg.norm(q) * errors
+            near = reach >= cut - SLACK * (abs(cut) + np.abs(reach).max())
+            near[some] = False
+            more = np.flatnonzero(near)
+            some, exact = np.concatenate((some, more)), np.concatenate((exact, (vectors[more] * q).sum(1)))
         else:
             some = np.arange(len(ids))
-        exact = (vectors[some] * q).sum(1)
+            exact = (vectors * q).sum(1)
         fine = (ids[some] != qid) & (exact >= least)
         some, exact = some[fine], exact[fine]
         best = np.lexsort((ids[some], -exact))[:k]
@@ -198,9 +218,11 @@ def search(rows: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding",
     def scanned(key, left, right):
         ids, vectors = left["id"].to_numpy(), np.stack(left["v"].to_numpy())
         codes = np.frombuffer(b"".join(left["codes"]), np.uint8).reshape(len(ids), -1)
+        centroid = index.value.centroids[int(key[0])].astype(float)
+        errors = index.value.errors(vectors - centroid, codes)
         for s in range(0, len(right), QUERY_SLICE):
             part = right.iloc[s : s + QUERY_SLICE]
-            q, i, x = scan_block(index.value, ids, vectors, codes, part["q"].to_numpy(), np.stack(part["v"].to_numpy()), part["least"].to_numpy(), k, rerank)
+            q, i, x = scan_block(index.value, ids, vectors, codes, centroid, errors, part["q"].to_numpy(), np.stack(part["v"].to_numpy()), part["least"].to_numpy(), k, rerank)
             yield pd.DataFrame({"query_id": q, "vec_id": i, "score": x})
 
     def whole(key, left, right):

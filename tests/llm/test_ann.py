@@ -90,6 +90,22 @@ def test_hot_vectors_and_ties(spark):
         assert [round(got[q][k][1], 9) for k in range(1, 6)] == [round(s, 9) for _, s in w]
 
 
+def test_near_and_exact_copies_of_a_third(spark):
+    rng = np.random.default_rng(7)
+    x = rng.normal(size=(1500, 16)).astype(np.float32)
+    x[:500:2] = x[0]
+    x[1:500:2] = x[0] + 1e-4 * rng.normal(size=(250, 16)).astype(np.float32)
+    ids = rng.permutation(1500)
+    df = spark.createDataFrame([(int(i), [float(c) for c in v]) for i, v in zip(ids, x, strict=True)], SCHEMA)
+    got = {}
+    for r in ann.search(df, k=5, probed=1.0, rerank=1).collect():
+        got.setdefault(r.query_id, {})[r.rank] = r.vec_id
+    want = brute(ids, x, 20, 5)
+    hot = set(ids[:500].tolist())
+    assert all([got[q][k] for k in range(1, 6)] == [j for j, _ in w] for q, w in want.items() if q in hot)
+    assert np.mean([j in got[q].values() for q, w in want.items() for j, _ in w]) > 0.95
+
+
 def test_odd_rows(spark):
     nan, inf = float("nan"), float("inf")
     rows = [(0, [1.0, 0.0]), (20, [0.0, 1.0]), (40, None), (60, [0.0, 0.0]), (80, [nan, 1.0]), (100, [inf, 1.0]), (120, [None, 1.0]), (None, [1.0, 1.0]), (7, [0.5, 0.5]), (7, [0.5, 0.5]), (140, []), (8, [1.0, 2.0, 3.0])]
