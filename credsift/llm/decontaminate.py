@@ -23,105 +23,143 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import common
-from .secret_scan import let
 
 WINDOW, COVERAGE, CONSISTENCY, LITERALS = 5, 0.8, 0.8, 2
 #: Rows of benchmark windows that are broadcast at once, about 100 bytes each.
 PART_ROWS = 400_000
 SPACE = "[ \\t\\n\\x0B\\f\\r]"
 END = "\x01"
+#: Hashes of placeholders; those of plain words have none of these bits.
+PLACES = {"<n>": 1, "<u>": 2, "<p>": 4}
 # Units of measure that count as one when they follow a number.
 UNITS = tuple("mm cm m km in ft yd mi mg g kg lb oz ml l s sec min h hr hrs hour hours day days week weeks month months year years percent degrees usd eur gbp dollars euros cents kb mb gb tb hz khz mhz ghz v w kw kwh j kj cal kcal mph kmh".split())
 
 
-def words(text: Column) -> Column:
-    """struct(t, l): words with case and sentence ends marked, and the same words lower-cased without marks."""
-    marked = F.regexp_replace(F.translate(text, END, ""), f"{SPACE}*[.!?]+({SPACE}|\\z)", f"{END}$1")
-    bare = F.regexp_replace(marked, f"[^\\p{{L}}\\p{{M}}\\p{{N}} \\t\\n\\x0B\\f\\r{END}]+", "")
-    return let(bare, lambda b: F.struct(F.array_remove(F.array_remove(F.split(b, f"{SPACE}+"), END), "").alias("t"), F.array_remove(F.split(F.lower(F.translate(b, END, "")), f"{SPACE}+"), "").alias("l")))
+#: An upper-case letter that may start a name: after white space that doesn't end a sentence.
+NAMED = f"(?<!{END}){SPACE}[\\p{{Lu}}\\p{{Lt}}\\p{{Nl}}]"
 
 
-def template(w: Column, names: bool = True) -> Column:
-    """Template tokens of words(); without `names`, capitalised words are taken as they are, in lower case."""
+def bare(text: Column) -> Column:
+    """text without punctuation, sentence ends marked."""
+    marked = F.regexp_replace(F.replace(text, F.lit(END), F.lit("")), f"{SPACE}*[.!?]+({SPACE}|\\z)", f"{END}$1")
+    return F.regexp_replace(marked, f"[^\\p{{L}}\\p{{M}}\\p{{N}} \\t\\n\\x0B\\f\\r{END}]+", "")
+
+
+def template(low: Column, own: Column | None = None) -> Column:
+    """Template tokens of lower-cased words; with `own`, the words with case and sentence ends marked, also of names."""
     digit = lambda c: F.substring(c, 1, 1).between("0", "9")
 
-    def token(low: Column, i: Column) -> Column:
-        first, own = F.substring(low, 1, 1), F.get(w["t"], i)
-        name = (F.substring(own, 1, 1) != first) & (F.substring(low, 2, 1) != "") & (F.substring(own, 2, 1) == F.substring(low, 2, 1)) & (i > 0)
-        unit = low.isin(*UNITS) & (i > 0)
-        out = F.when(first.between("0", "9"), "<n>")
-        if names:
-            out = out.when(name, F.when(F.substring(F.get(w["t"], i - 1), -1, 1) != END, "<p>").otherwise(low))
-        return (
-            out.when(unit, F.when(digit(F.get(w["l"], i - 1)), "<u>").otherwise(low))
-            .otherwise(low)
-        )
+    def token(word: Column, i: Column) -> Column:
+        out = F.when(digit(word), "<n>")
+        if own is not None:
+            first, mine = F.substring(word, 1, 1), F.get(own, i)
+            name = (F.substring(mine, 1, 1) != first) & (F.substring(word, 2, 1) != "") & (F.substring(mine, 2, 1) == F.substring(word, 2, 1)) & (i > 0)
+            out = out.when(name, F.when(F.substring(F.get(own, i - 1), -1, 1) != END, "<p>").otherwise(word))
+        return out.when(word.isin(*UNITS) & (i > 0), F.when(digit(F.get(low, i - 1)), "<u>").otherwise(word)).otherwise(word)
+
+    return F.transform(low, token)
 
-    return F.transform(w["l"], token)
 
+def hashed(token: Column) -> Column:
+    """Hash of a token, its kind in the low bits."""
+    out = F.shiftleft(F.xxhash64(token), 3)
+    for place, bit in PLACES.items():
+        out = F.when(token == place, F.lit(bit).cast("long")).otherwise(out)
+    return out
 
-def joined(tokens: Column, at: Column, size: int) -> Column:
-    return F.array_join(F.slice(tokens, at + 1, F.lit(size)), " ")
 
+def tokens(rows: DataFrame, text: Column, keep: list[str]) -> DataFrame:
+    """keep and arrays of each text: l, the words in lower case; c, template tokens; u, those with names as they are.
 
-def few_plain(key: Column, n: Column, literals: int) -> Column:
-    """Whether a window of n tokens, joined as key, has too few plain words to be told by its template."""
-    return n - (F.length(key) - F.length(F.translate(key, "<", ""))) < F.least(F.lit(literals), n)
+    hl, hc and hu are the hashes of each token. Null are u and hu where there is no name, hl where c has no placeholder. Only
+    texts with digits or capitals within sentences are brought to templates at all.
+    """
+    split = lambda s: F.array_remove(F.split(s, f"{SPACE}+"), "")
+    hashes = lambda a: F.transform(a, hashed)
+    step = rows.select(*keep, bare(text).alias("b"))
+    step = step.select(*keep, split(F.lower(F.replace("b", F.lit(END), F.lit("")))).alias("l"), F.when(F.col("b").rlike(NAMED), F.array_remove(split(F.col("b")), END)).alias("t"), F.col("b").rlike("[0-9]").alias("d"))
+    literal = F.when(F.col("d"), template(F.col("l"))).otherwise(F.col("l"))
+    step = step.select(*keep, "l", "d", F.when(F.col("t").isNotNull(), template(F.col("l"), F.col("t"))).otherwise(literal).alias("c"))
+    step = step.select(*keep, "l", "c", F.when(F.array_contains("c", "<p>"), literal).alias("u"), (F.col("d") | F.array_contains("c", "<p>")).alias("d"))
+    return step.select(*keep, "l", "c", "u", hashes("c").alias("hc"), hashes("u").alias("hu"), F.when(F.col("d"), hashes("l")).alias("hl"))
 
 
-def digest(key: Column, values: Column, n: Column, literals: int) -> Column:
-    """Hash of a window: of its template, or of its template and its own words where plain words are few."""
-    return F.xxhash64(key, F.when((F.instr(key, "<") > 0) & few_plain(key, n, literals), values))
+def places(size: int) -> Column:
+    """Places of a text's windows, none for a text without words."""
+    return F.explode(F.when(F.size("c") > 0, F.sequence(F.lit(0), F.greatest(F.size("c") - size, F.lit(0)))))
 
 
-def windows(text: Column, size: int = WINDOW, literals: int = LITERALS) -> Column:
-    """Array of (at, hash, slots, own): slots has the words of a window with placeholders and is null for others.
+def joined(array: Column, at: Column, size: int) -> Column:
+    return F.array_join(F.slice(array, at + 1, F.lit(size)), " ")
 
-    Windows with names are given twice, with <p> (`own`) and with the names themselves.
-    """
 
-    def one(w: Column, c: Column, i: Column, own: bool = True) -> Column:
-        n = F.least(F.lit(size), F.size(c))
-        made = lambda k, s: F.struct(i.alias("at"), F.when(s.isNull(), F.xxhash64(k)).otherwise(digest(k, s, n, literals)).alias("hash"), s.alias("slots"), F.lit(own).alias("own"))
-        return let(joined(c, i, size), lambda k: let(F.when(F.instr(k, "<") > 0, joined(w["l"], i, size)), lambda s: made(k, s)))
+def window(array: Column, at: Column, size: int) -> Column:
+    return F.slice(array, at + 1, F.lit(size))
+
 
-    def each(w: Column, c: Column) -> Column:
-        places = F.sequence(F.lit(0), F.greatest(F.size(c) - size, F.lit(0)))
-        named = F.filter(places, lambda i: F.array_contains(F.slice(c, i + 1, F.lit(size)), "<p>"))
-        plain = lambda i: F.struct(i.alias("at"), F.xxhash64(joined(c, i, size)).alias("hash"), F.lit(None).cast("string").alias("slots"), F.lit(True).alias("own"))
-        every = F.transform(places, lambda i: one(w, c, i))
-        literal = let(template(w, names=False), lambda u: F.transform(named, lambda i: one(w, u, i, False)))
-        return F.when(F.array_contains(c, "<p>"), F.concat(every, literal)).when(F.array_contains(c, "<n>"), every).otherwise(F.transform(places, plain))
+def few_plain(hashes: Column, literals: int) -> Column:
+    """Whether a window, as hashes of its tokens, has too few plain words to be told by its template."""
+    plain = F.size(reduce(lambda a, k: F.array_remove(a, F.lit(k).cast("long")), PLACES.values(), hashes))
+    return (plain < F.size(hashes)) & (plain < literals)
 
-    return let(words(text), lambda w: let(template(w), lambda c: F.when(F.size(c) > 0, each(w, c))))
+
+def digest(hashes: Column, own: Column, literals: int) -> Column:
+    """Hash of a window: of its template, or of its template and its own words where plain words are few. `own` is null if there are no placeholders."""
+    return F.when(own.isNotNull() & few_plain(hashes, literals), F.xxhash64(hashes, own)).otherwise(F.xxhash64(hashes))
 
 
 def item_windows(items: DataFrame, id_col: str, text_col: str, size: int = WINDOW, literals: int = LITERALS) -> DataFrame:
-    """(item, at, place, light, hash, template, values, own, first, of, of_light, spanned, slotted, words): the windows of each item.
+    """(window, item, at, place, light, hash, key, literal, template, values, own, first, of, of_light, spanned, slotted, words): the windows of each item.
 
     A window has a row for each form that a document may have it in: with <p> for names; with the names themselves; and, at the
     item's start, with <p> for its first word, which documents may have within a sentence (`first`: that word must be the
-    same). `place` is what they have in common. `light` windows have plain words enough to be told by their template.
+    same). `place` is what they have in common. `light` windows have plain words enough to be told by their template; `key`
+    is the form's text, and `literal` forms match by the words as well.
     `of` and `of_light` are the numbers of distinct places, `spanned` the share of the item's words in light windows.
     """
-    base = items.select(F.col(id_col).alias("item"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).select("item", words(F.col("text")).alias("w"))
-    base = base.select("item", "w", template(F.col("w")).alias("c"), template(F.col("w"), names=False).alias("u")).where(F.size("c") > 0)
-    cut = lambda a: joined(F.col(a), F.col("at"), size)
-    rows = base.select("item", "c", "u", "w.l", F.explode(F.sequence(F.lit(0), F.greatest(F.size("c") - size, F.lit(0)))).alias("at"))
-    rows = rows.select("item", "at", F.least(F.lit(size), F.size("c")).alias("n"), F.size("c").alias("words"), cut("c").alias("k"), cut("u").alias("u"), cut("l").alias("values"))
-    rows = rows.withColumn("light", ~few_plain(F.col("k"), F.col("n"), literals)).withColumn("place", digest(F.col("k"), F.col("values"), F.col("n"), literals))
-    began = F.concat(F.lit("<p>"), F.expr("substr(k, length(substring_index(k, ' ', 1)) + 1)"))
-    form = lambda key, shown, own, first: F.struct(key.alias("key"), F.col(shown).alias("template"), F.lit(own).alias("own"), F.lit(first).alias("first"))
-    forms = F.array(form(F.col("k"), "k", True, False), form(F.col("u"), "u", False, False), form(began, "k", False, True))
-    rows = rows.withColumn("f", F.explode(forms)).where("f.own or f.first or u <> k").where((~F.col("f.first")) | ((F.col("at") == 0) & ~F.col("k").startswith("<")))
-    rows = rows.withColumn("hash", digest(F.col("f.key"), F.col("values"), F.col("n"), literals)).select("item", "at", "n", "words", "light", "place", "hash", F.col("f.template").alias("template"), "values", F.col("f.own").alias("own"), F.col("f.first").alias("first")).distinct()
+    base = tokens(items.select(F.col(id_col).alias("item"), F.coalesce(F.col(text_col), F.lit("")).alias("text")), F.col("text"), ["item"])
+    base = base.withColumn("hl", F.coalesce("hl", "hc")).withColumn("hu", F.coalesce("hu", "hc")).withColumn("u", F.coalesce("u", "c"))
+    rows = base.select("*", F.size("c").alias("words"), places(size).alias("at"))
+    cut, part, n = (lambda a: joined(F.col(a), F.col("at"), size)), (lambda a: window(F.col(a), F.col("at"), size)), F.least(F.lit(size), F.col("words"))
+    rows = rows.select("item", "at", "words", n.alias("n"), cut("c").alias("k"), cut("u").alias("u"), cut("l").alias("values"), part("hc").alias("hc"), part("hu").alias("hu"), part("hl").alias("hl"))
+    rows = rows.select("*", (~few_plain(F.col("hc"), literals)).alias("light"), digest(F.col("hc"), F.col("hl"), literals).alias("place"))
+    form = lambda hashes, key, shown, mine, first: F.struct(digest(hashes, F.col("hl"), literals).alias("hash"), few_plain(hashes, literals).alias("literal"), key.alias("key"), F.col(shown).alias("template"), F.lit(mine).alias("own"), F.lit(first).alias("first"))
+    began = F.concat(F.array(F.lit(PLACES["<p>"]).cast("long")), F.slice("hc", 2, size - 1)), F.concat(F.lit("<p>"), F.expr("substr(k, length(substring_index(k, ' ', 1)) + 1)"))
+    rows = rows.withColumn("f", F.explode(F.array(form(F.col("hc"), F.col("k"), "k", True, False), form(F.col("hu"), F.col("u"), "u", False, False), form(*began, "k", False, True))))
+    rows = rows.where("f.own or f.first or u <> k").where((~F.col("f.first")) | ((F.col("at") == 0) & ~F.col("k").startswith("<")))
+    rows = rows.select("item", "at", "n", "words", "light", "place", "values", "f.*").distinct()
     counts = rows.groupBy("item").agg(
         F.count_distinct("place").alias("of"),
         F.count_distinct(F.when(F.col("light"), F.col("place"))).alias("of_light"),
         (F.size(F.array_distinct(F.flatten(F.collect_set(F.when(F.col("light"), F.sequence("at", F.col("at") + F.col("n") - 1)))))) / F.max("words")).alias("spanned"),
         F.max(F.instr("template", "<") > 0).alias("slotted"),
     )
-    return rows.drop("n").join(counts, "item")
+    return rows.drop("n").join(counts, "item").withColumn("window", F.monotonically_increasing_id())
+
+
+def met_windows(docs: DataFrame, wanted: DataFrame, parts: int, size: int = WINDOW, literals: int = LITERALS) -> DataFrame:
+    """(id, text_hash, d_at, slots, d_own) and the columns of the item windows that the documents' windows are equal to.
+
+    A window's hash is made of the hashes of its tokens; its text is put together for those only whose hash is found, and compared.
+    What the broadcast join has to do with each window is kept small, as methods beyond 8000 bytes aren't compiled by the JVM.
+    """
+    base = tokens(docs, F.col("text"), ["id", "text_hash"])
+    if parts > 1:  # several passes: texts are brought to tokens once
+        base = common.written(base, "tokens")
+    rows = base.withColumn("d_own", F.explode(F.when(F.col("hu").isNotNull(), F.array(F.lit(True), F.lit(False))).otherwise(F.array(F.lit(True)))))
+    mine = lambda a, b: F.when(F.col("d_own"), F.col(a)).otherwise(F.col(b))
+    rows = rows.select("id", "text_hash", "d_own", "l", mine("c", "u").alias("c"), mine("hc", "hu").alias("h"), F.when(~F.col("d_own"), F.col("hc")).alias("hc"), "hl").withColumn("d_at", places(size))
+    part = lambda a: window(F.col(a), F.col("d_at"), size)
+    # with names as they are: only windows that have any
+    rows = rows.where(F.col("d_own") | F.array_contains(part("hc"), F.lit(PLACES["<p>"]).cast("long")))
+    rows = rows.select("id", "text_hash", "d_own", "d_at", "l", "c", "hl", part("h").alias("h"))
+    rows = rows.select("id", "text_hash", "d_own", "d_at", "l", "c", digest(F.col("h"), part("hl"), literals).alias("hash"))
+    sought = wanted.select("hash", "window")
+    text = lambda a: joined(F.col(a), F.col("d_at"), size)
+    found = [rows.join(F.broadcast(sought.where(F.pmod("hash", F.lit(parts)) == k)), "hash") for k in range(parts)]
+    met = common.written(reduce(DataFrame.union, found).select("id", "text_hash", "d_own", "d_at", text("c").alias("shown"), text("l").alias("slots"), "window"), "met")
+    met = met.join(wanted, "window").where((F.col("shown") == F.col("key")) & (~F.col("literal") | (F.col("slots") == F.col("values"))))
+    return met.where("not first or substring_index(slots, ' ', 1) = substring_index(values, ' ', 1)").withColumn("slots", F.when(F.instr("key", "<") > 0, F.col("slots")))
 
 
 def hits(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text", coverage: float = COVERAGE, consistency: float = CONSISTENCY, part_rows: int = PART_ROWS) -> DataFrame:
@@ -136,12 +174,9 @@ def hits(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: st
     wanted = common.written(item_windows(items, item_id_col, item_text_col), "windows")
     parts = max(1, -(-wanted.count() // part_rows))
     text = F.coalesce(F.col(text_col), F.lit(""))
-    rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("text_hash"), F.explode(windows(text)).alias("w")).select("id", "text_hash", F.col("w.at").alias("d_at"), "w.hash", "w.slots", F.col("w.own").alias("d_own"))
-    found = [rows.join(F.broadcast(wanted.where(F.pmod("hash", F.lit(parts)) == k)), "hash") for k in range(parts)]
-    met = reduce(DataFrame.union, found).where("not first or substring_index(slots, ' ', 1) = substring_index(values, ' ', 1)")
+    met = met_windows(docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("text_hash"), text.alias("text")), wanted, parts)
     key, sizes = ["id", "text_hash", "item"], ["of", "of_light", "spanned"]
     met = met.select(*key, *sizes, "place", "light", "template", "values", "slots", "words", (F.col("own") & F.col("d_own") & F.col("light")).alias("strict"), F.when(F.col("slotted"), F.col("d_at") - F.col("at")).alias("align"))
-    met = common.written(met.distinct(), "met")
     half = F.greatest(F.lit(1), F.floor(F.col("words") / 4))
     group = lambda kind, n: F.struct(F.lit(kind).alias("kind"), n.cast("long").alias("n"))
     whole = F.when(F.col("strict"), F.array(group(0, F.lit(0)), group(1, F.lit(0)))).otherwise(F.array(group(1, F.lit(0))))
