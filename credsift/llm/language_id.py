@@ -144,8 +144,9 @@ class Network:
         pooled = np.zeros((len(raw), len(self.languages)))
         spans = [(i, max(0, a - CONTEXT), a, min(len(r), a + SPAN)) for i, r in enumerate(raw) for a in range(0, len(r), SPAN)]
         spans.sort(key=lambda s: s[1] - min(len(raw[s[0]]), s[3] + CONTEXT))
-        for k in range(0, len(spans), LANES):
-            some = spans[k : k + LANES]
+        lanes = max(8, min(LANES, LANES * 32 // len(self.languages)))  # position by language by lane stays bounded
+        for k in range(0, len(spans), lanes):
+            some = spans[k : k + lanes]
             parts = [raw[i][first : end + CONTEXT] for i, first, _, end in some]
             lengths = np.fromiter(map(len, parts), np.int64, len(parts))
             seq = np.zeros((len(parts), int(lengths[0])), np.uint8)
@@ -170,17 +171,19 @@ def softmax(x: np.ndarray, axis: int) -> np.ndarray:
 
 
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", rows: int = TRAIN_ROWS, units: int = UNITS, steps: int = STEPS) -> Network | None:
-    """Network learned from at most `rows` rows outside the held-out fold, about as many of each language.
+    """Network learned from at most `rows` rows (and one of each language that these leave out) outside the held-out fold, about
+    as many of each language.
 
     Of each row PASSAGES passages at places given by the id's hash are used; None if there is no row to learn from.
     """
-    usable = docs.where(common.learn_from(id_col) & F.col(lang_col).isNotNull() & (F.length(text_col) > 0))
-    counts = {r[0]: r[1] for r in usable.groupBy(lang_col).count().orderBy(F.desc("count"), lang_col).limit(1000).collect()}
+    spark = docs.sparkSession
+    usable = docs.where(common.learn_from(id_col) & F.col(lang_col).isNotNull() & (F.length(text_col) > 0)).select(id_col, text_col, lang_col)
+    counts = {r[0]: r[1] for r in usable.groupBy(lang_col).count().collect()}  # one row for each output of the network
     if not counts:
         return None
-    share = F.create_map(*[F.lit(x) for k, v in counts.items() for x in (k, float(v))])
+    share = F.broadcast(spark.createDataFrame([(k, float(n)) for k, n in counts.items()], "s_lang string, s_count double"))
     # rows with the smallest hash times frequency: each language gets the same share while it lasts
-    priority = (F.pmod(F.xxhash64(F.lit("sample"), id_col), F.lit(1 << 40)) + 1) * F.element_at(share, F.col(lang_col))
+    priority = (F.pmod(F.xxhash64(F.lit("sample"), id_col), F.lit(1 << 40)) + 1) * F.col("s_count")
     # a bound under which twice the wanted rows are expected, so partitions send on no more than that together
     low, high = 0.0, float(max(counts.values()))
     for _ in range(60):
@@ -188,10 +191,15 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
         low, high = (low, middle) if sum(min(n, middle) for n in counts.values()) > 2 * rows + 50 else (middle, high)
     room = F.greatest(F.length(text_col) - PASSAGE_CHARS, F.lit(0)) + 1
     passages = F.array(*[F.substring(F.col(text_col), (F.pmod(F.xxhash64(F.lit(k), id_col), room) + 1).cast("int"), F.lit(PASSAGE_CHARS)) for k in range(PASSAGES)])
-    drawn = usable.where(F.col(lang_col).isin(list(counts)) & (priority <= high * ((1 << 40) + 1))).select(F.col(lang_col).alias("lang"), passages.alias("passages"), priority.alias("priority"), F.col(id_col).alias("id"))
-    sample = drawn.orderBy("priority", "id").limit(rows).collect()
-    languages = sorted({r.lang for r in sample})
-    parts = [(p.encode("utf-8", "replace")[:LENGTH], languages.index(r.lang)) for r in sample for p in r.passages]
+    every = usable.join(share, F.col(lang_col) == F.col("s_lang")).select(F.col(lang_col).alias("lang"), passages.alias("passages"), priority.alias("priority"), F.col(id_col).alias("id"))
+    sample = every.where(F.col("priority") <= high * ((1 << 40) + 1)).orderBy("priority", "id").limit(rows).collect()
+    missed = set(counts) - {r.lang for r in sample}
+    if missed:  # more languages than rows can show: one row of each
+        rest = every.join(F.broadcast(spark.createDataFrame([(m,) for m in sorted(missed)], "lang string")), "lang")
+        sample += [r.first for r in rest.groupBy("lang").agg(F.min(F.struct("priority", "id", "lang", "passages")).alias("first")).orderBy("lang").collect()]
+    languages = sorted(counts)
+    number = {lang: k for k, lang in enumerate(languages)}
+    parts = [(p.encode("utf-8", "replace")[:LENGTH], number[r.lang]) for r in sample for p in r.passages]
     texts = np.zeros((len(parts), LENGTH), np.uint8)
     for row, (part, _) in zip(texts, parts, strict=True):
         row[: len(part)] = np.frombuffer(part, np.uint8)

@@ -1,6 +1,7 @@
 import numpy as np
 
 from credsift.llm import language_id as lid
+from credsift.llm.common import learn_from
 
 
 def small(seed=0):
@@ -71,3 +72,13 @@ def test_odd_rows(spark):
     assert nothing is None
     assert {r.lang_pred for r in lid.identify(df, None, score_out="p").collect()} == {"und"}
     assert lid.identify(df.limit(0), net, score_out="p").count() == 0
+
+
+def test_every_language_is_learned(spark):
+    rows = [(i, f"words of language{i % 1500}", f"l{i % 1500:04d}") for i in range(4500)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    learned = {r.lang for r in df.where(learn_from("doc_id")).select("lang").distinct().collect()}
+    network = lid.train(df, rows=1000, units=4, steps=1)
+    assert set(network.languages) == learned and len(learned) > 1400
+    lang, score = network.predict(["some words", None, "x" * 3000])
+    assert lang[1] == lid.UNKNOWN and all(0 <= s <= 1 for s in score)
