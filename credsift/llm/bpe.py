@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import base64
 import heapq
+from array import array
 
 import numpy as np
 import pandas as pd
@@ -30,7 +31,7 @@ from . import common
 CHUNK, OVERLAP = 1 << 16, 1 << 10
 #: Pieces that a worker remembers: two generations of so many, so frequent ones are never forgotten.
 GENERATION = 1 << 16
-#: A piece of more bytes is merged with a heap.
+#: A piece of more bytes is merged with places by rank.
 LONG_PIECE = 64
 
 _loaded: dict[tuple[str, str], Codec] = {}
@@ -79,24 +80,47 @@ class Codec:
         return [self.ranks[p] for p in parts]
 
     def merge_long(self, raw: bytes) -> list[int]:
-        """As merge, with a heap of pairs over a linked list: a piece can be as long as a text."""
+        """As merge, for a piece that can be as long as a text: the places of pairs are kept by rank, leftmost first, over a
+        linked list of tokens. A merge whose own pair has a lower rank than the one at hand is followed at once."""
         n, ranks = len(raw), self.ranks
-        end, before, after = list(range(1, n + 1)), list(range(-1, n - 1)), list(range(1, n + 1))
-        heap = [(r, i, i + 2) for i in range(n - 1) if (r := ranks.get(raw[i : i + 2])) is not None]
-        heapq.heapify(heap)
-        gone = bytearray(n)
-        while heap:
-            _, i, stop = heapq.heappop(heap)
-            j = after[i] if not gone[i] else n
-            if j >= n or end[j] != stop or gone[i]:
-                continue  # one of the pair has been merged since
-            end[i], gone[j], after[i] = stop, 1, after[j]
-            if after[j] < n:
-                before[after[j]] = i
-                if (r := ranks.get(raw[i : end[after[j]]])) is not None:
-                    heapq.heappush(heap, (r, i, end[after[j]]))
-            if before[i] >= 0 and (r := ranks.get(raw[before[i] : stop])) is not None:
-                heapq.heappush(heap, (r, before[i], stop))
+        end, before, after = array("q", range(1, n + 1)), array("q", range(-1, n - 1)), array("q", range(1, n + 1))
+        gone, places = bytearray(n), {}
+        for i in range(n - 1):
+            r = ranks.get(raw[i : i + 2])
+            if r is not None:
+                places.setdefault(r, array("q")).append(i)
+        queue = list(places)
+        heapq.heapify(queue)
+
+        def add(i: int) -> int:
+            """Notes the pair at i; its rank, or one that no pair has."""
+            r = ranks.get(raw[i : end[after[i]]])
+            if r is None:
+                return len(ranks) + n
+            if r not in places:
+                places[r] = array("q")
+                heapq.heappush(queue, r)
+            places[r].append(i)
+            return r
+
+        while queue:
+            rank = heapq.heappop(queue)
+            here = np.unique(np.frombuffer(places.pop(rank), np.int64)).tolist()
+            for k, i in enumerate(here):
+                j = n if gone[i] else after[i]
+                if j >= n or ranks.get(raw[i : end[j]]) != rank:
+                    continue  # one of the pair has been merged since
+                end[i], gone[j], after[i] = end[j], 1, after[j]
+                least = rank
+                if after[i] < n:
+                    before[after[i]] = i
+                    least = min(least, add(i))
+                if before[i] >= 0:
+                    least = min(least, add(before[i]))
+                if least < rank:
+                    places[rank] = array("q", here[k + 1 :])
+                    heapq.heappush(queue, rank)
+                    break
         out, i = [], 0
         while i < n:
             out.append(ranks[raw[i : end[i]]])
@@ -148,32 +172,51 @@ def stitch(codec: Codec, texts: list[str], ids: list[bytes], ends: list[np.ndarr
 
     ends[i]: the boundaries that chunk i's own scan found in its two overlaps, in the chunk's characters; at[i]: how many
     packed bytes lie before each. A chunk's last piece may have been cut short, so its end is no boundary (save in the last).
+
+    Where two chunks share no boundary in their overlap, the left scan goes on from its last one, over one chunk more, then two
+    more, four and so on, until it meets a boundary of a chunk that it reaches. So no part is read more than about twice, and
+    what the left scan covers is encoded when its end is known.
     """
-    out, k, n, skip = [], 0, len(texts), 0
-    while k < n:
-        text, own, bounds, offsets = texts[k], ids[k], ends[k], at[k]
-        last, start, shift = k, skip, 0  # shift: of the rightmost chunk that the scan covers, against chunk k
-        while last + 1 < n:
-            shift += chunk
-            usable = bounds[bounds < len(text)] - shift
-            shared = np.intersect1d(usable[usable >= 0], ends[last + 1])
-            if len(shared):
-                break
-            # no resynchronisation: the left scan goes on over the next chunk
-            last += 1
-            text += texts[last][len(text) - shift :]
+    out, k, start, n = [], 0, 0, len(texts)
+    while True:
+        # chunk k's own ids, from its boundary `start` on
+        first = int(at[k][ends[k] == start][0])
+        if k + 1 == n:
+            out.append(ids[k][first:])
+            return b"".join(out)
+        usable = ends[k][ends[k] < len(texts[k])]
+        shared = np.intersect1d(usable[usable >= chunk] - chunk, ends[k + 1])
+        if len(shared):
+            start = int(shared[0])
+            out.append(ids[k][first : int(at[k][ends[k] == start + chunk][0])])
+            k += 1
+            continue
+        left = int(usable[-1])
+        out.append(ids[k][first : int(at[k][ends[k] == left][0])])
+        more = 1
+        while True:
+            last = min(n - 1, k + more)
+            text = ("".join(t[:chunk] for t in texts[k:last]) + texts[last])[left:]
             pieces = codec.pieces(text)
-            parts = codec.encoded(pieces)
-            own = b"".join(parts)
-            bounds = np.concatenate(([0], np.cumsum([len(p) for p in pieces])))
-            offsets = np.concatenate(([0], np.cumsum([len(p) for p in parts])))
-        if last + 1 == n:
-            out.append(own[int(offsets[bounds == start][0]) :])
-            break
-        sync = int(shared[0])
-        out.append(own[int(offsets[bounds == start][0]) : int(offsets[bounds == sync + shift][0])])
-        k, skip = last + 1, sync
-    return b"".join(out)
+            bounds = np.concatenate(([0], np.cumsum([len(p) for p in pieces]))).astype(np.int64) + left
+            if last == n - 1:
+                out.append(b"".join(codec.encoded(pieces)))
+                return b"".join(out)
+            sure = bounds[bounds < left + len(text)]
+            met = None
+            for j in range(k + 1, last + 1):
+                # a chunk's scan starts at its own beginning, which needn't be a boundary; its overlap ends there, too
+                both = np.intersect1d(sure - (j - k) * chunk, ends[j][ends[j] < min(chunk, len(texts[j]))])
+                both = both[both >= 0]
+                if len(both):
+                    met = j, int(both[0])
+                    break
+            if met:
+                j, start = met
+                out.append(b"".join(codec.encoded(pieces[: int(np.flatnonzero(bounds == start + (j - k) * chunk)[0])])))
+                k = j
+                break
+            more *= 2
 
 
 def scan(codec: Codec, text: str, chunk: int, overlap: int) -> tuple[bytes, np.ndarray, np.ndarray]:

@@ -1,6 +1,7 @@
 import base64
 import hashlib
 import random
+import time
 
 import public_tokenizers
 import pytest
@@ -49,6 +50,37 @@ def test_long_pieces(codec, library):
         assert bpe.unpack(codec.encode(text)) == library.encode_ordinary(text)
 
 
+def test_one_piece_over_many_chunks(codec, library):
+    random.seed(4)
+    for _ in range(400):
+        text = "".join(random.choice(("a", " ", "xyz ", "1", "é")) * random.choice((1, 2, 40)) for _ in range(random.randint(1, 12)))
+        chunk, overlap = random.choice([(5, 2), (8, 4), (16, 3)])
+        parts = bpe.chunks(text, chunk, overlap)
+        whole = bpe.stitch(codec, parts, *map(list, zip(*[bpe.scan(codec, t, chunk, overlap) for t in parts], strict=True)), chunk)
+        assert bpe.unpack(whole) == library.encode_ordinary(text)
+
+
+def test_stitching_takes_linear_time(codec):
+    took = []
+    for n in (1 << 17, 1 << 19):
+        text = "e" * n
+        parts = bpe.chunks(text, 1 << 13, 1 << 8)
+        scans = [bpe.scan(codec, t, 1 << 13, 1 << 8) for t in parts]
+        began = time.process_time()
+        whole = bpe.stitch(codec, parts, *map(list, zip(*scans, strict=True)), 1 << 13)
+        took.append(time.process_time() - began)
+        assert codec.decode(whole) == text.encode()
+    assert took[1] < 12 * took[0]
+
+
+def test_long_merges_equal_short_ones(codec):
+    random.seed(6)
+    for _ in range(1500):
+        raw = bytes(random.choice(b"aeinst \xc3\xa9\xe6") for _ in range(random.randint(2, 60)))
+        if raw not in codec.ranks:
+            assert codec.merge_long(raw) == codec.merge(raw)
+
+
 def test_query_matches_the_library(spark, sf, library):
     rows = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()
     got = {r.doc_id: r for r in queries.op3_byte_bpe(spark, sf).collect()}
