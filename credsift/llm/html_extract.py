@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import random
 import re
+from bisect import bisect_right
 from html import unescape
 from math import log1p
 
@@ -33,11 +34,12 @@ from . import common
 BLOCKS = frozenset("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html legend li main menu nav ol p pre search section summary table tbody td tfoot th thead tr ul".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
-DROPPED = frozenset("head script style textarea title noscript template select option button svg math iframe object canvas audio video noembed noframes datalist".split())
+DROPPED = frozenset("head script style textarea title noscript template select option button iframe noembed noframes datalist".split())
 CLOSES_P = BLOCKS - {"body", "html", "td", "th", "tr", "tbody", "thead", "tfoot"}
 #: An element of the key ends an open one of the value, unless one of SCOPE lies between.
 ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "tbody": {"tbody", "thead", "tr", "td", "th"}, "option": {"option"}}
 SCOPE = frozenset("table ul ol dl div article section aside nav body html form blockquote main header footer".split())
+SCOPE_OF_P = SCOPE | {"td", "th", "li"}
 #: Attribute tokens that tell a role, by role.
 TOKENS = {
     "menu": "nav navbar navigation menu breadcrumb breadcrumbs toc tabs pager pagination sitemap skip dropdown submenu",
@@ -55,7 +57,11 @@ ROLES = len(TOKENS)
 TAG_KINDS = ("p", "div", "section", "article", "main", "nav", "header", "footer", "aside", "form", "ul ol menu dl", "li dt dd", "h1", "h2 h3 h4 h5 h6", "table tbody thead tr", "td th", "blockquote", "pre", "figure figcaption", "#text", "body html")
 TAG_OF = {t: k for k, tags in enumerate(TAG_KINDS) for t in tags.split()}
 
-MARKUP = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+#: A comment or the like, a tag, or the start of a tag that doesn't end.
+MARKUP = re.compile(r"<(?:!--(?:.*?-->|.*)|[!?][^>]*+>?|(/?)([a-zA-Z][^\s/>]*+)(?:((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|()))", re.S)
+START = re.compile(r"<(?:!--(?:.*?-->|.*)|[!?][^>]*+>?|(/?)([a-zA-Z][^\s/>]*+))", re.S)
+BREAK = re.compile("[>\"']")
+RAW_END = {tag: re.compile(f"</{tag}", re.I | re.A) for tag in RAW}
 ATTRIBUTE = re.compile(r"(?:class|id|role|aria-label|itemprop|data-component|name)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 SPLIT = re.compile(r"[a-z]+")
 CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
@@ -84,13 +90,105 @@ def roles_of(attributes: str) -> int:
     return found
 
 
+class Markup:
+    """The tags of a page, in one pass of linear time: (start, end, "/" of an end tag, name, attributes), name None for comments and the like.
+
+    A tag ends at the first > outside of quotes. Where there is none its < is text. Places from which a search for that end has
+    failed are remembered, so that no later tag searches the rest of a page again.
+    """
+
+    def __init__(self, html: str):
+        self.html, self.failed = html, set()
+        self.last = {c: html.rfind(c) for c in ">\"'"}
+
+    def end_of(self, at: int) -> int:
+        """Place of the > that ends a tag whose attributes start at `at`, -1 for none."""
+        passed = []
+        while at not in self.failed and at <= self.last[">"]:
+            passed.append(at)
+            m = BREAK.search(self.html, at)
+            if m[0] == ">":
+                return m.start()
+            if self.last[m[0]] <= m.start():
+                break
+            at = self.html.index(m[0], m.end()) + 1
+        self.failed.update(passed)
+        return -1
+
+    def tags(self, skip):
+        """skip() is the place before which nothing counts any more."""
+        html, place, careful = self.html, 0, False
+        while m := (START if careful else MARKUP).search(html, max(place, skip())):
+            start, place = m.span()
+            if m[2] is None:
+                yield start, place, "", None, ""
+            elif not careful and m[4] is None:
+                yield start, place, m[1], m[2], m[3]
+            else:
+                # from the first tag without an end on, ends are searched with a memory
+                careful = True
+                end = self.end_of(place)
+                if end < 0:
+                    place = start + 1
+                else:
+                    yield start, end + 1, m[1], m[2], html[place:end]
+                    place = end + 1
+
+
+class Open:
+    """Open elements, inline ones too, each with the block that it stands in; finds the innermost of a name without walking."""
+
+    def __init__(self, root: Node):
+        self.stack = [("html", root)]
+        self.places: dict[str, list[int]] = {}
+        self.blocks, self.scopes, self.cells = [0], [0], [0]
+        self.lists: dict[str, tuple[list[int], ...]] = {}
+
+    def push(self, tag: str, node: Node) -> None:
+        at = len(self.stack)
+        self.stack.append((tag, node))
+        found = self.places.get(tag)
+        if found is None:
+            self.places[tag] = [at]
+        else:
+            found.append(at)
+        for kept in self.kept(tag):
+            kept.append(at)
+
+    def kept(self, tag: str) -> tuple[list[int], ...]:
+        """The lists that an element of this name stands in."""
+        found = self.lists.get(tag)
+        if found is None:
+            found = self.lists[tag] = tuple(kept for kept, tags in ((self.blocks, BLOCKS), (self.scopes, SCOPE), (self.cells, SCOPE_OF_P)) if tag in tags)
+        return found
+
+    def pop(self, to: int) -> list[str]:
+        """Ends the elements from place `to` on; their names, innermost first."""
+        ended = []
+        while len(self.stack) > to:
+            tag = self.stack.pop()[0]
+            self.places[tag].pop()
+            for kept in self.kept(tag):
+                kept.pop()
+            ended.append(tag)
+        return ended
+
+    def innermost(self, tag: str) -> int:
+        found = self.places.get(tag)
+        return found[-1] if found else 0
+
+    def outermost(self, tags: set[str], above: int) -> int:
+        """Place of the outermost of these elements above a place, 0 for none."""
+        return min((p[bisect_right(p, above)] for t in tags if (p := self.places.get(t)) and p[-1] > above), default=0)
+
+
 def parse(html: str) -> Node:
     """Tree of block elements and text runs."""
     root = node = Node("html", None)
-    stack: list[tuple[str, Node]] = [("html", root)]  # open elements, inline ones too, with the block that they stand in
+    still = Open(root)
     run: Node | None = None
     linked = dropped = 0
-    place, low = 0, None
+    place = 0
 
     def text(piece: str) -> None:
         nonlocal run
@@ -105,80 +203,55 @@ def parse(html: str) -> Node:
         run.parts.append((piece, linked > 0))
 
     def close(to: int) -> None:
-        """Ends the open elements from place `to` of the stack on."""
         nonlocal node, run, linked, dropped
-        for tag, _ in stack[to:]:
+        for tag in still.pop(to):
             linked -= tag == "a"
             dropped -= tag in DROPPED
             if tag in BLOCKS:
                 run = None
-        del stack[to:]
-        node = stack[-1][1]
+        node = still.stack[-1][1]
 
-    for m in MARKUP.finditer(html):
-        if m.start() < place:
-            continue
-        text(html[place : m.start()])
-        place = m.end()
-        tag = m[2]
+    for start, end, slash, tag, attributes in Markup(html).tags(lambda: place):
+        text(html[place:start])
+        place = end
         if tag is None:
             continue
         tag = tag.lower()
-        if m[1]:
-            for i in range(len(stack) - 1, 0, -1):
-                open_tag = stack[i][0]
-                if open_tag == tag:
-                    close(i)
-                    break
-                if open_tag in BLOCKS and tag not in BLOCKS and tag not in DROPPED:
-                    break  # an inline end tag doesn't end a block
+        if slash:
+            at = still.innermost(tag)
+            # an inline end tag doesn't end a block
+            if at and (tag in BLOCKS or tag in DROPPED or at >= still.blocks[-1]):
+                close(at)
             continue
-        if tag in CLOSES_P:
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i][0] == "p":
-                    close(i)
-                    break
-                if stack[i][0] in SCOPE or stack[i][0] in ("td", "th", "li"):
-                    break
+        if tag in CLOSES_P and (at := still.innermost("p")) and at > still.cells[-1]:
+            close(at)
         ends = ENDS.get(tag)
-        if ends:
-            last = 0
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i][0] in ends:
-                    last = i
-                elif stack[i][0] in SCOPE:
-                    break
-            if last:
-                close(last)
-        if tag == "body":
-            for i in range(1, len(stack)):
-                if stack[i][0] == "head":
-                    close(i)
-                    break
+        if ends and (at := still.outermost(ends, still.scopes[-1])):
+            close(at)
+        if tag == "body" and still.places.get("head"):
+            close(still.places["head"][0])
         if tag == "br":
             text(" ") if run is not None else None
         if tag in BLOCKS and tag != "html":
             run = None
             if not dropped and tag != "hr":
-                new = Node(tag, node, roles_of(m[3]) if m[3] else 0)
+                new = Node(tag, node, roles_of(attributes) if attributes else 0)
                 node.children.append(new)
                 node = new
         elif not dropped:
             node.tags += 1
             node.form += tag in ("input", "button", "select", "textarea", "label")
         if tag in RAW:
-            if low is None:
-                low = html.lower()
-            end = low.find(f"</{tag}", place)
+            m = RAW_END[tag].search(html, place)
             if tag not in DROPPED:
-                text(html[place : end if end >= 0 else len(html)])
-            place = len(html) if end < 0 else html.find(">", end) + 1 or len(html)
-        elif tag not in VOID and tag != "html" and not m[3].endswith("/"):
+                text(html[place : m.start() if m else len(html)])
+            place = html.find(">", m.end()) + 1 or len(html) if m else len(html)
+        elif tag not in VOID and tag != "html" and not attributes.endswith("/"):
             linked += tag == "a"
             dropped += tag in DROPPED
-            stack.append((tag, node))
+            still.push(tag, node)
         elif tag in BLOCKS and tag != "html" and tag != "hr":
-            node = stack[-1][1]
+            node = still.stack[-1][1]
     if place < len(html):
         text(html[place:])
     return root

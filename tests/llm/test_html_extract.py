@@ -1,4 +1,5 @@
 import re
+import time
 from html import unescape
 
 import pytest
@@ -98,3 +99,38 @@ def test_odd_rows(spark, trees):
     assert got[1] == got[2] == ""
     assert out.count() == 5
     assert df.limit(0).select(hx.main_text(spark, trees, df["html"])).count() == 0
+
+
+@pytest.mark.parametrize("tag", ["math", "svg", "object", "canvas", "video"])
+def test_fallback_text_in_an_article_stays(tag):
+    page = f"<html><body><nav><a href=x>Home</a> <a href=y>More</a></nav><article><h1>A title of it</h1><p>Area is <{tag}>x=2</{tag}> metres, as the survey of the whole field had shown before.</p><p>More of it stands here. And so on, and on.</p></article></body></html>"
+    assert "Area is x=2 metres, as" in hx.extract([page], hx.train())[0]
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        "<a href=\"x\" " * 90_000,
+        "<b>" * 150_000 + "</i>" * 150_000,
+        "<b>" * 100_000 + "<hr>" * 100_000,
+        "<i><div>" + "<b>" * 100_000 + "</i>" * 100_000,
+        "<a \"'> " * 100_000,
+        "<a x=' \" >" * 99_999,
+        ">" + "<a '" * 100_001 + "\"",
+        "<" * 500_000,
+        "<!--" * 200_000,
+    ],
+    ids=["unclosed", "stray", "rules", "hidden", "quotes", "odd quotes", "no end", "signs", "comments"],
+)
+def test_malformed_pages_take_linear_time(page):
+    took = []
+    for part in (page[: len(page) // 4], page):
+        began = time.process_time()
+        hx.measured(hx.parse(part))
+        took.append(time.process_time() - began)
+    assert took[1] < 12 * max(took[0], 0.02)
+
+
+def test_raw_text_ends_at_its_own_tag():
+    page = "<p>İ one</p><script>if (a<b && \"</p>\") x = '</q>'</SCRIPT><p>two</p>"
+    assert [hx.block_text(n) for n in hx.measured(hx.parse(page)) if n.parts] == ["İ one", "two"]
