@@ -65,9 +65,12 @@ def op9_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Grades: 0 is poor, 1 well written but toxic, 2 well written and civil. Selected is what is probably 1 or more."""
+    """Grades: 0 is poor, 1 well written but toxic, 2 well written and civil. Selected is what is probably 1 or more.
+
+    Well-written rows of which nothing is known about toxicity have no grade.
+    """
     docs, labels = table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels")
-    rated = labels.where("quality in (0, 1)").select("doc_id", F.when(F.col("quality") == 0, 0).when(F.col("toxic") == 1, 1).otherwise(2).alias("grade"))
+    rated = labels.where("quality in (0, 1)").select("doc_id", F.when(F.col("quality") == 0, 0).when(F.col("toxic") == 1, 1).when(F.col("toxic") == 0, 2).alias("grade"))
     model = quality.train(docs, rated)
     graded = docs.select("doc_id", held_out("doc_id").alias("held_out"), quality.grade(spark, model, F.col("text"), 1).alias("g"))
     return graded.select("doc_id", "held_out", F.col("g.expected").alias("expected_grade"), F.col("g.tail").alias("tail"), (F.col("g.tail") >= 0.5).alias("selected"))
