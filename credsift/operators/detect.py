@@ -1,8 +1,8 @@
 """Detection: files to candidate secrets, in one pass and without a shuffle.
 
 A file without any of the strings that matches need is dropped by plain searches before any regular expression is tried.
-The others are split into lines, and lines that match become arrays of candidates, pattern by pattern. `raw_value` exists only between here
-and verification; no sink takes it.
+The others are split into lines, and lines that match become arrays of candidates, pattern by pattern; a line is kept once,
+masked, for all its candidates. `raw_value` exists only between here and verification; no sink takes it.
 """
 
 from __future__ import annotations
@@ -39,7 +39,7 @@ def may_match(text: Column, low: Column, patterns: list[Pattern] | tuple[Pattern
 
 
 def matches(line: Column, p: Pattern) -> Column:
-    """Array of (at, match, secret) of all non-overlapping matches; `at` is the match's start, in characters from 0."""
+    """Array of (at, column, match, secret) of all non-overlapping matches: the match's start in characters from 0, and in UTF-16 units from 1."""
     regex, groups = p.compiled.regex, p.compiled.groups
     whole = F.regexp_extract_all(line, F.lit(regex), F.lit(0))
     captured = [F.regexp_extract_all(line, F.lit(regex), F.lit(k)) for k in range(groups, 0, -1)]
@@ -48,70 +48,68 @@ def matches(line: Column, p: Pattern) -> Column:
     def located(m: Column, g: Column) -> Column:
         # a leading empty match takes no piece off, so there is one gap less
         g = F.when(F.size(g) == F.size(m), F.concat(F.array(F.lit("")), g)).otherwise(g)
-        steps = F.transform(m, lambda x, i: F.length(F.get(g, i)) + F.when(i == 0, 0).otherwise(F.length(F.get(m, i - 1))))
-        return fn.let(steps, lambda s: F.transform(m, lambda x, i: F.struct(F.aggregate(F.slice(s, F.lit(1), i + 1), F.lit(0), lambda a, b: a + b).alias("at"), x.alias("match"), i.alias("i"))))
+        steps = lambda size: F.transform(m, lambda x, i: size(F.get(g, i)) + F.when(i == 0, 0).otherwise(size(F.get(m, i - 1))))
+        starts = lambda size: fn.running(steps(size), F.size(m), lambda i, start: start)
+        # the two counts only differ where there are characters beyond the basic plane
+        columns = lambda at: F.when(fn.units(line) == F.length(line), at).otherwise(starts(fn.units))
+        return fn.let(starts(F.length), lambda at: fn.let(columns(at), lambda column: F.transform(m, lambda x, i: F.struct(F.get(at, i).alias("at"), (F.get(column, i) + 1).alias("column"), x.alias("match"), i.alias("i")))))
 
     found = fn.let(whole, lambda m: fn.let(gaps, lambda g: located(m, g)))
     groups_then_match = F.array(*captured, whole) if captured else F.array(whole)
-    secrets = fn.let(groups_then_match, lambda c: F.transform(found, lambda x: F.struct(x["at"].alias("at"), x["match"].alias("match"), F.get(F.filter(F.transform(c, lambda a: F.get(a, x["i"])), lambda v: v != ""), F.lit(0)).alias("secret"))))
+    secrets = fn.let(groups_then_match, lambda c: F.transform(found, lambda x: F.struct(x["at"].alias("at"), x["column"].alias("column"), x["match"].alias("match"), F.get(F.filter(F.transform(c, lambda a: F.get(a, x["i"])), lambda v: v != ""), F.lit(0)).alias("secret"))))
     return F.filter(secrets, lambda x: x["match"] != "")
 
 
 def line_candidates(text: Column, number: Column, patterns: list[Pattern] | tuple[Pattern, ...], options: fn.EntropyOptions = fn.EntropyOptions()) -> Column:
-    """Array of the candidates of one line: pattern's ordinal, line, column, place, raw value, masked context of the line.
+    """struct(found, shown) of one line: its candidates (pattern's ordinal, line, column, place, raw value), and the line masked.
 
-    All values that the line gives up are masked in the context, longest first; those that the gate rejects aren't.
+    All values that the line gives up are masked in it, longest first; those that the gate rejects aren't.
     """
-    none = F.array().cast("array<struct<ordinal:int,at:int,raw_value:string>>")
-    numbered = lambda k: lambda x: F.struct(F.lit(k).alias("ordinal"), x["at"].alias("at"), x["secret"].alias("raw_value"))
+    none = F.array().cast("array<struct<ordinal:int,line:int,column:int,at:int,raw_value:string>>")
+    numbered = lambda k: lambda x: F.struct(F.lit(k).alias("ordinal"), number.cast("int").alias("line"), x["column"].cast("int").alias("column"), x["at"].cast("int").alias("at"), x["secret"].alias("raw_value"))
     parts = []
     for k, p in enumerate(patterns):
         found = matches(text, p)
         if p.entropyCheck:
             found = F.filter(found, lambda x: fn.entropy_gate(x["secret"], options))
         parts.append(F.when(text.rlike(p.compiled.regex), F.transform(found, numbered(k))).otherwise(none))
-    every = F.concat(*parts) if parts else none
-
-    def finished(c: Column) -> Column:
-        context = F.when(F.size(c) > 0, fn.trimmed(fn.masked_line(text, F.transform(c, lambda x: x["raw_value"]))))
-        return fn.let(
-            context,
-            lambda shown: F.transform(
-                c, lambda x: F.struct(x["ordinal"].alias("ordinal"), number.cast("int").alias("line"), (fn.units(F.substring(text, F.lit(1), x["at"])) + 1).cast("int").alias("column"), x["at"].alias("at"), x["raw_value"].alias("raw_value"), shown.alias("shown"))
-            ),
-        )
-
-    return fn.let(every, finished)
+    shown = lambda c: F.when(F.size(c) > 0, fn.trimmed(fn.masked_line(text, F.transform(c, lambda x: x["raw_value"]))))
+    return fn.let(F.concat(*parts) if parts else none, lambda c: F.struct(c.alias("found"), shown(c).alias("shown")))
 
 
 def with_candidates(files: DataFrame, patterns: list[Pattern] | tuple[Pattern, ...] = BUILTIN, options: fn.EntropyOptions = fn.EntropyOptions()) -> DataFrame:
-    """Candidate-bearing files with an array column `candidates`, in the order patterns, then lines, then places."""
-    gate, hits, found = _columns(files.sparkSession.sparkContext.applicationId, tuple(patterns), options)
+    """Candidate-bearing files with array columns `candidates`, in the order patterns, then lines, then places, and `shown`.
+
+    `shown` has each line with candidates once, masked; a candidate's `nth_line` is the place of its line there.
+    """
+    gate, hits, judged, found, shown = _columns(files.sparkSession.sparkContext.applicationId, tuple(patterns), options)
     kept = files.withColumn(LOW, F.lower("content")).where(gate).drop(LOW)
-    return kept.withColumn("hits", hits).withColumn("candidates", found).drop("hits").where(F.size("candidates") > 0)
+    kept = kept.withColumn("hits", hits).withColumn("judged", judged).withColumn("candidates", found).withColumn("shown", shown)
+    return kept.drop("hits", "judged").where(F.size("candidates") > 0)
 
 
 LOW = "low_case"
 
 
 @lru_cache(maxsize=32)
-def _columns(app: str, patterns: tuple[Pattern, ...], options: fn.EntropyOptions) -> tuple[Column, Column, Column]:
+def _columns(app: str, patterns: tuple[Pattern, ...], options: fn.EntropyOptions) -> tuple[Column, ...]:
     """What with_candidates is made of, once for each application and registry: building it takes longer than many a scan."""
     gate = may_match(F.col("content"), F.col(LOW), patterns)
     split = F.transform(F.split("content", "\n", -1), lambda t, i: F.struct((i + 1).alias("n"), t.alias("t")))
     hits = F.filter(split, lambda x: fn.let(F.lower(x["t"]), lambda low: may_match(x["t"], low, patterns)))
-    found = F.flatten(F.transform(F.col("hits"), lambda x: line_candidates(x["t"], x["n"], patterns, options)))
-    return gate, hits, F.array_sort(found)
+    judged = F.filter(F.transform(F.col("hits"), lambda x: line_candidates(x["t"], x["n"], patterns, options)), lambda x: F.size(x["found"]) > 0)
+    placed = F.transform(F.col("judged"), lambda x, i: F.transform(x["found"], lambda c: F.struct(*[c[f].alias(f) for f in ("ordinal", "line", "column", "at", "raw_value")], i.alias("nth_line"))))
+    return gate, hits, judged, F.array_sort(F.flatten(placed)), F.transform(F.col("judged"), lambda x: x["shown"])
 
 
 def exploded(bearing: DataFrame, patterns: list[Pattern] | tuple[Pattern, ...] = BUILTIN, keep: tuple[str, ...] = ()) -> DataFrame:
     """One row for each candidate, with the finding's columns, its place `nth` in the file, and raw_value; keep: columns of the file."""
-    rows = bearing.select(F.col("path").alias("file"), *keep, F.posexplode("candidates").alias("nth", "c"))
+    rows = bearing.select(F.col("path").alias("file"), *keep, "shown", F.posexplode("candidates").alias("nth", "c"))
     column = lambda f: F.get(F.array(*[F.lit(getattr(p, f)) for p in patterns]), F.col("c.ordinal"))
     return rows.select(
         "file", *keep, column("id").alias("patternId"), column("name").alias("patternName"), column("provider").alias("provider"), column("severity").alias("severity"), column("confidence").alias("confidence"),
         F.col("c.line").alias("line"), F.col("c.column").alias("column"), fn.masked(F.col("c.raw_value")).alias("masked"), fn.fingerprint(F.col("c.raw_value")).alias("fingerprint"),
-        F.array(F.col("c.shown")).alias("context"), F.col("c.ordinal").alias("ordinal"), F.col("c.at").alias("at"), F.col("c.raw_value").alias("raw_value"), "nth",
+        F.array(F.get("shown", F.col("c.nth_line"))).alias("context"), F.col("c.ordinal").alias("ordinal"), F.col("c.at").alias("at"), F.col("c.raw_value").alias("raw_value"), "nth",
     )
 
 
