@@ -30,6 +30,8 @@ SEED = 42
 BUCKET_ROWS = 8192
 #: Up to so many distinct fingerprints two blocks make a key, beyond it three, which keeps buckets small.
 TWO_BLOCK_ROWS = 1 << 27
+#: A node with more than one in so many of all edges has its least neighbour broadcast; there are at most so many such nodes.
+HOT_NODES = 1024
 
 
 def text_fingerprint(text: str | None, shingle: int = 4) -> int:
@@ -163,10 +165,13 @@ def forest(keys: np.ndarray, prints: np.ndarray, side: np.ndarray, radius: int)
     return np.array(left, np.int64), np.array(right, np.int64)
 
 
-def links(distinct: DataFrame, radius: int = 4, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
-    """Pairs (a, b) of distinct fingerprints (column `print`) that connect all that differ in at most `radius` bits."""
+def links(distinct: DataFrame, radius: int = 4, bucket_rows: int = BUCKET_ROWS, two_block_rows: int = TWO_BLOCK_ROWS) -> DataFrame:
+    """Pairs (a, b) of distinct fingerprints (column `print`) that connect all that differ in at most `radius` bits.
+
+    Any number of blocks in a key finds all links; which one is used is a matter of bucket sizes only.
+    """
     common.small_batches(distinct.sparkSession)
-    match = 2 if distinct.count() <= TWO_BLOCK_ROWS else 3
+    match = 2 if distinct.count() <= two_block_rows else 3
     cuts = [round(64 * k / (radius + match)) for k in range(radius + match + 1)]
     keys = []
     for n, chosen in enumerate(combinations(range(radius + match), match)):
@@ -213,37 +218,50 @@ def links(distinct: DataFrame, radius: int = 4, bucket_rows: int = BUCKET_ROWS)
     return dealt.repartition("t", "k", "p", "q").sortWithinPartitions("t", "k", "p", "q").mapInPandas(compare, "a long, b long")
 
 
+def with_least(rows: DataFrame, key: str, least: DataFrame, edges: int) -> DataFrame:
+    """rows with `m`, the value that `least` (node, m) has for the node in column `key`; null for none.
+
+    Nodes that hold more than one in HOT_NODES of the rows would bring them all to one task. Their values are broadcast instead:
+    at most HOT_NODES rows, whatever the size.
+    """
+    hot = rows.groupBy(key).count().where(F.col("count") * HOT_NODES > edges).select(F.col(key).alias("h_node"))
+    hot = hot.join(least, hot["h_node"] == least["node"], "left").select("h_node", F.struct("m").alias("h_m"))
+    marked = rows.join(F.broadcast(hot), F.col(key) == F.col("h_node"), "left")
+    rest = marked.where("h_m is null").drop("h_node", "h_m")
+    return marked.where("h_m is not null").select(*rows.columns, "h_m.m").unionByName(rest.join(least, F.col(key) == least["node"], "left").select(*rows.columns, "m"))
+
+
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """(node, root): connected components by alternating large-star and small-star steps; root is the smallest node.
 
-    Every step is an aggregation and an equi-join, written to the shared folder; nothing is collected but two sums that tell
-    whether the edges still change.
+    Edges go from the greater node a to the smaller b. The large-star step hangs a on the least neighbour of b, the small-star
+    step hangs all smaller neighbours of a node on its least. Every step is an aggregation with partial sums and a look-up,
+    written to the shared folder; nothing is collected but two sums that tell whether the edges still change.
     """
     now = common.written(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), "edges")
-    state = None
+    state, total = None, now.count()
     for _ in range(rounds):
-        both = now.select("a", "b").union(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b")
-        lowest = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(lowest, "a").select(F.explode(F.array(F.struct(F.col("b").alias("a"), F.col("m").alias("b")), F.struct("a", F.col("m").alias("b")))).alias("e")).select("e.a", "e.b").where("a <> b").distinct()
-        now = common.written(small, "edges")
+        lowest = now.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m"))
+        large = common.written(with_least(now, "b", lowest, total).select("a", F.coalesce("m", "b").alias("b")).distinct(), "edges")
+        lowest = large.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m"))
+        small = with_least(large, "a", lowest, total).select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b")
+        now = common.written(small.union(lowest.select(F.col("node").alias("a"), F.col("m").alias("b"))).distinct(), "edges")
         seen = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if seen == state:
             break
-        state = seen
+        state, total = seen, seen[0]
     else:
         raise RuntimeError(f"components did not settle in {rounds} rounds")
     roots = now.select(F.col("a").alias("node"), F.col("b").alias("root"))
     return roots.union(now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = 4, shingle: int = 4, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = 4, shingle: int = 4, bucket_rows: int = BUCKET_ROWS, two_block_rows: int = TWO_BLOCK_ROWS) -> DataFrame:
     """(id, print, component): one row per row of docs; component is the smallest id that links reach."""
     common.small_batches(docs.sparkSession)
     prints = common.written(docs.select(F.col(id_col).alias("id"), fingerprint(F.col(text_col), shingle).alias("print")), "prints")
     distinct = common.written(prints.groupBy("print").agg(F.min("id").alias("least")), "distinct")
-    joined = components(links(distinct, radius, bucket_rows))
+    joined = components(links(distinct, radius, bucket_rows, two_block_rows))
     roots = distinct.join(joined, distinct["print"] == joined["node"], "left").select("print", "least", F.coalesce("root", "print").alias("root"))
     named = common.written(roots, "roots")
     # a component's name is the smallest id of its members; only components of several prints need the aggregate

@@ -74,8 +74,30 @@ def test_split_buckets_lose_no_link(spark):
         rows.append((i, " ".join(text)))
         prints[i] = plain(rows[-1][1])
     df = spark.createDataFrame(rows, DOCS)
-    got = {r.id: r.component for r in simhash.near_duplicates(df, bucket_rows=16).collect()}
-    assert got == plain_components(prints)
+    for two_block_rows in (0, 1000):
+        got = {r.id: r.component for r in simhash.near_duplicates(df, bucket_rows=16, two_block_rows=two_block_rows).collect()}
+        assert got == plain_components(prints)
+
+
+def test_components_of_stars_chains_and_hubs(spark):
+    random.seed(8)
+    edges = [(i, i + 1) for i in range(100, 160)] + [(999, i) for i in range(300, 500)] + [(600, i) for i in range(601, 900)] + [(5, 700), (2000, 2001), (2001, 2002), (2002, 2000), (7, 7)]
+    edges += [(random.randint(3000, 3080), random.randint(3000, 3080)) for _ in range(60)]
+    random.shuffle(edges)
+    root = {n: n for e in edges for n in e}
+
+    def top(n):
+        while root[n] != n:
+            n = root[n]
+        return n
+
+    for a, b in edges:
+        x, y = top(a), top(b)
+        root[max(x, y)] = min(x, y)
+    linked = {n for a, b in edges if a != b for n in (a, b)}
+    got = {(r.node, r.root) for r in simhash.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == {(n, top(n)) for n in linked}
+    assert simhash.components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
 def test_odd_rows(spark):
