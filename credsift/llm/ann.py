@@ -3,15 +3,16 @@
 Vectors are dealt to the list of their nearest centroid, and their residuals are cut into pairs of components that take four
 bits each. Codes are chosen and codebooks fitted to a loss that weighs the part of the error along the vector (which
 moves large inner products) `eta` times the part across it. A query probes the lists of the largest inner products with
-its centroids, scans them by tables of partial inner products (two four-bit codes a look-up), and the best candidates of every
+its centroids, as many as a measurement on the sample asks for, scans them by tables of partial inner products (two four-bit codes a look-up), and the best candidates of every
 list, with all that the error of the tables leaves undecided, are reranked exactly, in double precision on the original vectors.
 
-Centroids and codebooks are fitted on a bounded sample; every vector is indexed. Lists are cut into blocks of at most about
+Centroids and codebooks are fitted on a bounded sample (MOST_TRAIN_ROWS at most); every vector is indexed. Lists are cut into blocks of at most about
 BLOCK_ROWS rows, so a list that holds a third of all vectors is many tasks; queries of a block are handled in slices.
 
 Defined results: vectors that are null, zero, or hold null or non-finite components take no part, neither as queries nor as
 candidates, nor do null ids and vectors of another length than most; ties go to the smaller id; rows with repeated
-ids are candidates of their own, and a query never finds a row with its own id; fewer candidates than k give all of them;
+ids are candidates of their own, equal rows are one query and rows of one id with different vectors are queries of their own,
+each with its ranks; a query never finds a row with its own id; fewer candidates than k give all of them;
 an empty table gives an empty result.
 """
 
@@ -24,12 +25,13 @@ from pyspark.sql import functions as F
 
 from . import common
 
-#: Rows of the fitting sample; rows a list should have; rows of a block.
-TRAIN_ROWS, LIST_ROWS, BLOCK_ROWS = 10_000, 1600, 20_000
-MAX_LISTS = 4096
-#: Share of the lists that a query probes, and how many at least. Vectors with little structure need most lists for recall;
-#: clustered ones do with a small share.
-PROBED, LEAST_PROBED = 0.8, 24
+#: Rows a list should have; rows of a block.
+LIST_ROWS, BLOCK_ROWS = 1600, 20_000
+#: Rows of the fitting sample: at least, for each list, and at most; the last bounds the number of lists, too.
+TRAIN_ROWS, TRAIN_ROWS_A_LIST, MOST_TRAIN_ROWS = 10_000, 16, 1 << 16
+#: Share of neighbours that the probed lists must hold, and the sample's queries that it is measured by. Vectors with little
+#: structure need most lists for it, clustered ones few.
+RECALL, MEASURED, LEAST_PROBED = 0.96, 400, 4
 ETA = 4.0
 #: Candidates a block that are reranked at first, in multiples of k.
 RERANK = 4
@@ -131,6 +133,19 @@ class Index:
         count = min(count, scores.shape[1])
         return np.argsort(-scores, axis=1)[:, :count]
 
+    def probes_needed(self, sample: np.ndarray, k: int, recall: float = RECALL) -> int:
+        """How many lists hold `recall` of the k nearest, of the sample, of some of its own vectors."""
+        queries = sample[:MEASURED]
+        scores = queries @ sample.T
+        scores[np.arange(len(queries)), np.arange(len(queries))] = -np.inf
+        k = min(k, len(sample) - 1)
+        if k < 1:
+            return len(self.centroids)
+        near = np.argpartition(-scores, k - 1, axis=1)[:, :k]
+        place = np.argsort(self.probes(queries, len(self.centroids)), axis=1)
+        places = np.take_along_axis(place, self.nearest(sample.astype(np.float32))[near], 1)
+        return int(np.quantile(places, recall, method="higher")) + 1
+
     def tables(self, query: np.ndarray) -> np.ndarray:
         """(bytes, 256): inner products of the query with what each byte of codes stands for."""
         q = np.pad(query, (0, 2 * self.pairs - self.dim)).reshape(self.pairs, 2)
@@ -141,12 +156,13 @@ class Index:
 
 
 def scan_block(index: Index, ids: np.ndarray, vectors: np.ndarray, codes: np.ndarray, centroid: np.ndarray, errors: np.ndarray, query_ids: np.ndarray, queries: np.ndarray, bounds: np.ndarray, k: int, rerank: int):
-    """(query, id, score) of the best of one block, of those that reach the query's bound: tables first, then the exact measure.
+    """(place of the query, id, score) of the best of one block, of those that reach the query's bound: tables first, then the exact measure.
 
     Reranked are the k * rerank best by the tables, and then all that can reach the k-th best of these: whose table score is no
     further below than the error of their codes allows. So copies and equal scores are told apart by the exact measure.
     """
     out, take = [], min(len(ids), k * rerank + 1)
+    place = 0
     columns = np.ascontiguousarray(codes.T).astype(np.intp)
     for qid, q, least in zip(query_ids, queries, bounds, strict=True):
         if take < len(ids):
@@ -169,12 +185,18 @@ def scan_block(index: Index, ids: np.ndarray, vectors: np.ndarray, codes: np.nda
         fine = (ids[some] != qid) & (exact >= least)
         some, exact = some[fine], exact[fine]
         best = np.lexsort((ids[some], -exact))[:k]
-        out.append((np.full(len(best), qid), ids[some][best], exact[best]))
+        out.append((np.full(len(best), place), ids[some][best], exact[best]))
+        place += 1
     return [np.concatenate(x) for x in zip(*out, strict=True)]
 
 
-def search(rows: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", every: int = 20, k: int = 20, probed: float = PROBED, rerank: int = RERANK, train_rows: int = TRAIN_ROWS, block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """(query_id, rank, vec_id, score): the k nearest found for every row whose id is divisible by `every`."""
+def search(
+    rows: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", every: int = 20, k: int = 20, probed: float | None = None, rerank: int = RERANK, train_rows: int = TRAIN_ROWS, block_rows: int = BLOCK_ROWS, list_rows: int = LIST_ROWS
+) -> DataFrame:
+    """(query_id, rank, vec_id, score): the k nearest found for every row whose id is divisible by `every`.
+
+    Queries probe so many lists as hold RECALL of the nearest in the sample, or the share `probed` of them.
+    """
     spark = rows.sparkSession
     common.small_batches(spark)
     schema = "query_id long, rank int, vec_id long, score double"
@@ -184,10 +206,15 @@ def search(rows: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding",
         return spark.createDataFrame([], schema)
     dim, total = sizes[0]["d"], sizes[0]["count"]
     fine = fine.where(F.size("v") == dim)
-    sample = np.array([r.v for r in common.bounded_sample(fine, train_rows, "id", total).select("v").collect()])
-    lists = int(min(MAX_LISTS, max(1, total // LIST_ROWS), len(sample)))
-    index = spark.sparkContext.broadcast(Index(sample, lists))
-    probes = min(lists, max(LEAST_PROBED, round(probed * lists)))
+    lists = max(1, total // list_rows)
+    wanted = min(max(train_rows, TRAIN_ROWS_A_LIST * lists), MOST_TRAIN_ROWS)
+    sample = np.array([r.v for r in common.bounded_sample(fine, wanted, "id", total).select("v").collect()])
+    built = Index(sample, int(min(lists, max(1, len(sample) // TRAIN_ROWS_A_LIST))))
+    lists = len(built.centroids)
+    # the sample's neighbours of the same rank are further off than the table's, which only asks for more lists
+    probes = built.probes_needed(sample, max(1, round(k * len(sample) / total))) if probed is None else round(probed * lists)
+    probes = min(lists, max(LEAST_PROBED, probes))
+    index = spark.sparkContext.broadcast(built)
 
     def indexed(batches):
         for b in batches:
@@ -202,7 +229,7 @@ def search(rows: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding",
     placed = stored.select("list", F.pmod(F.xxhash64("id"), F.element_at(many, F.col("list"))).cast("int").alias("block"), "id", "v", "codes")
 
     def probing(ranks: slice):
-        """Rows (list, block, q, v, least) of the queries' probes of these ranks, nearest list first."""
+        """Rows (list, block, n, q, v, least) of the queries' probes of these ranks, nearest list first."""
 
         def probe(batches):
             for b in batches:
@@ -211,7 +238,7 @@ def search(rows: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding",
                     pairs = [(i, own, blk) for i, row in enumerate(at) for own in row.tolist() for blk in range(blocks.get(own, 0))]
                     if pairs:
                         i, own, blk = map(list, zip(*pairs, strict=True))
-                        yield pd.DataFrame({"list": own, "block": blk, "q": b["id"].to_numpy()[i], "v": b["v"].to_numpy()[i], "least": b["least"].to_numpy()[i]})
+                        yield pd.DataFrame({"list": own, "block": blk, "n": b["n"].to_numpy()[i], "q": b["id"].to_numpy()[i], "v": b["v"].to_numpy()[i], "least": b["least"].to_numpy()[i]})
 
         return probe
 
@@ -222,24 +249,26 @@ def search(rows: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding",
         errors = index.value.errors(vectors - centroid, codes)
         for s in range(0, len(right), QUERY_SLICE):
             part = right.iloc[s : s + QUERY_SLICE]
-            q, i, x = scan_block(index.value, ids, vectors, codes, centroid, errors, part["q"].to_numpy(), np.stack(part["v"].to_numpy()), part["least"].to_numpy(), k, rerank)
-            yield pd.DataFrame({"query_id": q, "vec_id": i, "score": x})
+            at, i, x = scan_block(index.value, ids, vectors, codes, centroid, errors, part["q"].to_numpy(), np.stack(part["v"].to_numpy()), part["least"].to_numpy(), k, rerank)
+            yield pd.DataFrame({"n": part["n"].to_numpy()[at], "query_id": part["q"].to_numpy()[at], "vec_id": i, "score": x})
 
     def whole(key, left, right):
         parts = list(scanned(key, left, right)) if len(left) and len(right) else []
-        return pd.concat(parts) if parts else pd.DataFrame({"query_id": np.zeros(0, np.int64), "vec_id": np.zeros(0, np.int64), "score": np.zeros(0)})
+        return pd.concat(parts) if parts else pd.DataFrame({"n": np.zeros(0, np.int64), "query_id": np.zeros(0, np.int64), "vec_id": np.zeros(0, np.int64), "score": np.zeros(0)})
 
     def searched(queries: DataFrame, ranks: slice) -> DataFrame:
-        asked = queries.mapInPandas(probing(ranks), "list int, block int, q long, v array<double>, least double")
-        return placed.groupBy("list", "block").cogroup(asked.groupBy("list", "block")).applyInPandas(whole, "query_id long, vec_id long, score double")
+        asked = queries.mapInPandas(probing(ranks), "list int, block int, n long, q long, v array<double>, least double")
+        return placed.groupBy("list", "block").cogroup(asked.groupBy("list", "block")).applyInPandas(whole, "n long, query_id long, vec_id long, score double")
 
     # the nearest list first: its k-th score is a bound that what other lists send on must reach, which loses nothing
-    asking = stored.where(F.pmod("id", F.lit(every)) == 0).select("id", "v")
+    # rows of one id with different vectors are queries of their own, equal rows one query
+    asking = stored.where(F.pmod("id", F.lit(every)) == 0).select("id", "v").distinct().withColumn("n", F.monotonically_increasing_id())
+    asking = common.written(asking, "queries")
     near = common.written(searched(asking.withColumn("least", F.lit(float("-inf"))), slice(0, 1)), "near")
     kth = F.get(F.sort_array(F.collect_list("score"), asc=False), F.lit(k - 1))
-    bound = near.groupBy(F.col("query_id").alias("id")).agg(F.coalesce(kth, F.lit(float("-inf"))).alias("least"))
-    bounded = asking.join(bound, "id", "left").withColumn("least", F.coalesce("least", F.lit(float("-inf"))))
-    found = near.union(searched(bounded.select("id", "v", "least"), slice(1, None))) if probes > 1 else near
+    bound = near.groupBy("n").agg(F.coalesce(kth, F.lit(float("-inf"))).alias("least"))
+    bounded = asking.join(bound, "n", "left").withColumn("least", F.coalesce("least", F.lit(float("-inf"))))
+    found = near.union(searched(bounded.select("n", "id", "v", "least"), slice(1, None))) if probes > 1 else near
     best = F.slice(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("s"), "vec_id"))), 1, k)
-    top = found.groupBy("query_id").agg(best.alias("b")).select("query_id", F.posexplode("b").alias("p", "c"))
+    top = found.groupBy("n", "query_id").agg(best.alias("b")).select("query_id", F.posexplode("b").alias("p", "c"))
     return top.select("query_id", (F.col("p") + 1).cast("int").alias("rank"), F.col("c.vec_id").alias("vec_id"), (-F.col("c.s")).alias("score"))

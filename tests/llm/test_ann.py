@@ -106,6 +106,30 @@ def test_near_and_exact_copies_of_a_third(spark):
     assert np.mean([j in got[q].values() for q, w in want.items() for j, _ in w]) > 0.95
 
 
+@pytest.mark.parametrize("size", [1500, 6000])
+def test_structured_vectors_probe_few_lists(spark, size):
+    """Clusters of 30: recall holds, and the lists that are probed don't grow with the table."""
+    rng = np.random.default_rng(size)
+    x = (np.repeat(rng.normal(size=(size // 30, 16)) * 3, 30, axis=0) + 0.3 * rng.normal(size=(size // 30 * 30, 16))).astype(np.float32)
+    index = ann.Index(x.astype(float), len(x) // 100)
+    assert index.probes_needed(x.astype(float), 20) <= 12
+    df = spark.createDataFrame([(i, [float(c) for c in v]) for i, v in enumerate(x)], SCHEMA)
+    want = brute(np.arange(len(x)), x, 100, 20)
+    got = {}
+    for r in ann.search(df, every=100, list_rows=100).collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    assert np.mean([j in got[q] for q, w in want.items() for j, _ in w]) >= 0.9
+
+
+def test_repeated_query_rows(spark):
+    rows = [(i, [float(i), 1.0]) for i in range(1, 40)] + [(20, [20.0, 1.0]), (40, [1.0, 0.0]), (40, [-1.0, 0.0])]
+    got = {}
+    for r in ann.search(spark.createDataFrame(rows, SCHEMA), k=4).collect():
+        got.setdefault(r.query_id, []).append((r.rank, r.vec_id))
+    assert sorted(got[20]) == [(1, 39), (2, 38), (3, 37), (4, 36)]
+    assert sorted(got[40]) == sorted([(1, 39), (2, 38), (3, 37), (4, 36), (1, 1), (2, 2), (3, 3), (4, 4)])
+
+
 def test_odd_rows(spark):
     nan, inf = float("nan"), float("inf")
     rows = [(0, [1.0, 0.0]), (20, [0.0, 1.0]), (40, None), (60, [0.0, 0.0]), (80, [nan, 1.0]), (100, [inf, 1.0]), (120, [None, 1.0]), (None, [1.0, 1.0]), (7, [0.5, 0.5]), (7, [0.5, 0.5]), (140, []), (8, [1.0, 2.0, 3.0])]
