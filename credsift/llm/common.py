@@ -15,10 +15,13 @@ BATCH_ROWS, BATCH_BYTES = 1000, 16 << 20
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and every executor see: spark.checkpoint.dir of the session.
 
-    Only where the cluster names none (tests on one machine) is a folder made and set.
+    Only on one machine (tests) is a folder made and set where none is named; a cluster must name one.
     """
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not named:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         named = "file://" + tempfile.mkdtemp(prefix="credsift-")
         spark.sparkContext.setCheckpointDir(named)
         spark.conf.set("spark.checkpoint.dir", named)
