@@ -8,8 +8,8 @@ Words are what WORD finds in the lower-cased, NFC-normalised text: letter runs,
 ends with the vocabulary's end mark, so pieces that end words differ from those that don't; where the last piece has no such
 form, the mark that is left over counts nothing.
 
-Defined results: null and empty texts have 0 tokens; a vocabulary without some single byte counts one for each byte that no
-piece covers; repeated rows, empty tables and other columns pass through untouched.
+Defined results: null and empty texts have 0 tokens; a word that the vocabulary's pieces can't cover counts one for each of
+its bytes; repeated rows, empty tables and other columns pass through untouched.
 """
 
 from __future__ import annotations
