@@ -24,7 +24,7 @@ def count(flag: str, text: str, least: int, what: str) -> int:
     """Leading digits of the text, as command lines have always read them."""
     m = re.match(r"\s*([+-]?\d+)", text)
     if not m or int(m[1]) < least:
-        raise ValueError(f'{flag} must be a {what} integer (got "{text}")')
+        raise ValueError(f'{flag} takes a {what} number, not "{text}"')
     return int(m[1])
 
 
@@ -53,9 +53,9 @@ def run_scan(o: argparse.Namespace, spark=None) -> int:
     from .plans.scan import scan
 
     if o.format not in ("terminal", "json", "workflow"):
-        raise ValueError(f'--format must be "terminal" or "json" (got "{o.format}")')
+        raise ValueError(f'--format takes terminal, json or workflow, not "{o.format}"')
     if o.output and o.format != "json":
-        raise ValueError("--output requires --format=json")
+        raise ValueError("--output goes with --format=json only")
     limit, workers = count("--max-findings", o.max_findings, 0, "non-negative"), count("--concurrency", o.concurrency, 1, "positive")
     config = load_config(o.path)
     fail_on = o.fail_on or config.failOn
@@ -69,7 +69,7 @@ def run_scan(o: argparse.Namespace, spark=None) -> int:
         print(*conflict_notes(conflicts), sep="\n", end="\n" if conflicts else "", file=sys.stderr)
     source = files.staged(spark, o.path, config.ignore, config.include) if o.staged else None
     result = scan(spark, o.path, patterns, source, config.ignore, config.include, version=version())
-    result.findings = result.findings.cache()  # masked rows only
+    result.findings, result.skipped = result.findings.cache(), result.skipped.cache()  # masked rows, paths and reasons only
     code = report.exit_code(result, fail_on)
     if o.quiet and result.findings.isEmpty() and result.skipped.isEmpty():
         return 0

@@ -69,22 +69,22 @@ def parse_patterns(text: str, where: str, spark: SparkSession | None = None) ->
     try:
         items = json.loads(text)
     except ValueError as e:
-        raise ValueError(f"Failed to load patterns from {where}: {e}") from e
+        raise ValueError(f"{where}: no patterns could be read: {e}") from e
     if not isinstance(items, list):
-        raise ValueError("Patterns file must contain a JSON array of Pattern objects.")
+        raise ValueError(f"{where}: a list of patterns was expected")
     out = []
     for k, item in enumerate(items):
         if not is_pattern(item):
-            raise ValueError(f"Invalid Pattern at index {k} in {where}: expected a valid Pattern object with all required fields and correct types.")
+            raise ValueError(f"{where}, entry {k}: fields are missing or of a wrong type")
         pattern = Pattern(*[item[f] for f in FIELDS])
         try:
             compiled = pattern.compiled.regex
             if spark is not None:
                 spark.range(1).where(F.lit("").rlike(compiled)).count()
         except UnsupportedPattern as e:
-            raise ValueError(f"Invalid Pattern at index {k} in {where}: regex failed to compile — {e}") from e
+            raise ValueError(f"{where}, entry {k}: the expression does not compile: {e}") from e
         except Exception as e:
-            raise ValueError(f"Invalid Pattern at index {k} in {where}: regex failed to compile — {str(e).splitlines()[0]}") from e
+            raise ValueError(f"{where}, entry {k}: the expression does not compile: {str(e).splitlines()[0]}") from e
         out.append(pattern)
     return out
 
@@ -93,7 +93,7 @@ def load_patterns(path: str | Path, spark: SparkSession | None = None) -> list[P
     try:
         text = Path(path).read_text(encoding="utf-8")
     except OSError as e:
-        raise ValueError(f"Failed to load patterns from {path}: {e}") from e
+        raise ValueError(f"{path}: no patterns could be read: {e}") from e
     return parse_patterns(text, str(path), spark)
 
 

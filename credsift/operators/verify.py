@@ -60,26 +60,26 @@ def placeholder_shape(value: Column) -> Column:
 
 
 def test_path(s: Subject) -> Column:
-    return F.when(is_test_path(s.path), verdict("test-path", "adjust", "file is in a test path", severity="low"))
+    return F.when(is_test_path(s.path), verdict("test-path", "adjust", "path of a test", severity="low"))
 
 
 def placeholder_value(s: Subject) -> Column:
     marker = placeholder_marker(s.raw_value)
-    by_marker = verdict("placeholder-value", "drop", F.concat(F.lit('value contains placeholder marker "'), marker, F.lit('"')))
-    return F.when(marker.isNotNull(), by_marker).when(placeholder_shape(s.raw_value), verdict("placeholder-value", "drop", "value matches a placeholder shape"))
+    by_marker = verdict("placeholder-value", "drop", F.concat(F.lit('a stand-in says "'), marker, F.lit('"')))
+    return F.when(marker.isNotNull(), by_marker).when(placeholder_shape(s.raw_value), verdict("placeholder-value", "drop", "shaped like a stand-in"))
 
 
 def constant_alias(s: Subject) -> Column:
     fixture = s.declared.rlike(f"(?i)(^|_)({'|'.join(FIXTURE_PREFIXES)})(_|\\z)")
-    return F.when(s.has_tree & fixture, verdict("constant-alias", "drop", F.concat(F.lit('assigned to fixture variable "'), s.declared, F.lit('"'))))
+    return F.when(s.has_tree & fixture, verdict("constant-alias", "drop", F.concat(F.lit('value of the fixture "'), s.declared, F.lit('"'))))
 
 
 def env_reference(s: Subject) -> Column:
-    return F.when(s.has_tree & s.in_access, verdict("env-reference", "drop", "value is inside an environment-variable reference"))
+    return F.when(s.has_tree & s.in_access, verdict("env-reference", "drop", "part of a look-up in the environment"))
 
 
 def template_literal_value(s: Subject) -> Column:
-    return F.when(s.has_tree & s.interpolated, verdict("template-literal-value", "drop", "value is inside a template literal interpolation"))
+    return F.when(s.has_tree & s.interpolated, verdict("template-literal-value", "drop", "part of an expression within a template"))
 
 
 Rule = Callable[[Subject], Column]
@@ -89,33 +89,51 @@ RULES: tuple[Rule, ...] = (test_path, placeholder_value, constant_alias, env_ref
 Parser = Callable[[str, str, list[tuple[int, int]]], list[tuple[bool, "str | None", bool, bool]]]
 
 FACT = "array<struct<has_tree:boolean,declared:string,in_access:boolean,interpolated:boolean>>"
+PARSED = f"struct<facts:{FACT},failure:string>"
+
+
+def is_parsed() -> Column:
+    """Whether a file's language is one that parsers are asked about."""
+    return F.coalesce(fn.extension(F.col("path")).isin(*structure.EXTENSIONS), F.lit(False))
 
 
 def with_facts(bearing: DataFrame, parser: Parser = structure.facts) -> DataFrame:
-    """Files of detect.with_candidates() with the structural facts of each candidate's place.
+    """Files of detect.with_candidates() with the structural `facts` of each candidate's place, and `failure`, null for most.
 
     Only candidate-bearing files come here, each is read once for all its candidates, and only supported languages
-    are sent to Python at all.
+    are sent to Python at all. A file on which the parser raises has no facts but a failure; the others go on.
     """
     places = F.transform("candidates", lambda c: F.struct(c["line"].alias("line"), c["at"].alias("at")))
-    suffix = fn.extension(F.col("path"))
-    supported = F.coalesce(suffix.isin(*structure.EXTENSIONS), F.lit(False))
 
-    @F.pandas_udf(FACT)
-    def of(texts: pd.Series, suffixes: pd.Series, where: pd.Series) -> pd.Series:
-        found = []
+    @F.pandas_udf(PARSED)
+    def of(texts: pd.Series, suffixes: pd.Series, where: pd.Series) -> pd.DataFrame:
+        found, failures = [], []
         for text, ext, each in zip(texts, suffixes, where, strict=True):
-            rows = parser(text, ext, [(p["line"], p["at"]) for p in each])
-            found.append([dict(zip(("has_tree", "declared", "in_access", "interpolated"), r, strict=True)) for r in rows])
-        return pd.Series(found, dtype=object)
+            try:
+                rows = parser(text, ext, [(p["line"], p["at"]) for p in each])
+                found.append([dict(zip(("has_tree", "declared", "in_access", "interpolated"), r, strict=True)) for r in rows])
+                failures.append(None)
+            except Exception as e:  # noqa: BLE001  whatever a parser trips over is the skip reason of that file alone
+                found.append(None)
+                failures.append(f"scan failed: {str(e) or type(e).__name__}")
+        return pd.DataFrame({"facts": pd.Series(found, dtype=object), "failure": pd.Series(failures, dtype=object)})
+
+    plain = bearing.where(~is_parsed()).withColumn("facts", F.lit(None).cast(FACT)).withColumn("failure", F.lit(None).cast("string"))
+    # declared so that tests of `failure` stay above it, where each file has been parsed once
+    parsed = bearing.where(is_parsed()).withColumn("parsed", of.asNondeterministic()(F.col("content"), fn.extension(F.col("path")), places))
+    return parsed.select("*", "parsed.facts", "parsed.failure").drop("parsed").unionByName(plain)
+
 
-    plain = bearing.where(~supported).withColumn("facts", F.lit(None).cast(FACT))
-    return bearing.where(supported).withColumn("facts", of(F.col("content"), suffix, places)).unionByName(plain)
+def failures(files: DataFrame, patterns: list[Pattern] | tuple[Pattern, ...] = BUILTIN, parser: Parser = structure.facts, options: fn.EntropyOptions = fn.EntropyOptions()) -> DataFrame:
+    """(path, reason) of the files on which the parser raises; only files that it is asked about are looked at."""
+    rows = detect.exploded(with_facts(detect.with_candidates(files.where(is_parsed()), patterns, options), parser), patterns, keep=("failure",))
+    return rows.where("failure is not null and nth = 0").select(F.col("file").alias("path"), F.col("failure").alias("reason"))
 
 
 def judged(bearing: DataFrame, patterns: list[Pattern] | tuple[Pattern, ...] = BUILTIN, rules: tuple[Rule, ...] = RULES, parser: Parser = structure.facts) -> DataFrame:
-    """Candidates with `verdicts`, the non-null verdicts in rule order, of which those after the first drop are void."""
-    rows = detect.exploded(with_facts(bearing, parser), patterns, keep=("facts",))
+    """Candidates with `verdicts`, the non-null verdicts in rule order, of which those after the first drop are void, and
+    `failure`, their file's, if it has one."""
+    rows = detect.exploded(with_facts(bearing, parser), patterns, keep=("facts", "failure"))
     return rows.withColumn("verdicts", _verdicts(rows.sparkSession.sparkContext.applicationId, tuple(rules))).drop("facts", "nth")
 
 
@@ -130,9 +148,10 @@ def _verdicts(app: str, rules: tuple[Rule, ...]) -> Column:
 
 
 def survivors(rows: DataFrame) -> DataFrame:
-    """Findings: judged candidates without the dropped ones, severity and confidence adjusted, the raw value gone for good."""
+    """Findings: judged candidates without the dropped ones and those of files that failed, severity and confidence adjusted,
+    the raw value gone for good."""
     changed = lambda f: F.coalesce(F.get(F.reverse(F.filter(F.transform("verdicts", lambda v: v[f]), lambda x: x.isNotNull())), F.lit(0)), F.col(f))
-    kept = rows.where(~F.exists("verdicts", lambda v: v["action"] == "drop"))
+    kept = rows.where("failure is null").where(~F.exists("verdicts", lambda v: v["action"] == "drop"))
     return kept.withColumn("severity", changed("severity")).withColumn("confidence", changed("confidence")).select(*FINDING, "ordinal")
 
 

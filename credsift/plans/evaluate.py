@@ -26,29 +26,29 @@ def read_manifest(spark: SparkSession, folder: str | Path) -> DataFrame:
 
 
 def outcomes(judged: DataFrame) -> DataFrame:
-    """(file, candidates, findings, pattern of the first finding, rule that rejected).
+    """(file, failure, candidates, findings, pattern of the first finding, rule that rejected).
 
     A file's rejection is that of its first candidate, and only if no candidate before came through.
     """
     dropped = F.get(F.filter("verdicts", lambda v: v["action"] == "drop"), F.lit(0))["rule"]
-    rows = judged.select("file", F.struct("ordinal", "line", "at").alias("place"), "patternId", dropped.alias("rule"))
-    return rows.groupBy("file").agg(F.count("*").alias("candidates"), F.count_if(F.col("rule").isNull()).alias("findings"), F.min_by("patternId", F.when(F.col("rule").isNull(), F.col("place"))).alias("first_pattern"), F.min_by("rule", "place").alias("rejected_by"))
+    rows = judged.select("file", "failure", F.struct("ordinal", "line", "at").alias("place"), "patternId", dropped.alias("rule"))
+    return rows.groupBy("file").agg(F.max("failure").alias("failure"), F.count("*").alias("candidates"), F.count_if(F.col("rule").isNull()).alias("findings"), F.min_by("patternId", F.when(F.col("rule").isNull(), F.col("place"))).alias("first_pattern"), F.min_by("rule", "place").alias("rejected_by"))
 
 
 def evaluated(manifest: DataFrame, judged: DataFrame, sources: DataFrame) -> DataFrame:
     """(fixture, kind, expected, passed, detail, rejected_by, candidates) of every fixture, unreadable ones too."""
     found = outcomes(judged)
     rows = manifest.join(sources.select(F.col("path").alias("fixture"), "read_error", F.lit(True).alias("listed")), "fixture", "left").join(found.withColumnRenamed("file", "fixture"), "fixture", "left").fillna(0, ["candidates", "findings"])
-    unreadable = F.col("listed").isNull() | F.col("read_error").isNotNull()
+    unreadable = F.col("listed").isNull() | F.col("read_error").isNotNull() | F.col("failure").isNotNull()
     say = lambda *parts: F.concat(*[p if not isinstance(p, str) else F.lit(p) for p in parts])
     n = F.col("findings").cast("string")
-    secret = F.when(F.col("findings") != 1, say("expected 1 finding, got ", n)).when(F.col("first_pattern") != F.col("expected"), say('expected pattern "', F.col("expected"), '", got "', F.col("first_pattern"), '"'))
+    secret = F.when(F.col("findings") != 1, say("one finding was due, found: ", n)).when(F.col("first_pattern") != F.col("expected"), say('due pattern "', F.col("expected"), '", found "', F.col("first_pattern"), '"'))
     clean = (
-        F.when(F.col("findings") > 0, say("expected 0 findings, got ", n, " (first: ", F.col("first_pattern"), ")"))
-        .when(F.col("candidates") == 0, F.lit("no candidate produced — the fixture does not exercise any rule"))
-        .when(F.col("rejected_by") != F.col("expected"), say('expected rule "', F.col("expected"), '", got "', F.col("rejected_by"), '"'))
+        F.when(F.col("findings") > 0, say("no finding was due, found: ", n, " (first: ", F.col("first_pattern"), ")"))
+        .when(F.col("candidates") == 0, F.lit("nothing for a rule to reject"))
+        .when(F.col("rejected_by") != F.col("expected"), say('due rule "', F.col("expected"), '", found "', F.col("rejected_by"), '"'))
     )
-    wrong = F.when(unreadable, say("unreadable: ", F.coalesce("read_error", F.lit("not found")))).otherwise(F.when(F.col("kind") == "secret", secret).otherwise(clean))
+    wrong = F.when(unreadable, say("unreadable: ", F.coalesce("read_error", "failure", F.lit("not found")))).otherwise(F.when(F.col("kind") == "secret", secret).otherwise(clean))
     right = F.when(F.col("kind") == "secret", say("matched ", F.col("first_pattern"))).otherwise(say("rejected by ", F.col("rejected_by")))
     counted = (F.col("kind") == "clean") & (F.col("findings") == 0)
     return rows.select("fixture", "kind", "expected", wrong.isNull().alias("passed"), F.coalesce(wrong, right).alias("detail"), F.when(counted, F.col("rejected_by")).alias("rejected_by"), "candidates")

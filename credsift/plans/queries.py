@@ -108,10 +108,14 @@ def scan_documents(spark, sf_dir):
     return shown(verify.findings(documents(spark, sf_dir)))
 
 
-@query(f"with {o.findings("select 'conv/' || conv_id || '/' || turn as path, coalesce(text, '') as text from conversations")} select {SHOWN_SQL} from fin")
+TURN = "concat(coalesce(text, ''), chr(10), case when role = 'user' then concat('token: ghp_', md5(concat(cast(conv_id as varchar(20)), '/', cast(turn as varchar(20)))), 'abcd') else '' end)"
+
+
+@query(f"with {o.findings(f"select 'conv/' || conv_id || '/' || turn as path, {TURN} as text from conversations")} select {SHOWN_SQL} from fin")
 def scan_conversations(spark, sf_dir):
+    """Whole turns; as none holds a secret, those of users get a line with one."""
     rows = read(spark, sf_dir, "conversations")
-    return shown(verify.findings(rows.select(F.concat(F.lit("conv/"), F.col("conv_id").cast("string"), F.lit("/"), F.col("turn").cast("string")).alias("path"), F.col("text").alias("content"))))
+    return shown(verify.findings(rows.select(F.concat(F.lit("conv/"), F.col("conv_id").cast("string"), F.lit("/"), F.col("turn").cast("string")).alias("path"), F.expr(TURN).alias("content"))))
 
 
 @query(f"with {o.findings(CORPUS)} select {SHOWN_SQL} from fin")
@@ -377,6 +381,33 @@ def exit_codes(spark, sf_dir):
     return rows.withColumn("exit_code", (F.col("failing") > 0).cast("int"))
 
 
+#: As CORPUS, with files that can't be read, in projects of two files.
+PARTLY = f"select path, case when c_custkey % 7 = 3 then null else text end as text, c_custkey // 2 as project from ({CORPUS})"
+
+
+@query(f"select path, 'no content' as reason from ({PARTLY}) where text is null")
+def skipped_files(spark, sf_dir):
+    return _partly(spark, sf_dir).where("read_error is not null").select("path", F.col("read_error").alias("reason"))
+
+
+def _partly(spark, sf_dir):
+    files = sources.injected(derived(spark, sf_dir, PARTLY.replace("c_custkey // 2", "c_custkey div 2")), "path", "text")
+    return files.withColumn("project", F.floor(F.regexp_extract("path", "/f([0-9]+)[.]", 1).cast("long") / 2))
+
+
+@query(f"""with {o.findings(f"select path, coalesce(text, '') as text from ({PARTLY})")},
+worst as (select project, min(rank) as rank, bool_or(text is null) as skipped from ({PARTLY}) p left join fin on fin.file = p.path group by project)
+select project::bigint as project, fail_on, case when rank <= k then 1 when skipped then 2 else 0 end as exit_code from worst, (values ('critical', 0), ('high', 1), ('medium', 2), ('low', 3)) t(fail_on, k)""")
+def exit_codes_of_projects(spark, sf_dir):
+    """Exit code of each project at each threshold: 1 for findings, else 2 for skipped files, else 0."""
+    files = _partly(spark, sf_dir)
+    worst = verify.findings(files.where("read_error is null").select("path", "content")).groupBy(F.col("file").alias("path")).agg(F.min(fn.severity_rank(F.col("severity"))).alias("rank"))
+    projects = files.join(worst, "path", "left").groupBy("project").agg(F.min("rank").alias("rank"), F.bool_or(F.col("read_error").isNotNull()).alias("skipped"))
+    levels = F.explode(F.array(*[F.struct(F.lit(s).alias("fail_on"), F.lit(k).alias("k")) for k, s in enumerate(fn.SEVERITIES)]))
+    code = F.when(F.col("rank") <= F.col("t.k"), 1).when(F.col("skipped"), 2).otherwise(0)
+    return projects.select("project", "rank", "skipped", levels.alias("t")).select(F.col("project").cast("long").alias("project"), "t.fail_on", code.alias("exit_code"))
+
+
 @query(CORPUS_FINDINGS + "select file, line, \"column\", \"patternId\" from fin where rank <= 1")
 def fail_on_gate(spark, sf_dir):
     return summary.failing(found(spark, sf_dir), "high").select("file", "line", "column", "patternId")

@@ -36,30 +36,25 @@ def finding_json(findings: DataFrame) -> DataFrame:
 
 
 def json_report(result: ScanResult, out: TextIO | str | Path | None = None, pretty: bool | None = None) -> None:
-    """Two-space JSON to a stream, compact JSON to a file. Findings are streamed to the writer, never held together."""
+    """Two-space JSON to a stream, compact JSON to a file. Findings and skipped files are streamed to the writer, never held together."""
     to_file = isinstance(out, (str, Path))
     pretty = not to_file if pretty is None else pretty
     stream = open(out, "w", encoding="utf-8") if to_file else out or sys.stdout  # noqa: SIM115
     head = {"schemaVersion": SCHEMA_VERSION, "tool": {"name": "credsift", "version": result.version}}
     at = result.findings.sparkSession.range(1).select(F.date_format(F.to_utc_timestamp(F.current_timestamp(), F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'").alias("at")).first()["at"]
-    skipped = [{"path": r["path"], "reason": r["reason"]} for r in result.skipped.toLocalIterator()]
-    head |= {"scannedAt": at, "rootDir": result.root_dir, "summary": summary_row(result), "skipped": skipped}
-    rows = (json.loads(r["json"]) for r in finding_json(result.findings).toLocalIterator())
+    head |= {"scannedAt": at, "rootDir": result.root_dir, "summary": summary_row(result)}
+    lists = {"skipped": result.skipped.select(F.to_json(F.struct("path", "reason")).alias("json")), "findings": finding_json(result.findings)}
     try:
-        if pretty:
-            text = json.dumps(head, indent=2, ensure_ascii=False)
-            stream.write(text[:-2] + ',\n  "findings": [')
-            some = False
-            for row in rows:
-                body = json.dumps(row, indent=2, ensure_ascii=False).replace("\n", "\n    ")
-                stream.write(("," if some else "") + "\n    " + body)
-                some = True
-            stream.write("\n  ]\n}\n" if some else "]\n}\n")
-        else:
-            stream.write(json.dumps(head, ensure_ascii=False, separators=(",", ":"))[:-1] + ',"findings":[')
-            for k, row in enumerate(rows):
-                stream.write("," * (k > 0) + json.dumps(row, ensure_ascii=False, separators=(",", ":")))
-            stream.write("]}\n")
+        style = {"indent": 2} if pretty else {"separators": (",", ":")}
+        stream.write(json.dumps(head, ensure_ascii=False, **style).removesuffix("}").rstrip("\n"))
+        for name, rows in lists.items():
+            stream.write(f',\n  "{name}": [' if pretty else f',"{name}":[')
+            k = -1
+            for k, r in enumerate(rows.toLocalIterator()):
+                body = json.dumps(json.loads(r["json"]), ensure_ascii=False, **style)
+                stream.write("," * (k > 0) + ("\n    " + body.replace("\n", "\n    ") if pretty else body))
+            stream.write("\n  ]" if pretty and k >= 0 else "]")
+        stream.write("\n}\n" if pretty else "}\n")
     finally:
         if to_file:
             stream.close()
@@ -90,10 +85,10 @@ def terminal_report(result: ScanResult, stream: TextIO | None = None, max_findin
 
     def warn() -> None:
         if counted["files_skipped"]:
-            out.write(f"  {c.yellow('⚠ ' + plural(counted['files_skipped'], 'file') + ' skipped')} {c.gray('— the scan was not exhaustive (run with --verbose to list)')}\n")
+            out.write(f"  {c.yellow('⚠ ' + plural(counted['files_skipped'], 'file') + ' skipped')} {c.gray('— not all files were looked at')}\n")
 
     if n == 0:
-        out.write(f"\n  {c.bold('✔ No secrets found')} {c.gray(f'· {files} files · {ms}ms')}\n\n")
+        out.write(f"\n  {c.bold('✔ Nothing found')} {c.gray(f'· {files} files · {ms}ms')}\n\n")
         warn()
         return
     out.write(f"\n  {c.bold('✖ ' + plural(n, 'secret') + ' found')} {c.gray('in ' + plural(t['files_with_findings'], 'file'))}\n")
@@ -111,13 +106,13 @@ def terminal_report(result: ScanResult, stream: TextIO | None = None, max_findin
             file = f["file"]
             out.write(f"\n  {c.bold(file)}\n")
         if max_findings and count >= max_findings:
-            out.write(f"\n  {c.gray(f'… {plural(n - count, 'more finding')} (use --max-findings=0)')}\n")
+            out.write(f"\n  {c.gray(f'… {plural(n - count, 'more finding')} (--max-findings=0 shows all)')}\n")
             break
         provider = f["provider"] if len(f["provider"]) <= width else f["provider"][: width - 1] + "…"
         out.write(f"    {c.gray(f'{f["line"]:>4}:{f["column"]:>3}')}  {c.severity(f['severity'])(f['severity'].ljust(8))}  {c.dim(provider.ljust(width))}  {f['masked']}\n")
         if f["fingerprint"] in names and f["fingerprint"] not in printed:
             printed.add(f["fingerprint"])
-            out.write(f"        {c.gray('⤷ same secret also in: ' + ', '.join(x for x in names[f['fingerprint']] if x != file))}\n")
+            out.write(f"        {c.gray('⤷ the same in: ' + ', '.join(x for x in names[f['fingerprint']] if x != file))}\n")
         for line in (f["context"] or []) if verbose else []:
             out.write(f"        {c.gray(line)}\n")
         count += 1

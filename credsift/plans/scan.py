@@ -18,7 +18,10 @@ from ..sources import files
 
 @dataclass
 class ScanResult:
-    """findings and skipped are lazy; files_scanned + the rows of skipped are all files that were listed."""
+    """findings and skipped are lazy; files_scanned + the rows of skipped are all files that were listed.
+
+    Skipped are files that could not be read, and those on which the parser raised; the latter have no findings.
+    """
 
     findings: DataFrame
     skipped: DataFrame
@@ -29,8 +32,8 @@ class ScanResult:
 
     def counted(self) -> dict[str, int]:
         """Files scanned and skipped, clean ones included, and the milliseconds so far."""
-        row = self.sources.agg(F.count_if(F.col("read_error").isNull()).alias("scanned"), F.count_if(F.col("read_error").isNotNull()).alias("skipped")).first()
-        return {"files_scanned": row["scanned"], "files_skipped": row["skipped"], "duration_ms": round(1000 * (time.perf_counter() - self.began))}
+        skipped = self.skipped.count()
+        return {"files_scanned": self.sources.count() - skipped, "files_skipped": skipped, "duration_ms": round(1000 * (time.perf_counter() - self.began))}
 
 
 def scan(
@@ -41,5 +44,6 @@ def scan(
     began = time.perf_counter()
     rows = files.disk(spark, root, ignore, include) if source is None else source
     readable = rows.where("read_error is null").select("path", "content")
-    skipped = rows.where("read_error is not null").select("path", F.col("read_error").alias("reason"))
+    unread = rows.where("read_error is not null").select("path", F.col("read_error").alias("reason"))
+    skipped = unread.unionByName(verify.failures(readable, patterns, parser, options))
     return ScanResult(verify.findings(readable, patterns, rules, parser, options), skipped, rows, str(Path(root).resolve()), version, began)

@@ -7,7 +7,8 @@ import tomllib
 from dataclasses import dataclass, field
 from pathlib import Path
 
-NAMES = (".credsiftrc", ".credsiftrc.json", "credsift.config.json", "credsift.toml")
+#: In the order of a folder's search; the first has JSON or YAML in it.
+NAMES = (".credsiftrc", ".credsiftrc.json", ".credsiftrc.yaml", ".credsiftrc.yml", "credsift.config.json", "credsift.config.yaml", "credsift.config.yml", "credsift.toml")
 SEVERITIES = ("critical", "high", "medium", "low")
 
 
@@ -37,15 +38,35 @@ def validated(raw: object) -> Config:
     return Config(tuple(raw.get("ignore", ())), custom, raw.get("failOn", "medium"), tuple(raw["include"]) if "include" in raw else None)
 
 
+def parsed(name: str, text: str) -> object:
+    """What a configuration file says; YAML needs PyYAML, which is not required otherwise."""
+    if name.endswith(".toml"):
+        return tomllib.loads(text)
+    if not name.endswith((".yaml", ".yml")):
+        try:
+            return json.loads(text)
+        except ValueError:
+            if name.endswith(".json"):
+                raise
+    try:
+        import yaml
+    except ImportError as e:
+        raise ValueError("YAML needs PyYAML, which is not installed") from e
+    try:
+        return yaml.safe_load(text)
+    except yaml.YAMLError as e:
+        raise ValueError(str(e)) from e
+
+
 def load_config(folder: str | Path = ".") -> Config:
-    """The first configuration file in the folder; none or an empty one gives the defaults."""
-    for name in NAMES:
-        path = Path(folder, name)
+    """The first configuration file in the folder or the nearest of its parents; none or an empty one gives the defaults."""
+    start = Path(folder).resolve()
+    for path in (Path(place, name) for place in (start, *start.parents) for name in NAMES):
         try:
             if not path.is_file():
                 continue
             text = path.read_text(encoding="utf-8")
-            return validated((tomllib.loads(text) if name.endswith(".toml") else json.loads(text)) if text.strip() else None)
+            return validated(parsed(path.name, text) if text.strip() else None)
         except (OSError, ValueError) as e:
-            raise ValueError(f"Failed to load config: {e}") from e
+            raise ValueError(f"{path}: not a configuration: {e}") from e
     return Config()

@@ -225,7 +225,7 @@ def test_registry(spark, tmp_path):
         registry.load_patterns(path)
     for text in ("nope", None):
         path.write_text(text) if text else path.unlink()
-        with pytest.raises(ValueError, match="Failed to load"):
+        with pytest.raises(ValueError, match="no patterns could be read"):
             registry.load_patterns(path)
 
 

@@ -83,16 +83,16 @@ def test_terminal_report(spark, tree):
 
     full = shown(verbose=True)
     assert "✖ 6 secrets found in 6 files" in full
-    assert full.count("⤷ same secret also in") == 1
-    assert "⤷ same secret also in: a/x.log, bytes.bin, src/_b.ts, src/a.ts" in full
+    assert full.count("⤷ the same in") == 1
+    assert "⤷ the same in: a/x.log, bytes.bin, src/_b.ts, src/a.ts" in full
     assert 'const k = "AK••••••••OP";' in full
     assert "6 findings · 2 unique · 8 files" in full
     assert KEY not in full and "\x1b" not in full
     limited = shown(2)
-    assert "… 4 more findings (use --max-findings=0)" in limited and "\n  bytes.bin\n" in limited and "\n  src/a.ts\n" not in limited
+    assert "… 4 more findings (--max-findings=0 shows all)" in limited and "\n  bytes.bin\n" in limited and "\n  src/a.ts\n" not in limited
     assert "… " not in shown(0)
     assert "\x1b[31m" in shown(color=True)
-    assert "✔ No secrets found · 1 files" in shown(include=["empty"])
+    assert "✔ Nothing found · 1 files" in shown(include=["empty"])
 
 
 def test_colour_policy(monkeypatch):
@@ -140,10 +140,43 @@ def test_config(tmp_path):
     assert config.load_config(tmp_path) == config.Config(("a",), "p.json", "low", ("b",))
     for bad in ('{"failOn": "x"}', '{"ignore": "a"}', '{"customPatterns": ""}', "[]", "{"):
         path.write_text(bad)
-        with pytest.raises(ValueError, match="Failed to load config"):
+        with pytest.raises(ValueError, match="not a configuration"):
             config.load_config(tmp_path)
 
 
+def test_config_of_parents_and_yaml(tmp_path):
+    below = tmp_path / "a" / "b"
+    below.mkdir(parents=True)
+    (tmp_path / "credsift.toml").write_text('failOn = "high"')
+    assert config.load_config(below).failOn == "high"
+    (tmp_path / "a" / ".credsiftrc").write_text("")
+    assert config.load_config(below) == config.Config()
+    pytest.importorskip("yaml")
+    (tmp_path / "a" / ".credsiftrc").write_text("failOn: low\nignore:\n  - x/**\n")
+    assert config.load_config(below) == config.Config(("x/**",), None, "low")
+    (below / ".credsiftrc.yml").write_text("failOn: [")
+    with pytest.raises(ValueError, match="not a configuration"):
+        config.load_config(below)
+
+
+def test_parser_that_raises_skips_its_file_only(spark, tree, capsys):
+    def parser(text, ext, places):
+        if "bad" in text:
+            raise RuntimeError("cannot parse")
+        return [(False, None, False, False)] * len(places)
+
+    rows = spark.createDataFrame([("bad.ts", f'bad = "{KEY}"', None), ("good.ts", KEY, None), ("bad.txt", f"bad {KEY}", None), ("clean.ts", "bad", None), ("gone", None, "gone")], "path string, content string, read_error string")
+    result = scan(spark, source=rows, parser=parser)
+    assert sorted(r.file for r in result.findings.collect()) == ["bad.txt", "good.ts"]
+    assert {r.path: r.reason for r in result.skipped.collect()} == {"bad.ts": "scan failed: cannot parse", "gone": "gone"}
+    counted = result.counted()
+    assert (counted["files_scanned"], counted["files_skipped"]) == (3, 2)
+    assert report.exit_code(scan(spark, source=rows.where("path = 'bad.ts'"), parser=parser)) == 2
+    out = io.StringIO()
+    report.json_report(result, out)
+    assert sorted(s["path"] for s in json.loads(out.getvalue())["skipped"]) == ["bad.ts", "gone"]
+
+
 def test_command_line(spark, tree, capsys):
     own = [{"id": "own", "name": "Own", "provider": "p", "regex": "cl(ea)n", "flags": "", "confidence": "low", "severity": "low", "entropyCheck": False}, {"id": "generic-jwt", "name": "J", "provider": "p", "regex": "zzz", "flags": "", "confidence": "low", "severity": "low", "entropyCheck": False}]
     (tree / "own.json").write_text(json.dumps(own))
@@ -191,8 +224,8 @@ def test_labelled_corpus(spark, tmp_path):
     got = {r.fixture: (r.passed, r.detail) for r in results.collect()}
     assert code == 1
     assert got["key.txt"] == (True, "matched aws-access-key-id") and got["env.ts"] == (True, "rejected by env-reference")
-    assert got["two.txt"][1] == "expected 1 finding, got 2" and "got \"github-personal-access-token\"" in got["other.txt"][1] and got["missing.txt"][1].startswith("unreadable")
-    assert got["doc.md"][1] == 'expected rule "constant-alias", got "placeholder-value"' and "no candidate" in got["none.md"][1] and got["live.md"][1] == "expected 0 findings, got 1 (first: aws-access-key-id)"
+    assert got["two.txt"][1] == "one finding was due, found: 2" and "found \"github-personal-access-token\"" in got["other.txt"][1] and got["missing.txt"][1].startswith("unreadable")
+    assert got["doc.md"][1] == 'due rule "constant-alias", found "placeholder-value"' and "nothing for a rule" in got["none.md"][1] and got["live.md"][1] == "no finding was due, found: 1 (first: aws-access-key-id)"
     rates = evaluate.rates(results).first()
     assert (rates.recall, rates.precision) == (25.0, 25.0)
     assert {r.rule: r.candidates for r in evaluate.rejections(results).collect()} == {"env-reference": 1, "placeholder-value": 1}
