@@ -218,10 +218,10 @@ def test_registry(spark, tmp_path):
     assert registry.load_patterns(path, spark)[0].compiled.groups == 1
     for bad in ([{**good, "severity": "huge"}], [good, {**good, "regex": "("}], [{k: v for k, v in good.items() if k != "flags"}], [{**good, "entropyCheck": 1}]):
         path.write_text(json.dumps(bad))
-        with pytest.raises(ValueError, match=f"index {len(bad) - 1}"):
+        with pytest.raises(ValueError, match=f"entry {len(bad) - 1}"):
             registry.load_patterns(path, spark)
     path.write_text("{}")
-    with pytest.raises(ValueError, match="array"):
+    with pytest.raises(ValueError, match="list of patterns"):
         registry.load_patterns(path)
     for text in ("nope", None):
         path.write_text(text) if text else path.unlink()
