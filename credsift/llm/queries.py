@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, decontaminate, html_extract, language_id, quality, secret_scan, simhash, token_count, toxicity
+from . import ann, bpe, conversation_repair, decontaminate, html_extract, language_id, quality, secret_scan, simhash, token_count, toxicity
 from .common import held_out, table
 
 WORDS = public_tokenizers.path("word_bpe_49k.json")
@@ -76,6 +76,11 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graded.select("doc_id", "held_out", F.col("g.expected").alias("expected_grade"), F.col("g.tail").alias("tail"), (F.col("g.tail") >= 0.5).alias("selected"))
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = conversation_repair.damaged(table(spark, sf_dir, "conversations"))
+    return conversation_repair.digests(conversation_repair.repair(rows, absent=F.col("absent"))).withColumnRenamed("conv", "conv_id")
+
+
 def queries() -> dict:
     return {k: f for k, f in globals().items() if k.startswith("op") and callable(f)}
 
