@@ -40,14 +40,19 @@ def discard(spark: SparkSession) -> int:
     return len(paths)
 
 
+def fresh_path(spark: SparkSession, name: str) -> str:
+    """A folder of its own within the shared one, for discard() to remove."""
+    _written.append(f"{shared_dir(spark)}/credsift-{name}-{uuid.uuid4().hex}")
+    return _written[-1]
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """df after a round trip through Parquet in the shared folder.
 
     That cuts the lineage in a way that survives lost executors, and gives the planner real sizes to choose joins by.
     """
-    path = f"{shared_dir(df.sparkSession)}/credsift-{name}-{uuid.uuid4().hex}"
+    path = fresh_path(df.sparkSession, name)
     df.write.parquet(path)
-    _written.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -6,8 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, conversation_repair, decontaminate, html_extract, language_id, quality, secret_scan, simhash, token_count, toxicity
-from .common import held_out, table
+from . import ann, bpe, conversation_repair, decontaminate, html_extract, language_id, quality, secret_scan, simhash, token_count, toxicity, warc
+from .common import fresh_path, held_out, table
 
 WORDS = public_tokenizers.path("word_bpe_49k.json")
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -81,9 +81,16 @@ def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversation_repair.digests(conversation_repair.repair(rows, absent=F.col("absent"))).withColumnRenamed("conv", "conv_id")
 
 
+def op12_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The archive is written, committed, and read back; what the records say is the result."""
+    path = fresh_path(spark, "warc")
+    warc.write(table(spark, sf_dir, "pages").select("page_id", "url", "html"), path)
+    return warc.read(spark, path, payloads=False).select(F.col("id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def queries() -> dict:
     return {k: f for k, f in globals().items() if k.startswith("op") and callable(f)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_secret_scan": secret_scan.SQL, "op8_decontaminate": decontaminate.SQL}
+    return {"op2_secret_scan": secret_scan.SQL, "op8_decontaminate": decontaminate.SQL, "op12_warc": warc.SQL}
