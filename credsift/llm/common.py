@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -96,5 +99,35 @@ def free_name(df: DataFrame, wanted: str) -> str:
     return wanted
 
 
+def _runs(batch, columns: tuple[str, ...]):
+    """(values, slice) of neighbours in a batch that agree in some columns."""
+    values = [batch[c].to_numpy(zero_copy_only=False) for c in columns]
+    changes = np.zeros(max(0, len(batch) - 1), bool)
+    for v in values:
+        changes |= v[1:] != v[:-1]
+    begins = [0, *(np.flatnonzero(changes) + 1).tolist()] if len(batch) else []
+    for b, e in zip(begins, [*begins[1:], len(batch)], strict=True):
+        yield tuple(v[b].item() for v in values), batch.slice(b, e - b)
+
+
+def against_blocks(batches, keys: tuple[str, ...], make: Callable, answer: Callable, asks: str = "asks"):
+    """Answers of blocks to queries that stream past them.
+
+    Batches are sorted by keys and `asks`: the rows of a block come first, then all queries to it, however many. Only a block
+    is held, as make(rows); answer(key, block, queries) gives what is said to a batch of queries. Keys without rows answer nothing.
+    """
+    held, parts, block = None, [], None
+    for batch in batches:
+        for (*key, asking), part in _runs(batch, (*keys, asks)):
+            if key != held:
+                held, parts, block = key, [], None
+            if not asking:
+                parts.append(part)
+            elif parts or block is not None:
+                if block is None:
+                    block, parts = make(pa.Table.from_batches(parts)), []
+                yield answer(tuple(key), block, part)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, conversation_repair, decontaminate, html_extract, language_id, quality, secret_scan, simhash, token_count, toxicity, warc
+from . import ann, bpe, conversation_repair, decontaminate, hard_negatives, html_extract, language_id, quality, secret_scan, simhash, token_count, toxicity, warc
 from .common import fresh_path, held_out, table
 
 WORDS = public_tokenizers.path("word_bpe_49k.json")
@@ -88,9 +88,15 @@ def op12_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read(spark, path, payloads=False).select(F.col("id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows whose id is divisible by 7 get the next label first."""
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", "embedding", F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label")).alias("label"))
+    return hard_negatives.mine(rows)
+
+
 def queries() -> dict:
     return {k: f for k, f in globals().items() if k.startswith("op") and callable(f)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_secret_scan": secret_scan.SQL, "op8_decontaminate": decontaminate.SQL, "op12_warc": warc.SQL}
+    return {"op2_secret_scan": secret_scan.SQL, "op8_decontaminate": decontaminate.SQL, "op12_warc": warc.SQL, "op13_hard_negatives": hard_negatives.SQL}
