@@ -63,25 +63,27 @@ def run_scan(o: argparse.Namespace, spark=None) -> int:
         from pyspark.sql import SparkSession
 
         spark = SparkSession.builder.master(f"local[{workers}]").appName("credsift").config("spark.ui.enabled", "false").config("spark.ui.showConsoleProgress", "false").getOrCreate()
-    custom = load_patterns(Path(o.path, config.customPatterns), spark) if config.customPatterns else []
+    custom = load_patterns(Path(o.path, config.customPatterns)) if config.customPatterns else []
     patterns, conflicts = merge_patterns(BUILTIN, custom)
     if not o.quiet:
         print(*conflict_notes(conflicts), sep="\n", end="\n" if conflicts else "", file=sys.stderr)
     source = files.staged(spark, o.path, config.ignore, config.include) if o.staged else None
     result = scan(spark, o.path, patterns, source, config.ignore, config.include, version=version())
-    result.findings, result.skipped = result.findings.cache(), result.skipped.cache()  # masked rows, paths and reasons only
-    code = report.exit_code(result, fail_on)
-    if o.quiet and result.findings.isEmpty() and result.skipped.isEmpty():
-        return 0
-    if o.format == "json":
-        report.json_report(result, o.output)
-    elif o.format == "workflow":
-        report.workflow_report(result)
-    else:
-        report.terminal_report(result, max_findings=limit, color=False if o.no_color else None, verbose=o.verbose)
-    if o.output:
-        print(f"credsift: {result.findings.count()} finding(s) → {o.output}", file=sys.stderr)
-    return code
+    try:
+        code = report.exit_code(result, fail_on)
+        if o.quiet and result.findings.isEmpty() and result.skipped.isEmpty():
+            return 0
+        if o.format == "json":
+            report.json_report(result, o.output)
+        elif o.format == "workflow":
+            report.workflow_report(result)
+        else:
+            report.terminal_report(result, max_findings=limit, color=False if o.no_color else None, verbose=o.verbose)
+        if o.output:
+            print(f"credsift: {result.findings.count()} finding(s) → {o.output}", file=sys.stderr)
+        return code
+    finally:
+        result.discard()
 
 
 def main(argv: list[str] | None = None, spark=None) -> int:

@@ -1,4 +1,5 @@
-"""ECMAScript regular expressions, as pattern registries have them, in the JVM's syntax with the same meaning.
+"""ECMAScript regular expressions, as pattern registries have them, with the same meaning in the JVM's syntax or in that of Python's
+`regex` module.
 
 What differs: word boundaries and white space (ASCII against Unicode), what a dot leaves out, where `$` matches, class syntax.
 Anything that has no equal is rejected loudly.
@@ -7,13 +8,15 @@ Anything that has no equal is rejected loudly.
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 from dataclasses import dataclass
 
 FLAGS = "dgimsuvy"
 # The white space and line ends of ECMAScript.
 SPACE = "\\t\\n\\x0B\\f\\r \\x{00A0}\\x{1680}\\x{2000}-\\x{200A}\\x{2028}\\x{2029}\\x{202F}\\x{205F}\\x{3000}\\x{FEFF}"
 LINE_END = "\\n\\r\\x{2028}\\x{2029}"
-WORD = "[0-9A-Za-z_]"
+WORD_CLASS = "0-9A-Za-z_"
+WORD = f"[{WORD_CLASS}]"
 BOUNDARY = f"(?:(?<={WORD})(?!{WORD})|(?<!{WORD})(?={WORD}))"
 NO_BOUNDARY = f"(?:(?<={WORD})(?={WORD})|(?<!{WORD})(?!{WORD}))"
 QUANTIFIER = re.compile(r"\{\d+(?:,\d*)?\}")
@@ -29,8 +32,29 @@ class Compiled:
     groups: int
 
 
-def translate(source: str, flags: str = "") -> Compiled:
-    """JVM form of a pattern, and its number of capture groups."""
+@dataclass(frozen=True)
+class Target:
+    """How a dialect writes what differs: a code point of 4 or more hexadecimal digits, the end of the text, a reference by name.
+
+    nested: whether classes may hold classes.
+    """
+
+    point: Callable[[str], str]
+    end: str
+    reference: str
+    nested: bool
+
+    def points(self, text: str) -> str:
+        """Text with the JVM's code points written as the dialect does."""
+        return re.sub(r"\\x\{([0-9A-Fa-f]+)\}", lambda m: self.point(m[1]), text)
+
+
+JVM = Target(lambda digits: f"\\x{{{digits}}}", "\\z", "\\k<{}>", True)
+PYTHON = Target(lambda digits: f"\\U{int(digits, 16):08X}", "\\Z", "(?P={})", False)
+
+
+def translate(source: str, flags: str = "", to: Target = JVM) -> Compiled:
+    """A pattern in another dialect, and its number of capture groups."""
     if len(set(flags)) < len(flags) or set(flags) - set(FLAGS):
         raise UnsupportedPattern(f"invalid flags {flags!r}")
     if "y" in flags:
@@ -41,19 +65,19 @@ def translate(source: str, flags: str = "") -> Compiled:
     while i < len(source):
         c = source[i]
         if c == "\\":
-            piece, i = _escape(source, i, unicode_mode, False)
+            piece, i = _escape(source, i, unicode_mode, False, to)
             out.append(piece)
             continue
         if c == "[":
-            piece, i = _class(source, i, unicode_mode)
+            piece, i = _class(source, i, unicode_mode, to)
             out.append(piece)
             continue
         if c == ".":
-            out.append("(?s:.)" if "s" in flags else f"[^{LINE_END}]")
+            out.append("(?s:.)" if "s" in flags else to.points(f"[^{LINE_END}]"))
         elif c == "$":
-            out.append(f"(?=[{LINE_END}]|\\z)" if "m" in flags else "\\z")
+            out.append(to.points(f"(?=[{LINE_END}]|{to.end})") if "m" in flags else to.end)
         elif c == "^":
-            out.append(f"(?:(?<=[{LINE_END}])|\\A)" if "m" in flags else "\\A")
+            out.append(to.points(f"(?:(?<=[{LINE_END}])|\\A)") if "m" in flags else "\\A")
         elif c == "(":
             depth += 1
             rest = source[i + 1 : i + 4]
@@ -96,8 +120,8 @@ def translate(source: str, flags: str = "") -> Compiled:
     return Compiled(mode + "".join(out), groups)
 
 
-def _escape(source: str, i: int, unicode_mode: bool, inside: bool) -> tuple[str, int]:
-    """JVM form of the escape at i, and where it ends."""
+def _escape(source: str, i: int, unicode_mode: bool, inside: bool, to: Target = JVM) -> tuple[str, int]:
+    """The escape at i, and where it ends. Negated classes within a class stay as they are for _class to see."""
     if i + 1 >= len(source):
         raise UnsupportedPattern("\\ at the end")
     c = source[i + 1]
@@ -106,11 +130,16 @@ def _escape(source: str, i: int, unicode_mode: bool, inside: bool) -> tuple[str,
     if c == "B" and not inside:
         return NO_BOUNDARY, i + 2
     if c == "s":
-        return (SPACE if inside else f"[{SPACE}]"), i + 2
+        return to.points(SPACE if inside else f"[{SPACE}]"), i + 2
+    if c in "SDW" and inside and not to.nested:
+        return "\\" + c, i + 2
     if c == "S":
-        return f"[^{SPACE}]", i + 2
-    if c in "dDwW":
+        return to.points(f"[^{SPACE}]"), i + 2
+    if c in "dDwW" and to.nested:
         return "\\" + c, i + 2
+    if c in "dDwW":
+        range_ = "0-9" if c in "dD" else WORD_CLASS
+        return (range_ if inside else f"[{'^' * c.isupper()}{range_}]"), i + 2
     if c in "tnrf":
         return "\\" + c, i + 2
     if c == "v":
@@ -127,11 +156,14 @@ def _escape(source: str, i: int, unicode_mode: bool, inside: bool) -> tuple[str,
         return (f"\\x{m[0]}", m.end()) if m else ("x", i + 2)
     if c == "u":
         m = re.compile(r"[0-9A-Fa-f]{4}").match(source, i + 2)
+        low = m and not to.nested and "d8" <= m[0][:2].lower() <= "db" and re.compile(r"\\u([Dd][C-Fc-f][0-9A-Fa-f]{2})").match(source, m.end())
+        if low:  # two halves of a character, which Python has as one
+            return to.point(f"{0x10000 + ((int(m[0], 16) & 0x3FF) << 10) + (int(low[1], 16) & 0x3FF):X}"), low.end()
         if m:
             return f"\\u{m[0]}", m.end()
         m = re.compile(r"\{([0-9A-Fa-f]+)\}").match(source, i + 2)
         if m and unicode_mode:
-            return f"\\x{{{m[1]}}}", m.end()
+            return to.point(m[1]), m.end()
         raise UnsupportedPattern("\\u without four digits")
     if c == "c":
         m = re.compile(r"[A-Za-z]").match(source, i + 2)
@@ -142,7 +174,7 @@ def _escape(source: str, i: int, unicode_mode: bool, inside: bool) -> tuple[str,
         m = re.compile(r"<([A-Za-z0-9]+)>").match(source, i + 2)
         if not m:
             raise UnsupportedPattern("named reference")
-        return f"\\k<{m[1]}>", m.end()
+        return to.reference.format(m[1]), m.end()
     if c in "pP":
         m = re.compile(r"\{[\w=]+\}").match(source, i + 2)
         if unicode_mode and m:
@@ -155,8 +187,8 @@ def _escape(source: str, i: int, unicode_mode: bool, inside: bool) -> tuple[str,
     return "\\" + c, i + 2
 
 
-def _class(source: str, i: int, unicode_mode: bool) -> tuple[str, int]:
-    """JVM form of the character class at i, and where it ends."""
+def _class(source: str, i: int, unicode_mode: bool, to: Target = JVM) -> tuple[str, int]:
+    """The character class at i, and where it ends."""
     start, i = i, i + 1
     negated = source[i : i + 1] == "^"
     i += negated
@@ -164,7 +196,7 @@ def _class(source: str, i: int, unicode_mode: bool) -> tuple[str, int]:
     while i < len(source) and source[i] != "]":
         c = source[i]
         if c == "\\":
-            piece, i = _escape(source, i, unicode_mode, True)
+            piece, i = _escape(source, i, unicode_mode, True, to)
             out.append(piece)
             continue
         out.append("\\" + c if c in "[&^~" else c)
@@ -173,7 +205,15 @@ def _class(source: str, i: int, unicode_mode: bool) -> tuple[str, int]:
         raise UnsupportedPattern(f"class at {start} isn't closed")
     if not out:
         return ("(?s:.)" if negated else "(?!)"), i + 1
-    return f"[{'^' * negated}{''.join(out)}]", i + 1
+    if to.nested or not {"\\S", "\\D", "\\W"} & set(out):
+        return f"[{'^' * negated}{''.join(out)}]", i + 1
+    # without nested classes: a choice of classes, or, negated, all of their opposites at once
+    ranges = {"\\S": to.points(SPACE), "\\D": "0-9", "\\W": WORD_CLASS}
+    plain, opposites = "".join(x for x in out if x not in ranges), [ranges[x] for x in out if x in ranges]
+    if negated:
+        ahead = [f"(?=[{r}])" for r in opposites[1:]] + ([f"(?![{plain}])"] if plain else [])
+        return f"(?:{''.join(ahead)}[{opposites[0]}])", i + 1
+    return "(?:" + "|".join([f"[^{r}]" for r in opposites] + ([f"[{plain}]"] if plain else [])) + ")", i + 1
 
 
 def required_literals(source: str) -> frozenset[str] | None:

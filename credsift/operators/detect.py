@@ -1,110 +1,98 @@
 """Detection: files to candidate secrets, in one pass and without a shuffle.
 
-A file without any of the strings that matches need is dropped by plain searches before any regular expression is tried.
-The others are split into lines, and lines that match become arrays of candidates, pattern by pattern; a line is kept once,
-masked, for all its candidates. `raw_value` exists only between here and verification; no sink takes it.
+A file without any of the strings that matches need is dropped by plain searches in the JVM; the others go to Python by Arrow, once each, where
+their candidates, masked lines and, for languages with a parser, structural facts are found together (matching.py).
+`raw_value` exists only between here and verification; no sink takes it.
 """
 
 from __future__ import annotations
 
-from functools import lru_cache, reduce
+from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as fn
-from ..functions.dialect import required_literals
+from . import matching, structure
 from .registry import BUILTIN, Pattern
 
+CANDIDATE = "struct<ordinal:int,line:int,column:int,at:int,raw_value:string,nth_line:int>"
+FACT = "struct<has_tree:boolean,declared:string,in_access:boolean,interpolated:boolean>"
+SCANNED = f"struct<candidates:array<{CANDIDATE}>,shown:array<string>,facts:array<{FACT}>,failure:string>"
+_numbers = [pa.field(c, pa.int32()) for c in ("ordinal", "line", "column", "at")]
+_fact = [pa.field(c, pa.string() if c == "declared" else pa.bool_()) for c in matching.FACTS]
+SCANNED_ARROW = pa.struct(
+    [
+        ("candidates", pa.list_(pa.struct([*_numbers, pa.field("raw_value", pa.string()), pa.field("nth_line", pa.int32())]))),
+        ("shown", pa.list_(pa.string())),
+        ("facts", pa.list_(pa.struct(_fact))),
+        ("failure", pa.string()),
+    ]
+)
+
 
 def lines(files: DataFrame) -> DataFrame:
     """(path, line, text): one row for each line, counted from 1. Only line feeds end lines, and an empty file has one."""
     return files.select("path", F.posexplode(F.split(F.coalesce("content", F.lit("")), "\n", -1)).alias("n", "text")).select("path", (F.col("n") + 1).alias("line"), "text")
 
 
-def may_match(text: Column, low: Column, patterns: list[Pattern] | tuple[Pattern, ...]) -> Column:
-    """Whether any pattern can match: plain searches for the strings that patterns can't do without (`low` is text in lower case),
-    and the patterns themselves where there are no such strings."""
-    exact, folded, rest = set(), set(), []
-    for p in patterns:
-        needed = required_literals(p.regex)
-        if needed is None or "i" in p.flags and not all(n.isascii() for n in needed):
-            rest.append(text.rlike(p.compiled.regex))
-        elif "i" in p.flags:
-            folded |= {n.lower() for n in needed}
-        else:
-            exact |= needed
-    tests = [F.contains(text, F.lit(n)) for n in sorted(exact)] + [F.contains(low, F.lit(n)) for n in sorted(folded)] + rest
-    return reduce(lambda a, b: a | b, tests, F.lit(False))
-
-
-def matches(line: Column, p: Pattern) -> Column:
-    """Array of (at, column, match, secret) of all non-overlapping matches: the match's start in characters from 0, and in UTF-16 units from 1."""
-    regex, groups = p.compiled.regex, p.compiled.groups
-    whole = F.regexp_extract_all(line, F.lit(regex), F.lit(0))
-    captured = [F.regexp_extract_all(line, F.lit(regex), F.lit(k)) for k in range(groups, 0, -1)]
-    gaps = F.split(line, regex, -1)
-
-    def located(m: Column, g: Column) -> Column:
-        # a leading empty match takes no piece off, so there is one gap less
-        g = F.when(F.size(g) == F.size(m), F.concat(F.array(F.lit("")), g)).otherwise(g)
-        steps = lambda size: F.transform(m, lambda x, i: size(F.get(g, i)) + F.when(i == 0, 0).otherwise(size(F.get(m, i - 1))))
-        starts = lambda size: fn.running(steps(size), F.size(m), lambda i, start: start)
-        # the two counts only differ where there are characters beyond the basic plane
-        columns = lambda at: F.when(fn.units(line) == F.length(line), at).otherwise(starts(fn.units))
-        return fn.let(starts(F.length), lambda at: fn.let(columns(at), lambda column: F.transform(m, lambda x, i: F.struct(F.get(at, i).alias("at"), (F.get(column, i) + 1).alias("column"), x.alias("match"), i.alias("i")))))
-
-    found = fn.let(whole, lambda m: fn.let(gaps, lambda g: located(m, g)))
-    groups_then_match = F.array(*captured, whole) if captured else F.array(whole)
-    secrets = fn.let(groups_then_match, lambda c: F.transform(found, lambda x: F.struct(x["at"].alias("at"), x["column"].alias("column"), x["match"].alias("match"), F.get(F.filter(F.transform(c, lambda a: F.get(a, x["i"])), lambda v: v != ""), F.lit(0)).alias("secret"))))
-    return F.filter(secrets, lambda x: x["match"] != "")
-
-
-def line_candidates(text: Column, number: Column, patterns: list[Pattern] | tuple[Pattern, ...], options: fn.EntropyOptions = fn.EntropyOptions()) -> Column:
-    """struct(found, shown) of one line: its candidates (pattern's ordinal, line, column, place, raw value), and the line masked.
-
-    All values that the line gives up are masked in it, longest first; those that the gate rejects aren't.
+def may_match(text: Column, low: Column, patterns: tuple[Pattern, ...]) -> Column:
+    """Whether any pattern can match: plain searches for the strings that patterns can't do without (`low` is text in lower case).
+
+    A pattern without such strings may match anything.
     """
-    none = F.array().cast("array<struct<ordinal:int,line:int,column:int,at:int,raw_value:string>>")
-    numbered = lambda k: lambda x: F.struct(F.lit(k).alias("ordinal"), number.cast("int").alias("line"), x["column"].cast("int").alias("column"), x["at"].cast("int").alias("at"), x["secret"].alias("raw_value"))
-    parts = []
-    for k, p in enumerate(patterns):
-        found = matches(text, p)
-        if p.entropyCheck:
-            found = F.filter(found, lambda x: fn.entropy_gate(x["secret"], options))
-        parts.append(F.when(text.rlike(p.compiled.regex), F.transform(found, numbered(k))).otherwise(none))
-    shown = lambda c: F.when(F.size(c) > 0, fn.trimmed(fn.masked_line(text, F.transform(c, lambda x: x["raw_value"]))))
-    return fn.let(F.concat(*parts) if parts else none, lambda c: F.struct(c.alias("found"), shown(c).alias("shown")))
+    tests = []
+    for p in patterns:
+        needed = matching.literals(p)
+        if needed is None:
+            return text.isNotNull()
+        tests += [(True, n.lower()) if "i" in p.flags else (False, n) for n in sorted(needed)]
+    return reduce(lambda a, b: a | b, [F.contains(low if folded else text, F.lit(n)) for folded, n in dict.fromkeys(tests)], F.lit(False))
 
 
-def with_candidates(files: DataFrame, patterns: list[Pattern] | tuple[Pattern, ...] = BUILTIN, options: fn.EntropyOptions = fn.EntropyOptions()) -> DataFrame:
-    """Candidate-bearing files with array columns `candidates`, in the order patterns, then lines, then places, and `shown`.
+def scanner(patterns: tuple[Pattern, ...], options: fn.EntropyOptions, parser: matching.Parser | None, seconds: float = matching.SEARCH_SECONDS):
+    """(content, path) to what matching.scanned says of it; null for null content and files without candidates."""
 
-    `shown` has each line with candidates once, masked; a candidate's `nth_line` is the place of its line there.
-    """
-    gate, hits, judged, found, shown = _columns(files.sparkSession.sparkContext.applicationId, tuple(patterns), options)
-    kept = files.withColumn(LOW, F.lower("content")).where(gate).drop(LOW)
-    kept = kept.withColumn("hits", hits).withColumn("judged", judged).withColumn("candidates", found).withColumn("shown", shown)
-    return kept.drop("hits", "judged").where(F.size("candidates") > 0)
+    def scan(contents: pa.Array, suffixes: pa.Array) -> pa.Array:
+        found = matching.matcher(patterns, options, seconds)
+        rows = [None if c is None else matching.scanned(c, found, parser, s) for c, s in zip((x.as_py() for x in contents.cast(pa.binary())), suffixes.to_pylist(), strict=True)]
+        return pa.array(rows, SCANNED_ARROW)
+
+    # declared so that tests of what it gives stay above it, where each file has been scanned once
+    udf = F.arrow_udf(scan, SCANNED).asNondeterministic()
+    suffix = fn.extension(F.col("path"))
+    return lambda content: udf(content, F.when(suffix.isin(*structure.EXTENSIONS), suffix))
 
 
 LOW = "low_case"
 
 
-@lru_cache(maxsize=32)
-def _columns(app: str, patterns: tuple[Pattern, ...], options: fn.EntropyOptions) -> tuple[Column, ...]:
-    """What with_candidates is made of, once for each application and registry: building it takes longer than many a scan."""
-    gate = may_match(F.col("content"), F.col(LOW), patterns)
-    split = F.transform(F.split("content", "\n", -1), lambda t, i: F.struct((i + 1).alias("n"), t.alias("t")))
-    hits = F.filter(split, lambda x: fn.let(F.lower(x["t"]), lambda low: may_match(x["t"], low, patterns)))
-    judged = F.filter(F.transform(F.col("hits"), lambda x: line_candidates(x["t"], x["n"], patterns, options)), lambda x: F.size(x["found"]) > 0)
-    placed = F.transform(F.col("judged"), lambda x, i: F.transform(x["found"], lambda c: F.struct(*[c[f].alias(f) for f in ("ordinal", "line", "column", "at", "raw_value")], i.alias("nth_line"))))
-    return gate, hits, judged, F.array_sort(F.flatten(placed)), F.transform(F.col("judged"), lambda x: x["shown"])
+def with_outcomes(files: DataFrame, patterns: list[Pattern] | tuple[Pattern, ...] = BUILTIN, options: fn.EntropyOptions = fn.EntropyOptions(), parser: matching.Parser | None = None, seconds: float = matching.SEARCH_SECONDS) -> DataFrame:
+    """All files with `scanned`: null where there is nothing to say, else candidates, masked lines, facts, or a failure."""
+    patterns = tuple(patterns)
+    gated = files.withColumn(LOW, F.lower("content")).withColumn(LOW, F.when(may_match(F.col("content"), F.col(LOW), patterns), F.col("content")))
+    return gated.withColumn("scanned", scanner(patterns, options, parser, seconds)(F.col(LOW))).drop(LOW)
 
 
-def exploded(bearing: DataFrame, patterns: list[Pattern] | tuple[Pattern, ...] = BUILTIN, keep: tuple[str, ...] = ()) -> DataFrame:
-    """One row for each candidate, with the finding's columns, its place `nth` in the file, and raw_value; keep: columns of the file."""
-    rows = bearing.select(F.col("path").alias("file"), *keep, "shown", F.posexplode("candidates").alias("nth", "c"))
+def with_candidates(files: DataFrame, patterns: list[Pattern] | tuple[Pattern, ...] = BUILTIN, options: fn.EntropyOptions = fn.EntropyOptions(), parser: matching.Parser | None = None, seconds: float = matching.SEARCH_SECONDS) -> DataFrame:
+    """Files that have candidates, or fail, with the array columns `candidates`, in the order patterns, then lines, then places, `shown`,
+    `facts` (one for each candidate, or null) and `failure`, null for most.
+
+    `shown` has each line with candidates once, masked; a candidate's `nth_line` is the place of its line there.
+    """
+    patterns = tuple(patterns)
+    kept = files.withColumn(LOW, F.lower("content")).where(may_match(F.col("content"), F.col(LOW), patterns)).drop(LOW)
+    return kept.withColumn("scanned", scanner(patterns, options, parser, seconds)(F.col("content"))).where("scanned is not null").select("*", "scanned.*").drop("scanned")
+
+
+def exploded(bearing: DataFrame, patterns: list[Pattern] | tuple[Pattern, ...] = BUILTIN, keep: tuple[str, ...] = (), outer: bool = False) -> DataFrame:
+    """One row for each candidate, with the finding's columns, its place `nth` in the file, and raw_value; keep: columns of the file.
+
+    With `outer`, files without candidates have a row of nulls.
+    """
+    each = (F.posexplode_outer if outer else F.posexplode)("candidates").alias("nth", "c")
+    rows = bearing.select(F.col("path").alias("file"), *keep, "shown", each)
     column = lambda f: F.get(F.array(*[F.lit(getattr(p, f)) for p in patterns]), F.col("c.ordinal"))
     return rows.select(
         "file", *keep, column("id").alias("patternId"), column("name").alias("patternName"), column("provider").alias("provider"), column("severity").alias("severity"), column("confidence").alias("confidence"),

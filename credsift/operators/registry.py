@@ -61,11 +61,10 @@ def is_pattern(item: object) -> bool:
     return texts and item["confidence"] in CONFIDENCES and item["severity"] in SEVERITIES and isinstance(item["entropyCheck"], bool)
 
 
-def parse_patterns(text: str, where: str, spark: SparkSession | None = None) -> list[Pattern]:
-    """Patterns of a JSON array; the first bad entry is an error that names its place.
+def parse_patterns(text: str, where: str) -> list[Pattern]:
+    """Patterns of a JSON array; the first bad entry is an error that names its place."""
+    from .matching import compiled
 
-    With a session, the JVM's own compiler has the last word.
-    """
     try:
         items = json.loads(text)
     except ValueError as e:
@@ -78,23 +77,19 @@ def parse_patterns(text: str, where: str, spark: SparkSession | None = None) ->
             raise ValueError(f"{where}, entry {k}: fields are missing or of a wrong type")
         pattern = Pattern(*[item[f] for f in FIELDS])
         try:
-            compiled = pattern.compiled.regex
-            if spark is not None:
-                spark.range(1).where(F.lit("").rlike(compiled)).count()
+            compiled(pattern.regex, pattern.flags)
         except UnsupportedPattern as e:
             raise ValueError(f"{where}, entry {k}: the expression does not compile: {e}") from e
-        except Exception as e:
-            raise ValueError(f"{where}, entry {k}: the expression does not compile: {str(e).splitlines()[0]}") from e
         out.append(pattern)
     return out
 
 
-def load_patterns(path: str | Path, spark: SparkSession | None = None) -> list[Pattern]:
+def load_patterns(path: str | Path) -> list[Pattern]:
     try:
         text = Path(path).read_text(encoding="utf-8")
     except OSError as e:
         raise ValueError(f"{path}: no patterns could be read: {e}") from e
-    return parse_patterns(text, str(path), spark)
+    return parse_patterns(text, str(path))
 
 
 def patterns_frame(spark: SparkSession, patterns: list[Pattern] | tuple[Pattern, ...]) -> DataFrame:

@@ -10,13 +10,12 @@ from collections.abc import Callable
 from dataclasses import dataclass
 from functools import lru_cache, reduce
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as fn
 from ..functions.dialect import translate
-from . import detect, structure
+from . import detect, matching, structure
 from .registry import BUILTIN, Pattern
 
 # Paths of tests, markers and shapes of placeholders, prefixes of fixture variables.
@@ -86,55 +85,36 @@ Rule = Callable[[Subject], Column]
 #: The rules of a scan, in order. template_literal_value is there for callers that want it.
 RULES: tuple[Rule, ...] = (test_path, placeholder_value, constant_alias, env_reference)
 #: Parser: (text, extension, places) -> facts, as structure.facts.
-Parser = Callable[[str, str, list[tuple[int, int]]], list[tuple[bool, "str | None", bool, bool]]]
+Parser = matching.Parser
 
-FACT = "array<struct<has_tree:boolean,declared:string,in_access:boolean,interpolated:boolean>>"
-PARSED = f"struct<facts:{FACT},failure:string>"
 
-
-def is_parsed() -> Column:
-    """Whether a file's language is one that parsers are asked about."""
-    return F.coalesce(fn.extension(F.col("path")).isin(*structure.EXTENSIONS), F.lit(False))
-
-
-def with_facts(bearing: DataFrame, parser: Parser = structure.facts) -> DataFrame:
-    """Files of detect.with_candidates() with the structural `facts` of each candidate's place, and `failure`, null for most.
-
-    Only candidate-bearing files come here, each is read once for all its candidates, and only supported languages
-    are sent to Python at all. A file on which the parser raises has no facts but a failure; the others go on.
-    """
-    places = F.transform("candidates", lambda c: F.struct(c["line"].alias("line"), c["at"].alias("at")))
-
-    @F.pandas_udf(PARSED)
-    def of(texts: pd.Series, suffixes: pd.Series, where: pd.Series) -> pd.DataFrame:
-        found, failures = [], []
-        for text, ext, each in zip(texts, suffixes, where, strict=True):
-            try:
-                rows = parser(text, ext, [(p["line"], p["at"]) for p in each])
-                found.append([dict(zip(("has_tree", "declared", "in_access", "interpolated"), r, strict=True)) for r in rows])
-                failures.append(None)
-            except Exception as e:  # noqa: BLE001  whatever a parser trips over is the skip reason of that file alone
-                found.append(None)
-                failures.append(f"scan failed: {str(e) or type(e).__name__}")
-        return pd.DataFrame({"facts": pd.Series(found, dtype=object), "failure": pd.Series(failures, dtype=object)})
-
-    plain = bearing.where(~is_parsed()).withColumn("facts", F.lit(None).cast(FACT)).withColumn("failure", F.lit(None).cast("string"))
-    # declared so that tests of `failure` stay above it, where each file has been parsed once
-    parsed = bearing.where(is_parsed()).withColumn("parsed", of.asNondeterministic()(F.col("content"), fn.extension(F.col("path")), places))
-    return parsed.select("*", "parsed.facts", "parsed.failure").drop("parsed").unionByName(plain)
+def judged(files: DataFrame, patterns: list[Pattern] | tuple[Pattern, ...] = BUILTIN, rules: tuple[Rule, ...] = RULES, parser: Parser = structure.facts, options: fn.EntropyOptions = fn.EntropyOptions(), failed: bool = False) -> DataFrame:
+    """Candidates of rows of (path, content) with `verdicts`, the non-null verdicts in rule order, of which those after the first drop are
+    void. A file on which matching or the parser raises has none, or, with `failed`, a row of nulls and its `failure`."""
+    bearing = detect.with_candidates(files, patterns, options, parser)
+    rows = detect.exploded(bearing, patterns, keep=("facts", *["failure"] * failed), outer=failed)
+    return rows.withColumn("verdicts", _verdicts(rows.sparkSession.sparkContext.applicationId, tuple(rules))).drop("facts", "nth")
 
 
 def failures(files: DataFrame, patterns: list[Pattern] | tuple[Pattern, ...] = BUILTIN, parser: Parser = structure.facts, options: fn.EntropyOptions = fn.EntropyOptions()) -> DataFrame:
-    """(path, reason) of the files on which the parser raises; only files that it is asked about are looked at."""
-    rows = detect.exploded(with_facts(detect.with_candidates(files.where(is_parsed()), patterns, options), parser), patterns, keep=("failure",))
-    return rows.where("failure is not null and nth = 0").select(F.col("file").alias("path"), F.col("failure").alias("reason"))
+    """(path, reason) of the files on which matching or the parser raises."""
+    return detect.with_candidates(files, patterns, options, parser).where("failure is not null").select("path", F.col("failure").alias("reason"))
 
 
-def judged(bearing: DataFrame, patterns: list[Pattern] | tuple[Pattern, ...] = BUILTIN, rules: tuple[Rule, ...] = RULES, parser: Parser = structure.facts) -> DataFrame:
-    """Candidates with `verdicts`, the non-null verdicts in rule order, of which those after the first drop are void, and
-    `failure`, their file's, if it has one."""
-    rows = detect.exploded(with_facts(bearing, parser), patterns, keep=("facts", "failure"))
-    return rows.withColumn("verdicts", _verdicts(rows.sparkSession.sparkContext.applicationId, tuple(rules))).drop("facts", "nth")
+def outcomes(files: DataFrame, patterns: list[Pattern] | tuple[Pattern, ...] = BUILTIN, rules: tuple[Rule, ...] = RULES, parser: Parser = structure.facts, options: fn.EntropyOptions = fn.EntropyOptions(), seconds: float = matching.SEARCH_SECONDS) -> DataFrame:
+    """All that a scan of (path, content, read_error) can say, from one pass: findings, and a row with `first` for each file.
+
+    (first, reason, ordinal, a finding's columns). A file is its row with `first`, whose `reason` says why it was skipped, if it was.
+    A row is a finding if it has a patternId; a file's first row is there whether it is one or not.
+    """
+    readable = files.withColumn("content", F.when(F.col("read_error").isNull(), F.col("content")))
+    scanned = detect.with_outcomes(readable, patterns, options, parser, seconds).select("path", F.coalesce("read_error", "scanned.failure").alias("reason"), "scanned.candidates", "scanned.shown", "scanned.facts")
+    rows = detect.exploded(scanned, patterns, keep=("reason", "facts"), outer=True)
+    rows = rows.withColumn("verdicts", _verdicts(rows.sparkSession.sparkContext.applicationId, tuple(rules)))
+    first, found = F.coalesce("nth", F.lit(0)) == 0, F.col("nth").isNotNull() & ~_is_dropped()
+    rows = rows.withColumns({"first": first, "found": found}).where("first or found")
+    said = _adjusted(rows)
+    return said.select("first", "reason", *[F.when(F.col("found"), F.col(c)).alias(c) if c != "file" else F.col(c) for c in (*FINDING, "ordinal")])
 
 
 @lru_cache(maxsize=32)
@@ -147,12 +127,18 @@ def _verdicts(app: str, rules: tuple[Rule, ...]) -> Column:
     return F.filter(F.array(*[r(subject).cast(VERDICT) for r in rules]), lambda v: v.isNotNull())
 
 
-def survivors(rows: DataFrame) -> DataFrame:
-    """Findings: judged candidates without the dropped ones and those of files that failed, severity and confidence adjusted,
-    the raw value gone for good."""
+def _is_dropped() -> Column:
+    return F.exists("verdicts", lambda v: v["action"] == "drop")
+
+
+def _adjusted(rows: DataFrame) -> DataFrame:
     changed = lambda f: F.coalesce(F.get(F.reverse(F.filter(F.transform("verdicts", lambda v: v[f]), lambda x: x.isNotNull())), F.lit(0)), F.col(f))
-    kept = rows.where("failure is null").where(~F.exists("verdicts", lambda v: v["action"] == "drop"))
-    return kept.withColumn("severity", changed("severity")).withColumn("confidence", changed("confidence")).select(*FINDING, "ordinal")
+    return rows.withColumns({f: changed(f) for f in ("severity", "confidence")})
+
+
+def survivors(rows: DataFrame) -> DataFrame:
+    """Findings: judged candidates without the dropped ones, severity and confidence adjusted, the raw value gone for good."""
+    return _adjusted(rows.where(~_is_dropped())).select(*FINDING, "ordinal")
 
 
 #: Columns of a finding, in the order that reports have them; `ordinal` follows them to settle ties.
@@ -161,4 +147,4 @@ FINDING = ("patternId", "patternName", "provider", "severity", "confidence", "fi
 
 def findings(files: DataFrame, patterns: list[Pattern] | tuple[Pattern, ...] = BUILTIN, rules: tuple[Rule, ...] = RULES, parser: Parser = structure.facts, options: fn.EntropyOptions = fn.EntropyOptions()) -> DataFrame:
     """Rows of (path, content) to findings."""
-    return survivors(judged(detect.with_candidates(files, patterns, options), patterns, rules, parser))
+    return survivors(judged(files, patterns, rules, parser, options))

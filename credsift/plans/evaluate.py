@@ -32,7 +32,7 @@ def outcomes(judged: DataFrame) -> DataFrame:
     """
     dropped = F.get(F.filter("verdicts", lambda v: v["action"] == "drop"), F.lit(0))["rule"]
     rows = judged.select("file", "failure", F.struct("ordinal", "line", "at").alias("place"), "patternId", dropped.alias("rule"))
-    return rows.groupBy("file").agg(F.max("failure").alias("failure"), F.count("*").alias("candidates"), F.count_if(F.col("rule").isNull()).alias("findings"), F.min_by("patternId", F.when(F.col("rule").isNull(), F.col("place"))).alias("first_pattern"), F.min_by("rule", "place").alias("rejected_by"))
+    return rows.groupBy("file").agg(F.max("failure").alias("failure"), F.count("patternId").alias("candidates"), F.count_if(F.col("rule").isNull() & F.col("patternId").isNotNull()).alias("findings"), F.min_by("patternId", F.when(F.col("rule").isNull(), F.col("place"))).alias("first_pattern"), F.min_by("rule", "place").alias("rejected_by"))
 
 
 def evaluated(manifest: DataFrame, judged: DataFrame, sources: DataFrame) -> DataFrame:
@@ -70,7 +70,7 @@ def evaluate(spark: SparkSession, folders: list[str | Path], patterns: list[Patt
     every = None
     for folder in folders:
         manifest, sources = read_manifest(spark, folder), files.disk(spark, folder)
-        judged = verify.judged(detect.with_candidates(sources.where("read_error is null").select("path", "content"), patterns), patterns)
+        judged = verify.judged(sources.where("read_error is null").select("path", "content"), patterns, failed=True)
         part = evaluated(manifest, judged, sources)
         every = part if every is None else every.unionByName(part)
     return every, int(not every.where("not passed").isEmpty())

@@ -240,7 +240,7 @@ def rule_placeholder(spark, sf_dir):
 
 
 def _judged(spark, sf_dir):
-    return verify.judged(detect.with_candidates(corpus(spark, sf_dir)))
+    return verify.judged(corpus(spark, sf_dir))
 
 
 def _dropped_by():
@@ -270,7 +270,7 @@ _TEMPLATE = f"select 'src/t' || cast(c_custkey as varchar(20)) || '.ts' as path,
 def rule_template_literal(spark, sf_dir):
     """The optional rule, on keys in the static text of templates and in interpolations."""
     rows = derived(spark, sf_dir, _TEMPLATE).select("path", F.col("text").alias("content"))
-    judged = verify.judged(detect.with_candidates(rows), rules=(verify.template_literal_value,))
+    judged = verify.judged(rows, rules=(verify.template_literal_value,))
     return judged.select("file", "line", (F.size("verdicts") > 0).alias("interpolated"))
 
 
@@ -463,7 +463,7 @@ _SPEC = f"""select path, text, c_custkey, case when c_custkey % 20 in (0, 1, 2,
 def _evaluated(spark, sf_dir):
     rows = derived(spark, sf_dir, _SPEC)
     files = rows.select("path", F.col("text").alias("content"), F.lit(None).cast("string").alias("read_error"))
-    return evaluate.evaluated(rows.select(F.col("path").alias("fixture"), "kind", "expected"), verify.judged(detect.with_candidates(files.select("path", "content"))), files)
+    return evaluate.evaluated(rows.select(F.col("path").alias("fixture"), "kind", "expected"), verify.judged(files.select("path", "content"), failed=True), files)
 
 
 _EVAL_SQL = f"""with spec as ({_SPEC}), {o.judged('select path, text from spec')},

@@ -1,49 +1,65 @@
-"""A scan: source, detection, verification, and the counts around them."""
+"""A scan: source, detection, verification, and the counts around them, all from one reading of each file."""
 
 from __future__ import annotations
 
 import time
 from collections.abc import Iterable
 from dataclasses import dataclass
+from functools import cached_property
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import EntropyOptions
-from ..operators import structure, verify
+from ..operators import matching, structure, verify
 from ..operators.registry import BUILTIN, Pattern
 from ..sources import files
+from .store import remove, stored
 
 
 @dataclass
 class ScanResult:
-    """findings and skipped are lazy; files_scanned + the rows of skipped are all files that were listed.
+    """What a scan says: findings, skipped files, counts. files_scanned + the rows of skipped are all files that were listed.
 
-    Skipped are files that could not be read, and those on which the parser raised; the latter have no findings.
+    Whichever is asked for first runs the scan, once: its outcomes go to a table of masked rows, from which everything else is
+    read, so all parts agree even if files change meanwhile. Skipped are files that could not be read, and those on which matching or
+    the parser raised; the latter have no findings.
     """
 
-    findings: DataFrame
-    skipped: DataFrame
-    sources: DataFrame
+    outcomes: DataFrame
     root_dir: str
     version: str
     began: float
 
+    @cached_property
+    def _stored(self) -> tuple[DataFrame, str]:
+        return stored(self.outcomes, "outcomes")
+
+    @property
+    def findings(self) -> DataFrame:
+        return self._stored[0].where("patternId is not null").select(*verify.FINDING, "ordinal")
+
+    @property
+    def skipped(self) -> DataFrame:
+        return self._stored[0].where("first and reason is not null").select(F.col("file").alias("path"), "reason")
+
     def counted(self) -> dict[str, int]:
         """Files scanned and skipped, clean ones included, and the milliseconds so far."""
-        skipped = self.skipped.count()
-        return {"files_scanned": self.sources.count() - skipped, "files_skipped": skipped, "duration_ms": round(1000 * (time.perf_counter() - self.began))}
+        n = self._stored[0].agg(F.count_if("first").alias("listed"), F.count_if(F.col("first") & F.col("reason").isNotNull()).alias("skipped")).first()
+        return {"files_scanned": n["listed"] - n["skipped"], "files_skipped": n["skipped"], "duration_ms": round(1000 * (time.perf_counter() - self.began))}
+
+    def discard(self) -> None:
+        """Removes the table of outcomes; a later question would scan again."""
+        if "_stored" in self.__dict__:
+            remove(self.outcomes.sparkSession, self.__dict__.pop("_stored")[1])
 
 
 def scan(
     spark: SparkSession, root: str | Path = ".", patterns: list[Pattern] | tuple[Pattern, ...] = BUILTIN, source: DataFrame | None = None, ignore: Iterable[str] = (), include: Iterable[str] | None = None,
-    rules: tuple[verify.Rule, ...] = verify.RULES, parser: verify.Parser = structure.facts, options: EntropyOptions = EntropyOptions(), version: str = "0.0.0",
+    rules: tuple[verify.Rule, ...] = verify.RULES, parser: verify.Parser = structure.facts, options: EntropyOptions = EntropyOptions(), version: str = "0.0.0", seconds: float = matching.SEARCH_SECONDS,
 ) -> ScanResult:
-    """Scans a source of (path, content, read_error), by default the files below root."""
+    """Scans a source of (path, content, read_error), by default the files below root. `seconds` bounds one search in one line."""
     began = time.perf_counter()
     rows = files.disk(spark, root, ignore, include) if source is None else source
-    readable = rows.where("read_error is null").select("path", "content")
-    unread = rows.where("read_error is not null").select("path", F.col("read_error").alias("reason"))
-    skipped = unread.unionByName(verify.failures(readable, patterns, parser, options))
-    return ScanResult(verify.findings(readable, patterns, rules, parser, options), skipped, rows, str(Path(root).resolve()), version, began)
+    return ScanResult(verify.outcomes(rows, patterns, rules, parser, options, seconds), str(Path(root).resolve()), version, began)

@@ -105,7 +105,7 @@ def dropped_by(spark, sources, rules=verify.RULES):
     """Of each (path, source): the rules that drop its candidates, in order of place."""
     df = spark.createDataFrame([(f"{i}/{path}", text) for i, (path, text) in enumerate(sources)], "path string, content string")
     out = [[] for _ in sources]
-    for r in verify.judged(detect.with_candidates(df, FOUND), FOUND, rules).orderBy("line", "at").collect():
+    for r in verify.judged(df, FOUND, rules).orderBy("line", "at").collect():
         out[int(r.file.split("/")[0])].append(next((v.rule for v in r.verdicts if v.action == "drop"), None))
     return out
 
@@ -211,15 +211,15 @@ def test_aggregates(spark):
     assert summary.failing(f, "nonsense").count() == 0
 
 
-def test_registry(spark, tmp_path):
+def test_registry(tmp_path):
     good = {"id": "x", "name": "X", "provider": "p", "regex": "a(b)", "flags": "i", "confidence": "low", "severity": "low", "entropyCheck": False, "more": 1}
     path = tmp_path / "p.json"
     path.write_text(json.dumps([good]))
-    assert registry.load_patterns(path, spark)[0].compiled.groups == 1
+    assert registry.load_patterns(path)[0].compiled.groups == 1
     for bad in ([{**good, "severity": "huge"}], [good, {**good, "regex": "("}], [{k: v for k, v in good.items() if k != "flags"}], [{**good, "entropyCheck": 1}]):
         path.write_text(json.dumps(bad))
         with pytest.raises(ValueError, match=f"entry {len(bad) - 1}"):
-            registry.load_patterns(path, spark)
+            registry.load_patterns(path)
     path.write_text("{}")
     with pytest.raises(ValueError, match="list of patterns"):
         registry.load_patterns(path)
