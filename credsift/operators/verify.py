@@ -50,12 +50,12 @@ def is_test_path(path: Column) -> Column:
 
 def placeholder_marker(value: Column) -> Column:
     """First marker, in the list's order, that the value contains in any case; null for none."""
-    upper = F.upper(fn.trimmed(value))
-    return F.coalesce(*[F.when(F.contains(upper, F.lit(m)), m) for m in PLACEHOLDER_MARKERS])
+    first = lambda upper: F.coalesce(*[F.when(F.contains(upper, F.lit(m)), m) for m in PLACEHOLDER_MARKERS])
+    return fn.let(F.upper(fn.trimmed(value)), first)
 
 
 def placeholder_shape(value: Column) -> Column:
-    return reduce(lambda a, b: a | b, [fn.trimmed(value).rlike(translate(*s).regex) for s in PLACEHOLDER_SHAPES])
+    return fn.let(fn.trimmed(value), lambda v: reduce(lambda a, b: a | b, [v.rlike(translate(*s).regex) for s in PLACEHOLDER_SHAPES]))
 
 
 def test_path(s: Subject) -> Column:
@@ -63,9 +63,8 @@ def test_path(s: Subject) -> Column:
 
 
 def placeholder_value(s: Subject) -> Column:
-    marker = placeholder_marker(s.raw_value)
-    by_marker = verdict("placeholder-value", "drop", F.concat(F.lit('a stand-in says "'), marker, F.lit('"')))
-    return F.when(marker.isNotNull(), by_marker).when(placeholder_shape(s.raw_value), verdict("placeholder-value", "drop", "shaped like a stand-in"))
+    by_marker = lambda m: F.when(m.isNotNull(), verdict("placeholder-value", "drop", F.concat(F.lit('a stand-in says "'), m, F.lit('"'))))
+    return F.coalesce(fn.let(placeholder_marker(s.raw_value), by_marker), F.when(placeholder_shape(s.raw_value), verdict("placeholder-value", "drop", "shaped like a stand-in")))
 
 
 def constant_alias(s: Subject) -> Column:
@@ -92,8 +91,13 @@ def judged(files: DataFrame, patterns: list[Pattern] | tuple[Pattern, ...] = BUI
     """Candidates of rows of (path, content) with `verdicts`, the non-null verdicts in rule order, of which those after the first drop are
     void. A file on which matching or the parser raises has none, or, with `failed`, a row of nulls and its `failure`."""
     bearing = detect.with_candidates(files, patterns, options, parser)
-    rows = detect.exploded(bearing, patterns, keep=("facts", *["failure"] * failed), outer=failed)
-    return rows.withColumn("verdicts", _verdicts(rows.sparkSession.sparkContext.applicationId, tuple(rules))).drop("facts", "nth")
+    return _with_verdicts(detect.exploded(bearing, patterns, keep=("facts", *["failure"] * failed), outer=failed), rules).drop("facts", "nth")
+
+
+def _with_verdicts(rows: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
+    """Rows with `verdicts`, computed once: what stands above a generator isn't pushed into it, so no test of verdicts repeats them."""
+    verdicts = _verdicts(rows.sparkSession.sparkContext.applicationId, tuple(rules))
+    return rows.select("*", F.inline(F.array(F.struct(verdicts.alias("verdicts")))))
 
 
 def failures(files: DataFrame, patterns: list[Pattern] | tuple[Pattern, ...] = BUILTIN, parser: Parser = structure.facts, options: fn.EntropyOptions = fn.EntropyOptions()) -> DataFrame:
@@ -102,43 +106,66 @@ def failures(files: DataFrame, patterns: list[Pattern] | tuple[Pattern, ...] = B
 
 
 def outcomes(files: DataFrame, patterns: list[Pattern] | tuple[Pattern, ...] = BUILTIN, rules: tuple[Rule, ...] = RULES, parser: Parser = structure.facts, options: fn.EntropyOptions = fn.EntropyOptions(), seconds: float = matching.SEARCH_SECONDS) -> DataFrame:
-    """All that a scan of (path, content, read_error) can say, from one pass: findings, and a row with `first` for each file.
+    """(file, reason, found, shown): all that a scan of (path, content, read_error) can say, a row for each file, from one pass.
 
-    (first, reason, ordinal, a finding's columns). A file is its row with `first`, whose `reason` says why it was skipped, if it was.
-    A row is a finding if it has a patternId; a file's first row is there whether it is one or not.
+    `reason` says why a file was skipped, null for most; `found` are its findings, and `shown` the masked lines that they stand in, once
+    each, or null. findings_of() makes rows of findings from them.
     """
     readable = files.withColumn("content", F.when(F.col("read_error").isNull(), F.col("content")))
-    scanned = detect.with_outcomes(readable, patterns, options, parser, seconds).select("path", F.coalesce("read_error", "scanned.failure").alias("reason"), "scanned.candidates", "scanned.shown", "scanned.facts")
-    rows = detect.exploded(scanned, patterns, keep=("reason", "facts"), outer=True)
-    rows = rows.withColumn("verdicts", _verdicts(rows.sparkSession.sparkContext.applicationId, tuple(rules)))
-    first, found = F.coalesce("nth", F.lit(0)) == 0, F.col("nth").isNotNull() & ~_is_dropped()
-    rows = rows.withColumns({"first": first, "found": found}).where("first or found")
-    said = _adjusted(rows)
-    return said.select("first", "reason", *[F.when(F.col("found"), F.col(c)).alias(c) if c != "file" else F.col(c) for c in (*FINDING, "ordinal")])
+    scanned = detect.with_outcomes(readable, patterns, options, parser, seconds)
+    kept = F.filter(F.transform("scanned.candidates", _finding(tuple(patterns), tuple(rules))), lambda c: ~c["dropped"])
+    any_found = lambda f: F.when(F.size(f) > 0, F.transform(f, lambda c: F.struct(*[c[k] for k in _FOUND])))
+    rows = scanned.select(F.col("path").alias("file"), F.coalesce("read_error", "scanned.failure").alias("reason"), fn.let(kept, any_found).alias("found"), F.col("scanned.shown").alias("shown"))
+    return rows.withColumn("shown", F.when(F.col("found").isNotNull(), F.col("shown")))
+
+
+_FOUND = ("ordinal", "line", "column", "nth_line", "severity", "confidence", "masked", "fingerprint")
+
+
+def _finding(patterns: tuple[Pattern, ...], rules: tuple[Rule, ...]) -> Callable[[Column, Column], Column]:
+    """A candidate within its file's array to a finding, or to one that is dropped."""
+    of = lambda f, c: F.get(F.array(*[F.lit(getattr(p, f)) for p in patterns]), c["ordinal"])
+
+    def judge(c: Column, i: Column) -> Column:
+        fact, no = F.get(F.col("scanned.facts"), i), F.lit(False)
+        subject = Subject(F.col("path"), c["raw_value"], F.coalesce(fact["has_tree"], no), fact["declared"], F.coalesce(fact["in_access"], no), F.coalesce(fact["interpolated"], no))
+        last = lambda v, f: F.coalesce(F.get(F.reverse(F.filter(F.transform(v, lambda x: x[f]), lambda x: x.isNotNull())), F.lit(0)), of(f, c))
+        said = lambda v: F.struct(
+            *[c[k].alias(k) for k in _FOUND[:4]], last(v, "severity").alias("severity"), last(v, "confidence").alias("confidence"),
+            fn.masked(c["raw_value"]).alias("masked"), fn.fingerprint(c["raw_value"]).alias("fingerprint"), F.exists(v, lambda x: x["action"] == "drop").alias("dropped"),
+        )
+        return fn.let(_said(rules, subject), said)
+
+    return judge
+
+
+def findings_of(outcomes: DataFrame, patterns: list[Pattern] | tuple[Pattern, ...] = BUILTIN) -> DataFrame:
+    """Rows of findings from outcomes() with the same patterns."""
+    of = lambda f: F.get(F.array(*[F.lit(getattr(p, f)) for p in patterns]), F.col("f.ordinal")).alias(f)
+    rows = outcomes.where("found is not null").select("file", "shown", F.explode("found").alias("f"))
+    named = rows.select(of("id").alias("patternId"), of("name").alias("patternName"), of("provider"), "f.*", "file", F.array(F.get("shown", F.col("f.nth_line"))).alias("context"))
+    return named.select(*FINDING, "ordinal")
 
 
 @lru_cache(maxsize=32)
 def _verdicts(app: str, rules: tuple[Rule, ...]) -> Column:
     """Verdicts of the rules on a row of judged(), built once for each application."""
     fact, no = F.get(F.col("facts"), F.col("nth")), F.lit(False)
-    subject = Subject(F.col("file"), F.col("raw_value"), F.coalesce(fact["has_tree"], no), fact["declared"], F.coalesce(fact["in_access"], no), F.coalesce(fact["interpolated"], no))
+    return _said(rules, Subject(F.col("file"), F.col("raw_value"), F.coalesce(fact["has_tree"], no), fact["declared"], F.coalesce(fact["in_access"], no), F.coalesce(fact["interpolated"], no)))
+
+
+def _said(rules: tuple[Rule, ...], subject: Subject) -> Column:
+    """What the rules say of a candidate, in their order; silence is left out."""
     if not rules:
         return F.array().cast(f"array<{VERDICT}>")
     return F.filter(F.array(*[r(subject).cast(VERDICT) for r in rules]), lambda v: v.isNotNull())
 
 
-def _is_dropped() -> Column:
-    return F.exists("verdicts", lambda v: v["action"] == "drop")
-
-
-def _adjusted(rows: DataFrame) -> DataFrame:
-    changed = lambda f: F.coalesce(F.get(F.reverse(F.filter(F.transform("verdicts", lambda v: v[f]), lambda x: x.isNotNull())), F.lit(0)), F.col(f))
-    return rows.withColumns({f: changed(f) for f in ("severity", "confidence")})
-
-
 def survivors(rows: DataFrame) -> DataFrame:
     """Findings: judged candidates without the dropped ones, severity and confidence adjusted, the raw value gone for good."""
-    return _adjusted(rows.where(~_is_dropped())).select(*FINDING, "ordinal")
+    changed = lambda f: F.coalesce(F.get(F.reverse(F.filter(F.transform("verdicts", lambda v: v[f]), lambda x: x.isNotNull())), F.lit(0)), F.col(f))
+    kept = rows.where(~F.exists("verdicts", lambda v: v["action"] == "drop"))
+    return kept.withColumns({f: changed(f) for f in ("severity", "confidence")}).select(*FINDING, "ordinal")
 
 
 #: Columns of a finding, in the order that reports have them; `ordinal` follows them to settle ties.

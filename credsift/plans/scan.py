@@ -22,12 +22,13 @@ from .store import remove, stored
 class ScanResult:
     """What a scan says: findings, skipped files, counts. files_scanned + the rows of skipped are all files that were listed.
 
-    Whichever is asked for first runs the scan, once: its outcomes go to a table of masked rows, from which everything else is
+    Whichever is asked for first runs the scan, once: its outcomes, a masked row for each file, go to a table from which everything else is
     read, so all parts agree even if files change meanwhile. Skipped are files that could not be read, and those on which matching or
     the parser raised; the latter have no findings.
     """
 
     outcomes: DataFrame
+    patterns: tuple[Pattern, ...]
     root_dir: str
     version: str
     began: float
@@ -38,15 +39,15 @@ class ScanResult:
 
     @property
     def findings(self) -> DataFrame:
-        return self._stored[0].where("patternId is not null").select(*verify.FINDING, "ordinal")
+        return verify.findings_of(self._stored[0], self.patterns)
 
     @property
     def skipped(self) -> DataFrame:
-        return self._stored[0].where("first and reason is not null").select(F.col("file").alias("path"), "reason")
+        return self._stored[0].where("reason is not null").select(F.col("file").alias("path"), "reason")
 
     def counted(self) -> dict[str, int]:
         """Files scanned and skipped, clean ones included, and the milliseconds so far."""
-        n = self._stored[0].agg(F.count_if("first").alias("listed"), F.count_if(F.col("first") & F.col("reason").isNotNull()).alias("skipped")).first()
+        n = self._stored[0].agg(F.count("*").alias("listed"), F.count("reason").alias("skipped")).first()
         return {"files_scanned": n["listed"] - n["skipped"], "files_skipped": n["skipped"], "duration_ms": round(1000 * (time.perf_counter() - self.began))}
 
     def discard(self) -> None:
@@ -62,4 +63,4 @@ def scan(
     """Scans a source of (path, content, read_error), by default the files below root. `seconds` bounds one search in one line."""
     began = time.perf_counter()
     rows = files.disk(spark, root, ignore, include) if source is None else source
-    return ScanResult(verify.outcomes(rows, patterns, rules, parser, options, seconds), str(Path(root).resolve()), version, began)
+    return ScanResult(verify.outcomes(rows, patterns, rules, parser, options, seconds), tuple(patterns), str(Path(root).resolve()), version, began)
