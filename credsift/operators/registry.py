@@ -119,6 +119,13 @@ def conflicts(builtin: DataFrame, custom: DataFrame) -> DataFrame:
     return seen.where("source = 'custom' and shadowed_source is not null").select("id", "shadowed_name", "shadowed_source", F.col("name").alias("winner_name"), (F.col("turn") - (1 << 20)).alias("custom_ordinal"))
 
 
+def notices(found: DataFrame) -> DataFrame:
+    """conflicts() with `note`, what a scan says of each."""
+    name = F.concat(F.lit('"'), F.col("id"), F.lit('"'))
+    of_builtin, of_custom = F.concat(F.lit("note: custom pattern "), name, F.lit(" overrides the built-in")), F.concat(F.lit("note: duplicate custom pattern id "), name, F.lit(", the later one is used"))
+    return found.withColumn("note", F.when(F.col("shadowed_source") == "builtin", of_builtin).otherwise(of_custom))
+
+
 @dataclass(frozen=True)
 class Conflict:
     id: str

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as fn
-from ..operators import detect, registry, summary, verify
+from ..operators import detect, registry, structure, summary, verify
 from ..operators.registry import BUILTIN, Pattern
 from ..sources import files as sources
 from . import evaluate
@@ -154,13 +154,13 @@ def match_positions(spark, sf_dir):
     return detect.candidates(rows, (DENSE,)).select(F.col("file").alias("path"), "line", "column", "fingerprint")
 
 
-HOSTS = (Pattern("link-host", "Host of a link", "web", r"https?://([a-z0-9.]+)/", "i", "low", "medium", False),)
+LINKS = (Pattern("link", "Target of a link", "web", r'href="/([^" ]*)"', "i", "low", "medium", False),)
 
 
-@query(f"with {o.candidates("select 'pages/' || page_id as path, coalesce(url, '') as text from pages", HOSTS)} select path as file, line::int line, col::int \"column\", {_CAND_SQL} from cand")
+@query(f"with {o.candidates("select 'pages/' || page_id as path, coalesce(html, '') as text from pages", LINKS)} select path as file, line::int line, col::int \"column\", {_CAND_SQL} from cand")
 def custom_pattern_scan(spark, sf_dir):
-    rows = read(spark, sf_dir, "pages").select(F.concat(F.lit("pages/"), F.col("page_id").cast("string")).alias("path"), F.col("url").alias("content"))
-    return detect.candidates(rows, HOSTS).select("file", "line", "column", "masked", "fingerprint")
+    rows = read(spark, sf_dir, "pages").select(F.concat(F.lit("pages/"), F.col("page_id").cast("string")).alias("path"), F.col("html").alias("content"))
+    return detect.candidates(rows, LINKS).select("file", "line", "column", "masked", "fingerprint")
 
 
 PROPS = (Pattern("long-number", "Number in properties", "web", r'"[a-z]+": ?"?([0-9]+)', "", "low", "low", False),)
@@ -206,10 +206,8 @@ _over_values("trim_whitespace", lambda v: fn.trimmed(F.concat(F.lit("\t \r"), v,
 
 @query(f"with t as ({CORPUS}) select path, regexp_extract(lower(path), '[^/.][^/]*([.][^./]*)$', 1) as extension, regexp_extract(lower(path), '[^/.][^/]*([.][^./]*)$', 1) in ('.js', '.jsx', '.mjs', '.cjs', '.ts', '.tsx', '.mts', '.cts') as supported from t")
 def supported_files(spark, sf_dir):
-    from ..operators.structure import EXTENSIONS
-
     suffix = fn.extension(F.col("path"))
-    return derived(spark, sf_dir).select("path", suffix.alias("extension"), suffix.isin(*EXTENSIONS).alias("supported"))
+    return derived(spark, sf_dir).select("path", suffix.alias("extension"), suffix.isin(*structure.EXTENSIONS).alias("supported"))
 
 
 @query(f"with t as ({CORPUS}) select path from t where (regexp_matches(path, '^src/.*[.]ts$') or regexp_matches(path, '^[^/]+/[^/]*[.]yml$')) and not regexp_matches(path, '^src/core/')")
@@ -408,6 +406,56 @@ def exit_codes_of_projects(spark, sf_dir):
     return projects.select("project", "rank", "skipped", levels.alias("t")).select(F.col("project").cast("long").alias("project"), "t.fail_on", code.alias("exit_code"))
 
 
+def _stumbling(text, extension, places):
+    """A parser that some sources trip up."""
+    if "MOCK_TOKEN" in text:
+        raise RuntimeError("cannot parse")
+    return structure.facts(text, extension, places)
+
+
+_OUTCOME_SQL = f"""with {o.findings(f"select path, coalesce(text, '') as text from ({PARTLY})")},
+src2 as (select path, text, text like '%MOCK_TOKEN%' and regexp_extract(path, '[^/.][^/]*([.][^./]*)$', 1) in ({', '.join(map(o.quoted, structure.EXTENSIONS))}) as trips from ({PARTLY})),
+said as (select path, case when text is null then 'no content' when trips then 'scan failed: cannot parse' end as reason from src2),
+kept as (select path as file, reason, count(fin.file)::bigint as findings from said left join fin on fin.file = path and reason is null group by path, reason)
+"""
+
+
+@query(_OUTCOME_SQL + "select file, reason, findings from kept where findings > 0 or reason is not null")
+def scan_outcomes(spark, sf_dir):
+    """What one pass says of each file: findings, or why it was skipped, be it not readable or one on which the parser raises."""
+    said = verify.outcomes(_partly(spark, sf_dir), parser=_stumbling)
+    return said.select("file", "reason", F.coalesce(F.size("found"), F.lit(0)).cast("long").alias("findings")).where("findings > 0 or reason is not null")
+
+
+@query(_OUTCOME_SQL + "select count(*) filter (reason is null)::bigint as files_scanned, count(reason)::bigint as files_skipped, sum(findings)::bigint as findings, count(*) filter (findings > 0)::bigint as files_with_findings from kept")
+def scan_summary(spark, sf_dir):
+    """Counts of files and findings from the same rows."""
+    n = F.when(F.col("found").isNull(), 0).otherwise(F.size("found"))
+    return verify.outcomes(_partly(spark, sf_dir), parser=_stumbling).agg(F.count_if(F.col("reason").isNull()).alias("files_scanned"), F.count("reason").alias("files_skipped"), F.sum(n).cast("long").alias("findings"), F.count_if(n > 0).alias("files_with_findings"))
+
+
+_DEEP = Pattern("deep", "Repeated choice", "custom", "mark:((?:[0-9a-f]|[g-z])+);", "", "low", "low", False)
+_LONG = f"select 'long/' || cast(c_custkey as varchar(20)) as path, 'mark:' || repeat(md5(c_name), cast(100 + c_custkey % 1500 as int)) || ';' as text, c_custkey from customer"
+
+
+@query(f"with {o.candidates(_LONG, (_DEEP,))} select path as file, line::int line, col::int \"column\", {o.fingerprint('secret')} fingerprint from cand")
+def scan_long_lines(spark, sf_dir):
+    """A choice repeated over lines of up to 51,000 characters, at which matchers that recurse overflow their stack."""
+    return detect.candidates(derived(spark, sf_dir, _LONG).select("path", F.col("text").alias("content")), (_DEEP,)).select("file", "line", "column", "fingerprint")
+
+
+_DENSE_LINE = f"select 'dense/' || cast(c_custkey % 7 as varchar(20)) as path, string_agg('ghp_' || md5(c_name) || substr(md5(c_mktsegment), 1, 4), ' ' order by c_custkey) as text from customer group by c_custkey % 7"
+
+
+@query(f"with t as ({_DENSE_LINE}), k as (select path, unnest(string_split(text, ' ')) as s, generate_subscripts(string_split(text, ' '), 1) as n from t) select path, count(*)::bigint as candidates, max(41 * (n - 1) + 1)::int as last_column, sha256(string_agg({o.masked('s')}, ' ' order by n)) as shown_sha256 from k group by path")
+def mask_dense_lines(spark, sf_dir):
+    """Lines of hundreds and thousands of values, each masked in one go."""
+    keys = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("c_custkey", F.expr("concat('ghp_', md5(c_name), substr(md5(c_mktsegment), 1, 4))").alias("k")))), lambda x: x["k"]), " ")
+    rows = read(spark, sf_dir, "customer").groupBy(F.concat(F.lit("dense/"), (F.col("c_custkey") % 7).cast("string")).alias("path")).agg(keys.alias("content"))
+    found = detect.with_candidates(rows)
+    return found.select("path", F.size("candidates").cast("long").alias("candidates"), F.array_max(F.transform("candidates", lambda c: c["column"])).alias("last_column"), F.sha2(F.get("shown", F.lit(0)), 256).alias("shown_sha256"))
+
+
 @query(CORPUS_FINDINGS + "select file, line, \"column\", \"patternId\" from fin where rank <= 1")
 def fail_on_gate(spark, sf_dir):
     return summary.failing(found(spark, sf_dir), "high").select("file", "line", "column", "patternId")
@@ -428,23 +476,23 @@ def json_findings(spark, sf_dir):
 # ---- registry
 
 
+_BUILT = "select 'p' || cast(n_nationkey as varchar(20)) as id, n_name as name, 'builtin' as source, n_nationkey as turn from nation"
+_OWN = "select 'p' || cast(s_suppkey * 7 % 40 as varchar(20)) as id, s_name as name, 'custom' as source, s_suppkey as turn from supplier"
+
+
 def _registry(spark, sf_dir):
-    """The built-in patterns, and 3 custom ones of which one overrides and two share an id."""
-    custom = [Pattern("generic-jwt", "Own tokens", "own", "eyJ[a-z]+", "", "high", "high", False), Pattern("own-key", "Own key", "own", "own_[0-9]+", "", "low", "low", False), Pattern("own-key", "Own key again", "own", "own_[a-z]+", "i", "low", "medium", True)]
-    return registry.patterns_frame(spark, BUILTIN), registry.patterns_frame(spark, custom)
+    """Patterns named by nations as built-in ones, and by suppliers as custom ones, many of which share an id."""
+    rest = [F.lit("x").alias("regex"), F.lit("").alias("flags"), F.lit("low").alias("confidence"), F.lit("low").alias("severity"), F.lit(False).alias("entropyCheck")]
+    rows = lambda sql, name: spark.sql(sql.replace(f"from {name}", f"from {{{name}}}"), **{name: read(spark, sf_dir, name)}).select("id", "name", F.col("source").alias("provider"), *rest, F.col("turn").cast("int").alias("ordinal"))
+    return rows(_BUILT, "nation"), rows(_OWN, "supplier")
 
 
-_BUILT = ", ".join(f"({o.quoted(p.id)}, {o.quoted(p.name)}, 'builtin', {k})" for k, p in enumerate(BUILTIN))
-_OWN = "('generic-jwt', 'Own tokens', 'custom', 100), ('own-key', 'Own key', 'custom', 101), ('own-key', 'Own key again', 'custom', 102)"
-_ALL = f"with t(id, name, source, turn) as (select * from (values {_BUILT}, {_OWN}) v)\n"
+_ALL = f"with t as (select id, name, source, case source when 'builtin' then turn else turn + 1048576 end as turn from ({_BUILT} union all {_OWN}))\n"
 
 
-@query(_ALL + "select id, name, source, (row_number() over (order by place))::int as n from (select *, min(turn) over (partition by id) place from t qualify row_number() over (partition by id order by turn desc) = 1)")
+@query(_ALL + "select id, name, source, place::int as place from (select *, min(turn) over (partition by id) place from t qualify row_number() over (partition by id order by turn desc) = 1)")
 def merge_patterns(spark, sf_dir):
-    from pyspark.sql import Window as W
-
-    both = registry.merged(*_registry(spark, sf_dir))
-    return both.select("id", "name", "source", F.row_number().over(W.orderBy("place")).alias("n"))  # a registry is a few rows
+    return registry.merged(*_registry(spark, sf_dir)).select("id", "name", "source", "place")
 
 
 @query(_ALL + "select id, shadowed_name, shadowed_source, name as winner_name from (select *, lag(name) over w shadowed_name, lag(source) over w shadowed_source from t window w as (partition by id order by turn)) where source = 'custom' and shadowed_source is not null")
@@ -452,6 +500,11 @@ def pattern_conflicts(spark, sf_dir):
     return registry.conflicts(*_registry(spark, sf_dir)).drop("custom_ordinal")
 
 
+@query(_ALL + "select id, case shadowed_source when 'builtin' then 'note: custom pattern \"' || id || '\" overrides the built-in' else 'note: duplicate custom pattern id \"' || id || '\", the later one is used' end as note, count(*)::bigint as n from (select *, lag(source) over (partition by id order by turn) shadowed_source from t) where source = 'custom' and shadowed_source is not null group by all")
+def conflict_notices(spark, sf_dir):
+    return registry.notices(registry.conflicts(*_registry(spark, sf_dir))).groupBy("id", "note").agg(F.count("*").alias("n"))
+
+
 # ---- evaluation
 
 _SPEC = f"""select path, text, c_custkey, case when c_custkey % 20 in (0, 1, 2, 3, 4, 5, 6, 7, 8, 12) then 'secret' else 'clean' end as kind,
