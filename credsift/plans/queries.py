@@ -272,6 +272,27 @@ def rule_template_literal(spark, sf_dir):
     return judged.select("file", "line", (F.size("verdicts") > 0).alias("interpolated"))
 
 
+#: Sources of several lines, with a key where @ stands, and the rule that drops each line's key.
+_SOURCES = (
+    (("const MOCK_PAGE = () => (", """  <Layout title="it's">Don't "{cond ? <b>{`x`}</b> : "@"}"</Layout>""", ");", 'const page = "@";'), {2: "constant-alias", 4: None}),
+    (('const FAKE_URL = `a ${f(`b ${"@"}`)} c`;', "const url = `@ ${x}`;"), {1: "constant-alias", 2: None}),
+    (("if (x) /[\"'`]/.test(y);", 'let TEST_KEY = "@";', 'const ratio = (a) / b / c, real = "@";'), {2: "constant-alias", 3: None}),
+    (('const MOCK_A = "@;', 'const MOCK_B = "@";', 'foo(["@";', 'const STUB_C = "@";'), {1: None, 2: "constant-alias", 3: None, 4: "constant-alias"}),
+    (("const a = process.env[", '  "@"', "];", 'const b = import.meta.env.X + "@";'), {2: "env-reference", 4: None}),
+)
+# a dollar sign and a brace together would name a variable of the session
+_SOURCE_TEXTS = " ".join("when " + str(k) + " then " + " || chr(10) || ".join(o.quoted(line).replace("${", "$' || '{") for line in lines) for k, (lines, _) in enumerate(_SOURCES))
+_MULTILINE = f"select 'src/m' || cast(c_custkey as varchar(20)) || '.tsx' as path, replace(case c_custkey % 5 {_SOURCE_TEXTS} end, '@', 'AKIA' || upper(substr({_H}, 1, 16))) as text, c_custkey from customer"
+_DUE = ", ".join(f"({k}, {line}, {o.quoted(rule) if rule else 'null'})" for k, (_, due) in enumerate(_SOURCES) for line, rule in due.items())
+
+
+@query(f"select 'src/m' || c_custkey || '.tsx' as file, line::int as line, rule from customer join (values {_DUE}) d(k, line, rule) on c_custkey % 5 = k")
+def rule_multiline_sources(spark, sf_dir):
+    """Markup, nested templates, regular expressions after brackets, broken statements, accesses over several lines."""
+    rows = derived(spark, sf_dir, _MULTILINE).select("path", F.col("text").alias("content"))
+    return verify.judged(rows).select("file", "line", _dropped_by().alias("rule"))
+
+
 @query(f"with {o.judged(CORPUS)} select rule, count(*)::bigint as candidates from jud where rule is not null group by rule")
 def rejections_by_rule(spark, sf_dir):
     return summary.rejections(_judged(spark, sf_dir))
