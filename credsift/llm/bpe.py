@@ -230,13 +230,15 @@ def scan(codec: Codec, text: str, chunk: int, overlap: int) -> tuple[bytes, np.n
 
 
 def encode(docs: DataFrame, path: str, pattern: str, text_col: str = "text", ids_col: str = "ids", decoded_col: str | None = None, chunk: int = CHUNK, overlap: int = OVERLAP) -> DataFrame:
-    """docs with a binary column of packed ids, and with decoded_col also one of the bytes that they decode to.
+    """docs with a binary column of packed ids, and with decoded_col also one of the bytes that they decode to; columns of docs that
+    have these names are replaced.
 
     Texts of one chunk are encoded where they are; the chunks of longer ones are dealt over the cluster and stitched by
     text. Decoding in the same pass spares a second set of Python workers.
     """
     common.small_batches(docs.sparkSession)
     both = decoded_col is not None
+    docs = docs.drop(ids_col, *[decoded_col] * both)
 
     @F.pandas_udf("ids binary, decoded binary")
     def whole(texts: pd.Series) -> pd.DataFrame:

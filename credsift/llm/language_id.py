@@ -224,6 +224,7 @@ def language(spark, network: Network | None, text: Column) -> Column:
 
 
 def identify(docs: DataFrame, network: Network | None, text_col: str = "text", lang_out: str = "lang_pred", score_out: str = "score") -> DataFrame:
-    """docs with the predicted language and its probability."""
+    """docs with the predicted language and its probability; columns of docs that have these names are replaced."""
+    docs = docs.drop(lang_out, score_out)
     both = common.free_name(docs, "language")
     return docs.withColumn(both, language(docs.sparkSession, network, F.col(text_col))).select("*", F.col(f"{both}.lang").alias(lang_out), F.col(f"{both}.score").alias(score_out)).drop(both)

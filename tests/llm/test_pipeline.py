@@ -60,3 +60,41 @@ def test_decisions_of_the_middle_stages(spark, sf):
     assert len(masked) == 33
     assert 10_003 not in {r.doc_id for r in pipeline.identify_languages(spark, every, sf).collect()}
     assert decontaminate.COVERAGE == 0.8
+
+
+EXTRA = ", ids string, decoded string, lang_pred string, score string, print string, component string, hash string, window string, spans string"
+
+
+def through(spark, docs, sf):
+    """What each stage leaves, and the last one's rows."""
+    counts = []
+    for _, stage in pipeline.STAGES:
+        docs = stage(spark, docs, sf)
+        counts.append(docs.count())
+    return counts, docs
+
+
+def test_extra_columns_of_clashing_names_and_repeated_rows_pass_all_stages(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    some = docs.where("doc_id < 60")
+    more = docs.schema.simpleString()[len("struct<") : -1].replace(":", " ").replace(",", ", ") + EXTRA
+    rows = [(*r, *[f"x{k}" for k in range(EXTRA.count(","))]) for r in some.collect()]
+    rows += [*rows[:10], (None, None, None, None, None, *[None] * EXTRA.count(",")), (rows[0][0], "", "en", "s", 0, *[""] * EXTRA.count(","))]
+    wide, plainly = spark.createDataFrame(rows, more), spark.createDataFrame([r[: len(docs.columns)] for r in rows], docs.schema)
+    counts, last = through(spark, wide, sf)
+    expected, other = through(spark, plainly, sf)
+    assert counts == expected and counts[1] <= 60
+    assert sorted((r.doc_id, r.n_tokens, bytes(r.ids), r.decoded_sha256) for r in last.collect()) == sorted((r.doc_id, r.n_tokens, bytes(r.ids), r.decoded_sha256) for r in other.collect())
+
+
+def test_no_rows_pass_all_stages(spark, sf):
+    counts, last = through(spark, spark.read.parquet(f"{sf}/documents.parquet").limit(0), sf)
+    assert counts == [0] * 5 and "n_tokens" in last.columns
+
+
+def test_columns_of_the_outputs_names_are_replaced(spark):
+    docs = spark.createDataFrame([(1, "some words here", "old", "old", "old", "old")], "doc_id long, text string, ids string, Decoded string, lang_pred string, score string")
+    [row] = bpe.encode(docs, pipeline.RANKS, public_tokenizers.PATTERN, decoded_col="decoded").collect()
+    assert bytes(row.decoded) == b"some words here" and row.ids != "old" and row.score == "old"
+    [row] = language_id.identify(docs, None).collect()
+    assert (row.lang_pred, row.score, row.ids) == (language_id.UNKNOWN, 0.0, "old")
