@@ -7,7 +7,8 @@ its centroids, as many as a measurement on the sample asks for, scans them by ta
 list, with all that the error of the tables leaves undecided, are reranked exactly, in double precision on the original vectors.
 
 Centroids and codebooks are fitted on a bounded sample (MOST_TRAIN_ROWS at most); every vector is indexed. Lists are cut into blocks of at most about
-BLOCK_ROWS rows, so a list that holds a third of all vectors is many tasks; queries of a block are handled in slices.
+BLOCK_ROWS rows, so a list that holds a third of all vectors is many tasks. A task holds one block, and the queries that probe it stream past
+in Arrow batches, however many they are.
 
 Defined results: vectors that are null, zero, or hold null or non-finite components take no part, neither as queries nor as
 candidates, nor do null ids and vectors of another length than most; ties go to the smaller id; rows with repeated
@@ -20,6 +21,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -35,7 +37,6 @@ RECALL, MEASURED, LEAST_PROBED = 0.96, 400, 4
 ETA = 4.0
 #: Candidates a block that are reranked at first, in multiples of k.
 RERANK = 4
-QUERY_SLICE = 256
 #: Relative error of sums in single precision, which table scores are.
 SLACK = 1e-5
 
@@ -155,6 +156,12 @@ class Index:
         return (one[1::2, :, None] + one[::2, None, :]).reshape(len(one) // 2, 256)
 
 
+def matrix(column) -> np.ndarray:
+    """A column of lists of one length as rows."""
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
+
+
 def scan_block(index: Index, ids: np.ndarray, vectors: np.ndarray, codes: np.ndarray, centroid: np.ndarray, errors: np.ndarray, query_ids: np.ndarray, queries: np.ndarray, bounds: np.ndarray, k: int, rerank: int):
     """(place of the query, id, score) of the best of one block, of those that reach the query's bound: tables first, then the exact measure.
 
@@ -223,42 +230,44 @@ def search(
                 yield pd.DataFrame({"list": own.astype(np.int32), "id": b["id"], "v": b["v"], "codes": [c.tobytes() for c in codes]})
 
     stored = common.written(fine.mapInPandas(indexed, "list int, id long, v array<double>, codes binary"), "index")
-    counts = stored.groupBy("list").count().collect()  # at most MAX_LISTS rows
+    counts = stored.groupBy("list").count().collect()  # a row for each list
     blocks = {r["list"]: -(-r["count"] // block_rows) for r in counts}
     many = F.create_map(*[F.lit(x) for key, n in blocks.items() for x in (key, n)]) if blocks else F.create_map()
-    placed = stored.select("list", F.pmod(F.xxhash64("id"), F.element_at(many, F.col("list"))).cast("int").alias("block"), "id", "v", "codes")
+    placed = stored.select("list", F.pmod(F.xxhash64("id"), F.element_at(many, F.col("list"))).cast("int").alias("block"), F.lit(False).alias("asks"), "id", "v", "codes")
 
     def probing(ranks: slice):
-        """Rows (list, block, n, q, v, least) of the queries' probes of these ranks, nearest list first."""
+        """The queries, to the blocks of the lists that they probe at these ranks, nearest first."""
 
         def probe(batches):
             for b in batches:
-                if len(b):
-                    at = index.value.probes(np.stack(b["v"].to_numpy()), probes)[:, ranks]
-                    pairs = [(i, own, blk) for i, row in enumerate(at) for own in row.tolist() for blk in range(blocks.get(own, 0))]
-                    if pairs:
-                        i, own, blk = map(list, zip(*pairs, strict=True))
-                        yield pd.DataFrame({"list": own, "block": blk, "n": b["n"].to_numpy()[i], "q": b["id"].to_numpy()[i], "v": b["v"].to_numpy()[i], "least": b["least"].to_numpy()[i]})
+                at = index.value.probes(matrix(b["v"]), probes)[:, ranks]
+                pairs = [(i, own, blk) for i, row in enumerate(at) for own in row.tolist() for blk in range(blocks.get(own, 0))]
+                for s in range(0, len(pairs), common.BATCH_ROWS):
+                    i, own, blk = zip(*pairs[s : s + common.BATCH_ROWS], strict=True)
+                    part = b.take(pa.array(i, pa.int64()))
+                    yield pa.RecordBatch.from_arrays([pa.array(own, pa.int32()), pa.array(blk, pa.int32()), pa.array([True] * len(i)), *part.columns], ["list", "block", "asks", *part.schema.names])
 
         return probe
 
-    def scanned(key, left, right):
-        ids, vectors = left["id"].to_numpy(), np.stack(left["v"].to_numpy())
-        codes = np.frombuffer(b"".join(left["codes"]), np.uint8).reshape(len(ids), -1)
-        centroid = index.value.centroids[int(key[0])].astype(float)
-        errors = index.value.errors(vectors - centroid, codes)
-        for s in range(0, len(right), QUERY_SLICE):
-            part = right.iloc[s : s + QUERY_SLICE]
-            at, i, x = scan_block(index.value, ids, vectors, codes, centroid, errors, part["q"].to_numpy(), np.stack(part["v"].to_numpy()), part["least"].to_numpy(), k, rerank)
-            yield pd.DataFrame({"n": part["n"].to_numpy()[at], "query_id": part["q"].to_numpy()[at], "vec_id": i, "score": x})
+    def block_of(part: pa.Table) -> tuple:
+        ids, vectors, own = part["id"].to_numpy(), matrix(part["v"]), int(part["list"][0].as_py())
+        codes = np.frombuffer(b"".join(part["codes"].to_pylist()), np.uint8).reshape(len(ids), -1)
+        centroid = index.value.centroids[own].astype(float)
+        return ids, vectors, codes, centroid, index.value.errors(vectors - centroid, codes)
+
+    def answers(key, block, asks: pa.RecordBatch):
+        q, n = asks["id"].to_numpy(), asks["n"].to_numpy()
+        at, found, score = scan_block(index.value, *block, q, matrix(asks["v"]), asks["least"].to_numpy(), k, rerank)
+        return pa.RecordBatch.from_arrays([pa.array(n[at]), pa.array(q[at]), pa.array(found), pa.array(score)], ["n", "query_id", "vec_id", "score"])
 
-    def whole(key, left, right):
-        parts = list(scanned(key, left, right)) if len(left) and len(right) else []
-        return pd.concat(parts) if parts else pd.DataFrame({"n": np.zeros(0, np.int64), "query_id": np.zeros(0, np.int64), "vec_id": np.zeros(0, np.int64), "score": np.zeros(0)})
+    def scanned(batches):
+        yield from common.against_blocks(batches, ("list", "block"), block_of, answers)
 
     def searched(queries: DataFrame, ranks: slice) -> DataFrame:
-        asked = queries.mapInPandas(probing(ranks), "list int, block int, n long, q long, v array<double>, least double")
-        return placed.groupBy("list", "block").cogroup(asked.groupBy("list", "block")).applyInPandas(whole, "n long, query_id long, vec_id long, score double")
+        """What the probed blocks have: a task holds one block, the queries to it stream past, however many they are."""
+        asked = queries.select("n", "id", "v", "least").mapInArrow(probing(ranks), "list int, block int, asks boolean, n long, id long, v array<double>, least double")
+        both = placed.unionByName(asked, allowMissingColumns=True).repartition("list", "block").sortWithinPartitions("list", "block", "asks")
+        return both.mapInArrow(scanned, "n long, query_id long, vec_id long, score double")
 
     # the nearest list first: its k-th score is a bound that what other lists send on must reach, which loses nothing
     # rows of one id with different vectors are queries of their own, equal rows one query

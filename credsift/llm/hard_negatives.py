@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common
+from .ann import matrix
 
 PIVOTS = 32
 #: Rows that pivots are chosen from; rows of a block, at least and at most (between them, blocks follow the size of the table).
@@ -85,10 +86,10 @@ class Block:
         labels = np.array(part["label"].to_pylist(), object)
         order = np.argsort(labels, kind="stable")
         self.ids = part["id"].to_numpy()[order]
-        v = _matrix(part["v"])[order]
+        v = matrix(part["v"])[order]
         self.v = v.astype(float) if exact else v.astype(object)
         self.exact = exact
-        self.d = _matrix(part["d"])[order]
+        self.d = matrix(part["d"])[order]
         labels = labels[order]
         begins = np.flatnonzero(np.r_[True, labels[1:] != labels[:-1]]) if len(labels) else np.zeros(0, int)
         self.of_label = {labels[b]: (b, e) for b, e in zip(begins, np.r_[begins[1:], len(labels)], strict=True)}
@@ -103,12 +104,6 @@ class Block:
         return np.array([max(LONGS[0], min(LONGS[1], s)) for s in (self.v[some] @ q.astype(object)).tolist()], np.int64)
 
 
-def _matrix(column) -> np.ndarray:
-    """A column of lists of one length as rows."""
-    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
-    return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
-
-
 def best_of(ids: np.ndarray, scores: np.ndarray, k: int) -> np.ndarray:
     """Places of the k best, ties by id."""
     if len(scores) > k:
@@ -120,7 +115,7 @@ def best_of(ids: np.ndarray, scores: np.ndarray, k: int) -> np.ndarray:
 
 def asked_of(block: Block, pivots: Pivots, part: pa.RecordBatch, same: bool, k: int):
     """(n, window, id, score) of the best k rows of the block in each window of each query."""
-    q = _matrix(part["v"])
+    q = matrix(part["v"])
     d, norms = pivots.of_queries(q), (q.astype(float) ** 2).sum(1)
     lows, highs = part["lows"].to_pylist(), part["highs"].to_pylist()
     out = []
@@ -185,7 +180,7 @@ def mine(
 
     def measured(batches):
         for b in batches:
-            d = table.value.distances(Pivots.lifted(_matrix(b["v"]).astype(float), table.value.most))
+            d = table.value.distances(Pivots.lifted(matrix(b["v"]).astype(float), table.value.most))
             lists = pa.ListArray.from_arrays(pa.array(np.arange(len(d) + 1) * d.shape[1], pa.int32()), pa.array(d.ravel()))
             yield pa.RecordBatch.from_arrays([b["id"], b["label"], b["v"], lists, pa.array(d.argmin(1).astype(np.int32))], ["id", "label", "v", "d", "cell"])
 
@@ -202,7 +197,7 @@ def mine(
 
         def probe(batches):
             for b in batches:
-                q = _matrix(b["v"])
+                q = matrix(b["v"])
                 d, norms = table.value.of_queries(q), (q.astype(float) ** 2).sum(1)
                 own, lows, place, cell, part = b["own"].to_pylist(), b["lows"].to_pylist(), [], [], []
                 for i in range(len(q)):
