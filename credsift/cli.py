@@ -1,4 +1,4 @@
-"""Command line: scan, install, uninstall."""
+"""Command line: scan, ci, install, uninstall."""
 
 from __future__ import annotations
 
@@ -43,6 +43,11 @@ def parser() -> argparse.ArgumentParser:
     scan.add_argument("--no-color", action="store_true")
     scan.add_argument("--staged", action="store_true")
     scan.add_argument("--quiet", action="store_true")
+    ci = commands.add_parser("ci", help="scan as a step of a workflow, in a child process that is supervised")
+    ci.add_argument("-p", "--path", default=".")
+    ci.add_argument("-o", "--output", default="credsift-results.json")
+    ci.add_argument("--fail-on", default="medium")
+    ci.add_argument("--no-annotations", action="store_true")
     for name in ("install", "uninstall"):
         commands.add_parser(name).add_argument("-p", "--path", default=".")
     return top
@@ -91,6 +96,10 @@ def main(argv: list[str] | None = None, spark=None) -> int:
     try:
         if o.command == "scan":
             return run_scan(o, spark)
+        if o.command == "ci":
+            from .plans.ci import step
+
+            return step([sys.executable, "-m", "credsift", "scan", "-p", o.path, "--fail-on", o.fail_on, "-f", "json", "-o", o.output], o.output, annotate=not o.no_annotations)
         print(f"credsift: hook {hook.install(o.path) if o.command == 'install' else hook.uninstall(o.path)}")
         return 0
     except (ValueError, hook.HookError, RuntimeError) as e:

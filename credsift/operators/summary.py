@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import text as fn
@@ -65,11 +64,41 @@ def shared_counts(findings: DataFrame) -> DataFrame:
     return findings.groupBy("fingerprint").agg(F.count_distinct("file").alias("n")).where("n > 1")
 
 
+def first_of(findings: DataFrame, key: str) -> DataFrame:
+    """(key, file, line, column, ordinal) of the first finding with each value of key, in the order of files.
+
+    A partial aggregate, so a secret that stands everywhere sends on one row a partition.
+    """
+    place = F.struct(by_name(F.col("file")).alias("name"), "line", "column", fn.severity_rank(F.col("severity")).alias("rank"), "ordinal", F.col("file").alias("path"))
+    return findings.groupBy(key).agg(F.min(place).alias("p")).select(*[key] * (key != "file"), F.col("p.path").alias("file"), "p.line", "p.column", "p.ordinal")
+
+
+def firsts(findings: DataFrame) -> DataFrame:
+    """(fingerprint, file, line, column, ordinal) of each secret's first finding."""
+    return first_of(findings, "fingerprint")
+
+
+def listed(findings: DataFrame) -> DataFrame:
+    """Findings in the order of files, with `others` and with `head`, whether a finding is its file's first."""
+    heads = first_of(findings, "file").withColumn("head", F.lit(True))
+    rows = also_in(findings).join(heads, ["file", "line", "column", "ordinal"], "left").withColumn("head", F.coalesce("head", F.lit(False)))
+    return ordered_by_file(rows.select(*findings.columns, "others", "head"))
+
+
+def other_files(findings: DataFrame) -> DataFrame:
+    """(fingerprint, file, other): a row for each other file that the secret of a first finding in `file` stands in."""
+    pairs = findings.select("fingerprint", F.col("file").alias("other")).distinct()
+    return pairs.join(firsts(findings).select("fingerprint", "file"), "fingerprint").where("other != file").select("fingerprint", "file", "other")
+
+
 def also_in(findings: DataFrame) -> DataFrame:
-    """Findings with `others`, the other files of the same secret, on the first finding of each secret and null elsewhere."""
-    first = F.row_number().over(W.partitionBy("fingerprint").orderBy(by_name(F.col("file")), *location())) == 1
-    files = secret_files(findings).where("n > 1").select("fingerprint", "files")
-    return findings.withColumn("_first", first).join(files, "fingerprint", "left").withColumn("others", F.when(F.col("_first") & F.col("files").isNotNull(), F.array_remove("files", F.col("file")))).drop("_first", "files")
+    """Findings with `others`, the other files of the same secret, on the first finding of each secret and null elsewhere.
+
+    What is joined to the findings is joined by their places, of which no one is hot; other_files() has rows where arrays get too long.
+    """
+    others = secret_files(findings).where("n > 1").select("fingerprint", "files")
+    shared = firsts(findings).join(others, "fingerprint").select("fingerprint", "file", "line", "column", "ordinal", F.array_remove("files", F.col("file")).alias("others"))
+    return findings.join(shared, ["fingerprint", "file", "line", "column", "ordinal"], "left").select(*findings.columns, "others")
 
 
 def by_file(findings: DataFrame) -> DataFrame:

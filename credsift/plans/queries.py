@@ -17,6 +17,7 @@ from ..operators.registry import BUILTIN, Pattern
 from ..sources import files as sources
 from . import evaluate
 from . import oracle as o
+from .store import stored
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -348,7 +349,7 @@ def findings_ordered(spark, sf_dir):
 def _placed(rows: DataFrame, name: str) -> DataFrame:
     """Numbers rows in their order without one task for all: ids from the sorted partitions, less the rows before each."""
     numbered = rows.withColumn("_m", F.monotonically_increasing_id()).withColumn("_p", F.shiftright("_m", 33)).withColumn("_i", F.col("_m") - F.shiftleft("_p", 33))
-    numbered = numbered.persist()
+    numbered, _ = stored(numbered, "placed")
     sizes = {r["_p"]: r["count"] for r in numbered.groupBy("_p").count().collect()}  # one number a partition
     before, total = {}, 0
     for p in sorted(sizes):
@@ -364,10 +365,13 @@ def top_findings(spark, sf_dir):
 
 @query(_GROUPED_FINDINGS + 'select fingerprint, file, line, "column" from fin qualify row_number() over (partition by fingerprint order by file, line, "column", rank, ordinal) = 1')
 def first_per_fingerprint(spark, sf_dir):
-    from pyspark.sql import Window as W
+    return summary.firsts(_grouped(spark, sf_dir)).drop("ordinal")
 
-    first = F.row_number().over(W.partitionBy("fingerprint").orderBy(summary.by_name(F.col("file")), *summary.location()))
-    return _grouped(spark, sf_dir).withColumn("n", first).where("n = 1").select("fingerprint", "file", "line", "column")
+
+@query(_GROUPED_FINDINGS + ", f as (select fingerprint, file from fin qualify row_number() over (partition by fingerprint order by file, line, \"column\", rank, ordinal) = 1) select f.fingerprint, f.file, t.other from f join (select distinct fingerprint, file as other from fin) t on t.fingerprint = f.fingerprint and t.other != f.file")
+def other_files(spark, sf_dir):
+    """Each secret's other files as rows."""
+    return summary.other_files(_grouped(spark, sf_dir))
 
 
 @query(_GROUPED_FINDINGS + ", n as (select fingerprint, list_sort(list(distinct file)) files from fin group by fingerprint having count(distinct file) > 1), r as (select *, row_number() over (partition by fingerprint order by file, line, \"column\", rank, ordinal) k from fin) select r.file, r.line, r.\"column\", r.\"patternId\", case when r.k = 1 then array_to_string(list_filter(files, lambda f: f <> r.file), ', ') end as others from r left join n using (fingerprint)")

@@ -1,14 +1,18 @@
-"""Reports of a scan: JSON, terminal, workflow commands, exit code. Only masked values are ever written."""
+"""Reports of a scan: JSON, terminal, workflow commands, exit code. Only masked values are ever written.
+
+Tasks write the text, in pieces of bounded size; what the driver does is to put the pieces one after another.
+"""
 
 from __future__ import annotations
 
 import json
 import os
 import sys
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from pathlib import Path
 from typing import TextIO
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -35,8 +39,31 @@ def finding_json(findings: DataFrame) -> DataFrame:
     return summary.ordered(findings).select(F.to_json(F.struct(*FINDING)).alias("json"))
 
 
+#: Characters of a piece of text that a task sends, about.
+PIECE = 1 << 20
+
+
+def pieces(rows: DataFrame, render: Callable[[dict], str]) -> Iterator[str]:
+    """What render says of the rows, in their order, joined by tasks."""
+
+    def said(batches):
+        held, size = [], 0
+        for b in batches:
+            for row in b.to_pylist():
+                held.append(render(row))
+                size += len(held[-1])
+                if size >= PIECE:
+                    yield pa.RecordBatch.from_pydict({"text": ["".join(held)]})
+                    held, size = [], 0
+        if held:
+            yield pa.RecordBatch.from_pydict({"text": ["".join(held)]})
+
+    for row in rows.mapInArrow(said, "text string").toLocalIterator(prefetchPartitions=True):
+        yield row["text"]
+
+
 def json_report(result: ScanResult, out: TextIO | str | Path | None = None, pretty: bool | None = None) -> None:
-    """Two-space JSON to a stream, compact JSON to a file. Findings and skipped files are streamed to the writer, never held together."""
+    """Two-space JSON to a stream, compact JSON to a file. Findings and skipped files pass the writer in pieces, never held together."""
     to_file = isinstance(out, (str, Path))
     pretty = not to_file if pretty is None else pretty
     stream = open(out, "w", encoding="utf-8") if to_file else out or sys.stdout  # noqa: SIM115
@@ -47,13 +74,18 @@ def json_report(result: ScanResult, out: TextIO | str | Path | None = None, pret
     try:
         style = {"indent": 2} if pretty else {"separators": (",", ":")}
         stream.write(json.dumps(head, ensure_ascii=False, **style).removesuffix("}").rstrip("\n"))
+
+        def body(row: dict) -> str:
+            text = json.dumps(json.loads(row["json"]), ensure_ascii=False, **style)
+            return ",\n    " + text.replace("\n", "\n    ") if pretty else "," + text
+
         for name, rows in lists.items():
             stream.write(f',\n  "{name}": [' if pretty else f',"{name}":[')
-            k = -1
-            for k, r in enumerate(rows.toLocalIterator()):
-                body = json.dumps(json.loads(r["json"]), ensure_ascii=False, **style)
-                stream.write("," * (k > 0) + ("\n    " + body.replace("\n", "\n    ") if pretty else body))
-            stream.write("\n  ]" if pretty and k >= 0 else "]")
+            any_yet = False
+            for text in pieces(rows, body):
+                stream.write(text if any_yet else text[1:])
+                any_yet = True
+            stream.write("\n  ]" if pretty and any_yet else "]")
         stream.write("\n}\n" if pretty else "}\n")
     finally:
         if to_file:
@@ -66,7 +98,8 @@ class Ansi:
     def __init__(self, color: bool | None, stream: TextIO):
         if color is None:
             color = False if os.environ.get("NO_COLOR") else True if os.environ.get("FORCE_COLOR") == "1" else bool(getattr(stream, "isatty", lambda: False)())
-        code = lambda n: lambda s: f"\x1b[{n}m{s}\x1b[0m" if color else s
+        on = bool(color)  # the stream itself must not go to tasks
+        code = lambda n: lambda s: f"\x1b[{n}m{s}\x1b[0m" if on else s
         self.bold, self.dim, self.red, self.yellow, self.blue, self.gray = (code(n) for n in (1, 2, 31, 33, 34, 90))
 
     def severity(self, s: str) -> Callable[[str], str]:
@@ -77,6 +110,32 @@ def plural(n: int, word: str) -> str:
     return f"{n} {word}{'' if n == 1 else 's'}"
 
 
+def finding_text(c: Ansi, width: int, verbose: bool) -> Callable[[dict], str]:
+    """Writes a row of summary.listed(), with its file's name above if it is the file's first."""
+
+    def say(f: dict) -> str:
+        provider = f["provider"] if len(f["provider"]) <= width else f["provider"][: width - 1] + "…"
+        text = f"\n  {c.bold(f['file'])}\n" if f["head"] else ""
+        text += f"    {c.gray(f'{f["line"]:>4}:{f["column"]:>3}')}  {c.severity(f['severity'])(f['severity'].ljust(8))}  {c.dim(provider.ljust(width))}  {f['masked']}\n"
+        if f["others"]:
+            text += f"        {c.gray('⤷ the same in: ' + ', '.join(f['others']))}\n"
+        return text + "".join(f"        {c.gray(line)}\n" for line in (f["context"] or []) if verbose)
+
+    return say
+
+
+def _top(findings: DataFrame, most: int) -> Iterator[dict]:
+    """The first rows of summary.listed(), without listing the others."""
+    shown = [r.asDict() for r in summary.top(findings, most).collect()]
+    few = findings.join(F.broadcast(findings.sparkSession.createDataFrame([(p,) for p in {f["fingerprint"] for f in shown}], "fingerprint string")), "fingerprint", "left_semi")  # at most `most` rows
+    names, file, told = {r["fingerprint"]: r["files"] for r in summary.secret_files(few).where("n > 1").toLocalIterator()}, None, set()
+    for f in shown:
+        others = [x for x in names.get(f["fingerprint"], ()) if x != f["file"]] if f["fingerprint"] not in told else None
+        yield f | {"head": f["file"] != file, "others": others}
+        file = f["file"]
+        told.add(f["fingerprint"])
+
+
 def terminal_report(result: ScanResult, stream: TextIO | None = None, max_findings: int = 50, color: bool | None = None, verbose: bool = False) -> None:
     """Findings by file, A to Z, up to a limit (0 is none); at most that many rows come to the driver."""
     out = stream or sys.stdout
@@ -93,29 +152,17 @@ def terminal_report(result: ScanResult, stream: TextIO | None = None, max_findin
         return
     out.write(f"\n  {c.bold('✖ ' + plural(n, 'secret') + ' found')} {c.gray('in ' + plural(t['files_with_findings'], 'file'))}\n")
     width = summary.provider_width(result.findings).first()["width"]
-    shown = summary.ordered_by_file(result.findings)
-    printed: set[str] = set()
-    others = summary.secret_files(result.findings).where("n > 1")
+    say = finding_text(c, width, verbose)
     if max_findings:
-        shown = summary.top(result.findings, max_findings + 1)
-        others = others.join(F.broadcast(shown.select("fingerprint").distinct()), "fingerprint", "left_semi")  # at most max_findings + 1 rows
-    names = {r["fingerprint"]: r["files"] for r in others.toLocalIterator()}
-    count, file = 0, None
-    for f in shown.toLocalIterator():
-        if f["file"] != file:
-            file = f["file"]
-            out.write(f"\n  {c.bold(file)}\n")
-        if max_findings and count >= max_findings:
-            out.write(f"\n  {c.gray(f'… {plural(n - count, 'more finding')} (--max-findings=0 shows all)')}\n")
-            break
-        provider = f["provider"] if len(f["provider"]) <= width else f["provider"][: width - 1] + "…"
-        out.write(f"    {c.gray(f'{f["line"]:>4}:{f["column"]:>3}')}  {c.severity(f['severity'])(f['severity'].ljust(8))}  {c.dim(provider.ljust(width))}  {f['masked']}\n")
-        if f["fingerprint"] in names and f["fingerprint"] not in printed:
-            printed.add(f["fingerprint"])
-            out.write(f"        {c.gray('⤷ the same in: ' + ', '.join(x for x in names[f['fingerprint']] if x != file))}\n")
-        for line in (f["context"] or []) if verbose else []:
-            out.write(f"        {c.gray(line)}\n")
-        count += 1
+        for k, f in enumerate(_top(result.findings, max_findings + 1)):
+            if k < max_findings:
+                out.write(say(f))
+                continue
+            above = f"\n  {c.bold(f['file'])}\n" if f["head"] else ""
+            out.write(f"{above}\n  {c.gray(f'… {plural(n - max_findings, 'more finding')} (--max-findings=0 shows all)')}\n")
+    else:
+        for text in pieces(summary.listed(result.findings), say):
+            out.write(text)
     out.write(f"\n  {c.gray('─' * 52)}\n")
     out.write(f"  {c.gray(f'{plural(n, 'finding')} · {t["unique_secrets"]} unique · {files} files · {ms}ms')}\n\n")
     warn()
@@ -132,10 +179,14 @@ def workflow_report(result: ScanResult, stream: TextIO | None = None, outputs: s
     """Workflow commands for findings and skipped files, step outputs, and one line of summary."""
     out, row = stream or sys.stdout, summary_row(result)
     if annotate:
-        for r in summary.annotations(summary.ordered(result.findings)).toLocalIterator():
-            out.write(r["command"] + "\n")
-        for r in summary.skip_annotations(result.skipped).toLocalIterator():
-            out.write(r["command"] + "\n")
+        for rows in (summary.annotations(summary.ordered(result.findings)), summary.skip_annotations(result.skipped)):
+            for text in pieces(rows.select("command"), lambda r: r["command"] + "\n"):
+                out.write(text)
+    say_summary(row, out, outputs)
+
+
+def say_summary(row: dict, out: TextIO, outputs: str | Path | None = None) -> None:
+    """Step outputs, to the file that is named or that the workflow names, and one line."""
     target = outputs or os.environ.get("GITHUB_OUTPUT")
     if target:
         with open(target, "a", encoding="utf-8") as f:
