@@ -135,3 +135,13 @@ def annotations(findings: DataFrame) -> DataFrame:
 
 def skip_annotations(skipped: DataFrame) -> DataFrame:
     return skipped.select("path", F.concat(F.lit("::warning::"), fn.escaped(F.concat(F.lit("Could not scan "), F.col("path"), F.lit(": "), F.col("reason")))).alias("command"))
+
+
+def step_outputs(outcomes: DataFrame) -> DataFrame:
+    """(name, value) of what a workflow step hands on, from verify.outcomes()."""
+    rows = outcomes.select("reason", F.posexplode_outer(F.transform("found", lambda f: f["fingerprint"])).alias("nth", "fingerprint"))
+    file = F.coalesce("nth", F.lit(0)) == 0
+    skipped = F.count_if(file & F.col("reason").isNotNull())
+    value = {"findings": F.count("fingerprint"), "unique-secrets": F.count_distinct("fingerprint"), "files-scanned": F.count_if(file) - skipped, "files-skipped": skipped}
+    counts = rows.agg(*[v.cast("long").alias(k) for k, v in value.items()])
+    return counts.select(F.inline(F.array(*[F.struct(F.lit(k).alias("name"), F.col(f"`{k}`").alias("value")) for k in value])))

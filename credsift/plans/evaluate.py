@@ -25,6 +25,14 @@ def read_manifest(spark: SparkSession, folder: str | Path) -> DataFrame:
     return spark.createDataFrame(rows, MANIFEST)
 
 
+def manifest_rows(texts: DataFrame, text: str) -> DataFrame:
+    """(fixture, kind, expected) of many manifests, each a text of JSON: what expects a pattern is a secret, what names a rule is clean."""
+    spec = "struct<fixtures:map<string,struct<expectsPatternId:string,rejectedBy:string>>>"
+    rows = texts.select(F.explode(F.from_json(text, spec)["fixtures"]).alias("fixture", "s"))
+    secret = F.col("s.expectsPatternId").isNotNull()
+    return rows.select("fixture", F.when(secret, "secret").otherwise("clean").alias("kind"), F.when(secret, F.col("s.expectsPatternId")).otherwise(F.col("s.rejectedBy")).alias("expected"))
+
+
 def outcomes(judged: DataFrame) -> DataFrame:
     """(file, failure, candidates, findings, pattern of the first finding, rule that rejected).
 

@@ -205,6 +205,29 @@ _over_values("escape_data", lambda v: fn.escaped(F.concat(v, F.lit("%\r\n100%"))
 _over_values("trim_whitespace", lambda v: fn.trimmed(F.concat(F.lit("\t \r"), v, F.lit(" \n\f"))), "trim(chr(9) || ' ' || chr(13) || v || ' ' || chr(10) || chr(12), ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))")
 
 
+_OWN_OPTIONS = fn.EntropyOptions(min_length=12, max_run=3, min_distinct=5, min_classes=2, relaxed_length=24, min_entropy=2.0, min_ratio=0.7)
+_over_values(
+    "entropy_options", lambda v: fn.entropy_gate(v, _OWN_OPTIONS),
+    f"(length(v) >= 12 and not {o.long_run('v', 3)} and {o.distinct('v')} >= 5 and {o.classes('v')} >= 2 and {o.entropy('v')} >= 2.0 and {o.entropy('v')} / log2({o.distinct('v')}) >= 0.7)",
+)
+_LEVEL = "case id % 8 when 0 then 'critical' when 1 then 'high' when 2 then 'medium' when 3 then 'low' when 4 then 'HIGH' when 5 then '' when 6 then v end"
+
+
+@query(f"with t as (select id, {_LEVEL} as level from ({VALUES})) select id, coalesce(level in ('critical', 'high', 'medium', 'low'), false) as is_severity, coalesce(level in ('high', 'medium', 'low'), false) as is_confidence, {o.rank('level')}::int as rank from t")
+def severity_levels(spark, sf_dir):
+    level = F.expr(_LEVEL)
+    return _values(spark, sf_dir).select("id", fn.is_severity(level).alias("is_severity"), fn.is_confidence(level).alias("is_confidence"), fn.severity_rank(level).alias("rank"))
+
+
+_NAMES = "select distinct case c_custkey % 2 when 0 then substr(md5(c_name), 1, 3) else upper(substr(md5(c_name), 1, 3)) end as file from customer"
+
+
+@query(f"with t as ({_NAMES}) select file, row_number() over (order by lower(file), case when file = lower(file) then 0 else 1 end)::int as place from t")
+def files_by_name(spark, sf_dir):
+    """Names as people sort them: letters before their capitals, both before the next letter."""
+    return _placed(derived(spark, sf_dir, _NAMES).orderBy(summary.by_name(F.col("file"))), "place")
+
+
 @query(f"with t as ({CORPUS}) select path, regexp_extract(lower(path), '[^/.][^/]*([.][^./]*)$', 1) as extension, regexp_extract(lower(path), '[^/.][^/]*([.][^./]*)$', 1) in ('.js', '.jsx', '.mjs', '.cjs', '.ts', '.tsx', '.mts', '.cts') as supported from t")
 def supported_files(spark, sf_dir):
     suffix = fn.extension(F.col("path"))
@@ -459,6 +482,13 @@ def scan_summary(spark, sf_dir):
     return verify.outcomes(_partly(spark, sf_dir), parser=_stumbling).agg(F.count_if(F.col("reason").isNull()).alias("files_scanned"), F.count("reason").alias("files_skipped"), F.sum(n).cast("long").alias("findings"), F.count_if(n > 0).alias("files_with_findings"))
 
 
+@query(CORPUS_FINDINGS + "select k as name, case k when 'findings' then count(fin.file) when 'unique-secrets' then count(distinct fingerprint) when 'files-scanned' then (select count(*) from customer) else 0 end::bigint as value from (values ('findings'), ('unique-secrets'), ('files-scanned'), ('files-skipped')) v(k) left join fin on true group by k")
+def ci_step_outputs(spark, sf_dir):
+    """What a workflow step hands on, from the outcomes of one pass."""
+    said = verify.outcomes(corpus(spark, sf_dir).withColumn("read_error", F.lit(None).cast("string")))
+    return summary.step_outputs(said)
+
+
 _DEEP = Pattern("deep", "Repeated choice", "custom", "mark:((?:[0-9a-f]|[g-z])+);", "", "low", "low", False)
 _LONG = f"select 'long/' || cast(c_custkey as varchar(20)) as path, 'mark:' || repeat(md5(c_name), cast(100 + c_custkey % 1500 as int)) || ';' as text, c_custkey from customer"
 
@@ -538,6 +568,16 @@ _SPEC = f"""select path, text, c_custkey, case when c_custkey % 20 in (0, 1, 2,
     from ({CORPUS}) where c_custkey % 20 in (0, 1, 2, 3, 4, 5, 6, 7, 8, 10, 12, 14, 15, 16)"""
 
 
+@query(f"""with t as (select c_mktsegment as folder, c_custkey, md5(c_name) as h from customer)
+select folder || '/' || c_custkey as fixture, case when c_custkey % 3 = 0 then 'clean' else 'secret' end as kind, case when c_custkey % 3 = 0 then 'rule-' || (c_custkey % 5) else 'pattern-' || substr(h, 1, 2) end as expected from t""")
+def manifest_fixtures(spark, sf_dir):
+    """Manifests as texts of JSON, one a segment, to rows of fixtures."""
+    spec = F.expr("case when c_custkey % 3 = 0 then named_struct('expectsPatternId', null, 'rejectedBy', concat('rule-', cast(c_custkey % 5 as string))) else named_struct('expectsPatternId', concat('pattern-', substr(md5(c_name), 1, 2)), 'rejectedBy', null) end")
+    named = read(spark, sf_dir, "customer").select(F.col("c_mktsegment").alias("folder"), F.concat_ws("/", "c_mktsegment", F.col("c_custkey").cast("string")).alias("fixture"), spec.alias("spec"))
+    texts = named.groupBy("folder").agg(F.to_json(F.struct(F.map_from_entries(F.collect_list(F.struct("fixture", "spec"))).alias("fixtures"))).alias("text"))
+    return evaluate.manifest_rows(texts, "text")
+
+
 def _evaluated(spark, sf_dir):
     rows = derived(spark, sf_dir, _SPEC)
     files = rows.select("path", F.col("text").alias("content"), F.lit(None).cast("string").alias("read_error"))
