@@ -19,7 +19,6 @@ import numpy as np
 import pandas as pd
 import xxhash
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -282,7 +281,7 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ra
     numbered = docs.select("*", F.struct(F.col(id_col).isNull().alias("n"), F.col(id_col).alias("i"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("h")).alias(row))
     classes = common.written(near_duplicates(numbered.select(F.col(row).alias("id"), F.col(text_col).alias("text")), "id", "text", radius, shingle), "classes")
     kept = classes.select(F.col("component").alias(row)).distinct()
-    nth = common.free_name(docs, "nth")
-    # sorted and dealt by the join already; only repeated rows have a second one
-    out = numbered.join(kept, row, "left_semi").withColumn(nth, F.row_number().over(W.partitionBy(row).orderBy(row)))
-    return out.where(F.col(nth) == 1).select(*docs.columns)
+    # repeated rows are told from counts of their keys; only where there are any do whole rows pass an aggregate, which drops them before it shuffles
+    if not classes.groupBy("id").count().where("count > 1").isEmpty():
+        numbered = numbered.dropDuplicates([row])
+    return numbered.join(kept, row, "left_semi").select(*docs.columns)

@@ -117,3 +117,47 @@ def test_keep_one_keeps_the_smallest_id_of_each_group(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     want = set(plain_components({r.doc_id: plain(r.text) for r in docs.collect()}).values())
     assert sorted(r.doc_id for r in simhash.keep_one(docs).collect()) == sorted(want)
+
+
+def test_a_row_that_is_repeated_very_often_is_kept_once(spark):
+    rows = spark.range(30_000).selectExpr("if(id % 3 = 0, 0, id) as doc_id", "if(id % 3 = 0, 'the same words here now and then and again', concat_ws(' ', id, id * 7, id * 13, id * 17, id * 19, md5(cast(id as string)), md5(cast(id * 3 as string)))) as text", "'x' as n")
+    kept = simhash.keep_one(rows)
+    ids = [r.doc_id for r in kept.collect()]
+    assert len(ids) == len(set(ids)) and 0 in ids
+    assert set(ids) == {r.component for r in simhash.near_duplicates(rows.select("doc_id", "text")).select("component").distinct().collect()}
+
+
+def test_a_bucket_of_thousands_of_prints_that_are_all_close(spark):
+    """Blocks of a large bucket are compared in pairs; no link is lost."""
+    rng = random.Random(3)
+    base = rng.getrandbits(64)
+    prints = {base ^ sum(1 << b for b in rng.sample(range(24), rng.randrange(0, 7))) for _ in range(3000)}
+    signed = [p - (1 << 64) if p >> 63 else p for p in prints]
+    found = simhash.links(spark.createDataFrame([(p,) for p in signed], "print long"), bucket_rows=256).collect()
+    root = {p: p for p in signed}
+
+    def top(x):
+        while root[x] != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
+    for r in found:
+        assert bin((r.a ^ r.b) & ((1 << 64) - 1)).count("1") <= 4
+        root[top(r.a)] = top(r.b)
+    due = {p: p for p in signed}
+
+    def due_top(x):
+        while due[x] != x:
+            due[x] = due[due[x]]
+            x = due[x]
+        return x
+
+    array = np.array([p % (1 << 64) for p in signed], np.uint64)
+    for k, p in enumerate(array):
+        for j in np.flatnonzero(np.bitwise_count(array[k + 1 :] ^ p) <= 4):
+            due[due_top(signed[k])] = due_top(signed[k + 1 + j])
+    assert len({top(p) for p in signed}) == len({due_top(p) for p in signed})
+    pairs = {}
+    for p in signed:
+        assert pairs.setdefault(due_top(p), top(p)) == top(p)
