@@ -213,10 +213,10 @@ _over_values(
 _LEVEL = "case id % 8 when 0 then 'critical' when 1 then 'high' when 2 then 'medium' when 3 then 'low' when 4 then 'HIGH' when 5 then '' when 6 then v end"
 
 
-@query(f"with t as (select id, {_LEVEL} as level from ({VALUES})) select id, coalesce(level in ('critical', 'high', 'medium', 'low'), false) as is_severity, coalesce(level in ('high', 'medium', 'low'), false) as is_confidence, {o.rank('level')}::int as rank from t")
+@query(f"with t as (select id, {_LEVEL} as level from ({VALUES})) select id, coalesce(level in ('critical', 'high', 'medium', 'low'), false) as is_severity, coalesce(level in ('high', 'medium', 'low'), false) as is_confidence, coalesce({o.rank('level')}, -1)::int as rank from t")
 def severity_levels(spark, sf_dir):
     level = F.expr(_LEVEL)
-    return _values(spark, sf_dir).select("id", fn.is_severity(level).alias("is_severity"), fn.is_confidence(level).alias("is_confidence"), fn.severity_rank(level).alias("rank"))
+    return _values(spark, sf_dir).select("id", fn.is_severity(level).alias("is_severity"), fn.is_confidence(level).alias("is_confidence"), F.coalesce(fn.severity_rank(level), F.lit(-1)).alias("rank"))
 
 
 _NAMES = "select distinct case c_custkey % 2 when 0 then substr(md5(c_name), 1, 3) else upper(substr(md5(c_name), 1, 3)) end as file from customer"

@@ -101,9 +101,12 @@ def near(root: str, wanted: Wanted, most: int = NEAR_FILES) -> tuple[list[tuple[
 
 def listed(spark: SparkSession, root: str | Path, ignore: Iterable[str] = (), include: Iterable[str] | None = None, dot: bool = False, most: int = NEAR_FILES) -> DataFrame:
     """(path, size) of the files below root. Of large trees the driver lists the beginning, the rest is listed by tasks, a level at a time."""
-    from ..plans.store import stored
+    wanted = list(ignore), list(include) if include else None, dot
+    return _listed(spark, str(root), wanted, *near(str(root), Wanted(*wanted), most))
+
 
-    top, wanted = str(root), (list(ignore), list(include) if include else None, dot)
+def _listed(spark: SparkSession, top: str, wanted: tuple, here: list[tuple[str, int]], folders: list[str]) -> DataFrame:
+    from ..plans.store import stored
 
     def look(batches):
         which = Wanted(*wanted)
@@ -113,7 +116,6 @@ def listed(spark: SparkSession, root: str | Path, ignore: Iterable[str] = (), in
                 while got := list(islice(rest, NEAR_FILES)):
                     yield pd.DataFrame(got, columns=["path", "size"]).astype({"size": "Int64"})
 
-    here, folders = near(top, Wanted(*wanted), most)
     found = spark.createDataFrame(here, "path string, size long")
     level = spark.createDataFrame([(f,) for f in folders], "path string")
     n = len(folders)
@@ -149,6 +151,18 @@ def balanced(rows: DataFrame, task_bytes: int = TASK_BYTES) -> DataFrame:
     return spread.withColumn("_task", (start + place).cast("int")).repartitionById(n, F.col("_task")).select(*rows.columns)
 
 
+def packed(here: list[tuple[str, int]], task_bytes: int = TASK_BYTES) -> list[tuple[str, int, int]]:
+    """(path, size, task) of a short list, dealt as balanced() deals."""
+    out, task, left = [], -1, 0
+    for path, size in sorted(here, key=lambda f: (f[1] <= task_bytes // 2, f[0])):
+        cost = size + FILE_BYTES
+        if cost > task_bytes // 2 or left < cost:
+            task, left = task + 1, task_bytes if cost <= task_bytes // 2 else 0
+        left -= cost
+        out.append((path, size, task))
+    return out
+
+
 def paths_frame(spark: SparkSession, paths: list[str], files_a_task: int = 200) -> DataFrame:
     """A given list of paths as rows."""
     if not paths:
@@ -199,7 +213,13 @@ def disk(spark: SparkSession, root: str | Path, ignore: Iterable[str] = (), incl
     def reader(path: str) -> bytes:
         return Path(top, path).read_bytes()
 
-    return read_all(balanced(listed(spark, root, ignore, include, dot)), reader)
+    wanted = list(ignore), list(include) if include else None, dot
+    here, folders = near(top, Wanted(*wanted))
+    if folders:
+        return read_all(balanced(_listed(spark, top, wanted, here, folders)), reader)
+    dealt = packed(here)
+    rows = spark.createDataFrame(dealt, "path string, size long, task int")
+    return read_all(rows.repartitionById(dealt[-1][2] + 1 if dealt else 1, F.col("task")), reader)
 
 
 def staged_blobs(root: str | Path, ignore: Iterable[str] = (), include: Iterable[str] | None = None, dot: bool = False) -> list[tuple[str, str]]:

@@ -53,6 +53,17 @@ def test_tasks_get_like_bytes_and_large_files_their_own(spark):
     assert files.balanced(rows.limit(0)).count() == 0
 
 
+def test_short_lists_are_dealt_alike():
+    here = [(f"f{k}", 50 << 20 if k % 1000 == 7 else 1 << 20 if k < 500 else 100) for k in range(4000)]
+    tasks = {}
+    for path, size, task in files.packed(here):
+        tasks.setdefault(task, []).append(size)
+    assert sum(map(len, tasks.values())) == 4000 and sorted(tasks) == list(range(len(tasks)))
+    assert [len(t) for t in tasks.values() if max(t) >= 50 << 20] == [1] * 4
+    assert all(sum(t) <= files.TASK_BYTES for t in tasks.values() if max(t) < 50 << 20)
+    assert files.packed([]) == []
+
+
 def test_the_data_source_gives_the_same_rows(spark, tree):
     spark.dataSource.register(FolderSource)
     for more in ({}, {"ignore": "a1/**,**/f2*", "include": "a*/**,*.bin"}, {"partitions": "3", "dot": "true"}):
