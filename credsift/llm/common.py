@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable
 
@@ -11,35 +10,20 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..plans.store import remove, shared_dir
+
 #: Rows and bytes of one Arrow batch. Texts can be long, so a batch of Spark's 10,000 rows could be gigabytes.
 BATCH_ROWS, BATCH_BYTES = 1000, 16 << 20
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and every executor see: spark.checkpoint.dir of the session.
-
-    Only on one machine (tests) is a folder made and set where none is named; a cluster must name one.
-    """
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not named:
-        master = spark.sparkContext.master
-        if master != "local" and not master.startswith("local["):
-            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        named = "file://" + tempfile.mkdtemp(prefix="credsift-")
-        spark.sparkContext.setCheckpointDir(named)
-        spark.conf.set("spark.checkpoint.dir", named)
-    return named.rstrip("/")
-
-
 _written: list[str] = []
 
 
 def discard(spark: SparkSession) -> int:
     """Removes the intermediate tables of this process, once results that read them are stored; how many there were."""
-    paths, jvm = [_written.pop() for _ in range(len(_written))], spark.sparkContext._jvm
+    paths = [_written.pop() for _ in range(len(_written))]
     for path in paths:
-        at = jvm.org.apache.hadoop.fs.Path(path)
-        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+        remove(spark, path)
     return len(paths)
 
 
