@@ -361,3 +361,45 @@ def damaged(rows: DataFrame) -> DataFrame:
     text = F.when(fate == 1, "").when(fate == 2, F.regexp_replace("text", "[.!?]", "")).otherwise(F.col("text"))
     out = marked.select("conv_id", "turn", F.when(fate == 4, "user").otherwise(F.col("role")).alias("role"), text.alias("text"), (fate == 0).alias("absent"), F.explode(F.when(fate == 3, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))).alias("copy"))
     return out.drop("copy")
+
+
+def _sql() -> str:
+    """DuckDB SQL for damaged(), repair() and digests() of `conversations`, by a table over places and states in place of a search.
+
+    A state's best way is a text: its cost in six digits, then its audit. A fold over a conversation's rows takes the four of them on.
+    """
+    more = lambda key, cost, edit: f"lpad((left({key}, 6)::int + {cost})::varchar, 6, '0') || substr({key}, 7) || '{edit}'"
+    k = [f"a[{n + 1}]" for n in range(4)]
+    inserted = [k[0], k[1], f"least({k[2]}, {', '.join(more(k[n], INSERT, 'I') for n in (0, 1, 3))})", f"least({k[3]}, {more(k[2], INSERT, 'I')})"]
+    stays = lambda n, initial: f"case when r[2] in ('', 'truncated') then case when r[1] = '{initial}' then {more(k[n], f'(case r[2] when {chr(39)}truncated{chr(39)} then {TRUNCATED} else 0 end)', 'K')} else {more(k[n], f'(case r[2] when {chr(39)}truncated{chr(39)} then {TRUNCATED} else 0 end + {REROLE})', 'R')} end end"
+    system = f"case when r[1] = 's' and r[2] in ('', 'truncated') then {more(k[0], f'(case r[2] when {chr(39)}truncated{chr(39)} then {TRUNCATED} else 0 end)', 'K')} end"
+    read = [more(k[0], DELETE, "D"), f"least({more(k[1], DELETE, 'D')}, {system})", f"least({more(k[2], DELETE, 'D')}, {', '.join(stays(n, 'u') for n in (0, 1, 3))})", f"least({more(k[3], DELETE, 'D')}, {stays(2, 'a')})"]
+    insert = f"list_transform([a], lambda a: [{', '.join(inserted)}])[1]"
+    step = f"list_transform([{insert}], lambda a: [{', '.join(read)}])[1]"
+    return f"""
+with keyed as (select conv_id, turn, coalesce(role, ' ') as role, coalesce(text, ' ') as text, coalesce(conv_id::varchar, ' ') || ':' || coalesce(turn::varchar, ' ') as k from conversations),
+fated as (select *, xor(list_reduce(flatten(list_transform(range(1, length(k) + 1), lambda i: list_transform(range(8), lambda j: (ascii(substr(k, i::int, 1)) >> j::int)::bigint & 1))),
+    lambda c, b: xor(c >> 1, 3988292384 * xor(c & 1, b)), 4294967295::bigint), 4294967295) % 20 as fate from keyed),
+damaged as (select conv_id, turn, case fate when 4 then 'user' else role end as role, case fate when 1 then '' when 2 then regexp_replace(text, '[.!?]', '', 'g') else text end as text, unnest(case fate when 3 then [0, 1] else [0] end) as copy from fated where fate <> 0),
+ordered as (select *, row_number() over (partition by conv_id order by turn nulls first, role, text, copy) as i,
+    case when not regexp_matches(text, '[^\\x20\\x09-\\x0D]') then 'blank' when row_number() over (partition by conv_id, role, text order by turn nulls first, copy) > 1 then 'duplicate'
+    when not regexp_matches(text, '[.!?][\\x20\\x09-\\x0D]*\\z') then 'truncated' else '' end as fault from damaged),
+paired as (select *, lag(left(role, 1)) over (partition by conv_id order by i) as before from ordered),
+counted as (select conv_id, coalesce(max(turn) - min(turn) + 1 - count(distinct turn), 0)::bigint as gaps, count(*) filter (fault = 'blank')::bigint as blank, count(*) filter (fault = 'duplicate')::bigint as duplicate,
+    count(*) filter (fault = 'truncated')::bigint as truncated, count(*) filter (before || left(role, 1) not in ('su', 'ua', 'au'))::bigint as illegal, list([left(role, 1), fault] order by i) as rows from paired group by conv_id),
+ways as (select * exclude (rows), list_reduce(rows, lambda a, r: {step}, ['000000', null, null, null]) as a from counted),
+best as (select * exclude (a), list_transform([{insert}], lambda b: least(b[1], b[4]))[1] as way from ways),
+audits as (select conv_id, gaps, blank, duplicate, truncated, illegal, left(way, 6)::bigint as cost, substr(way, 7) as audit from best),
+edits as (select conv_id, unnest(string_split(audit, '')) as e, generate_subscripts(string_split(audit, ''), 1) as j from audits where audit <> ''),
+placed as (select *, sum((e <> 'I')::int) over (partition by conv_id order by j) as i, sum((e <> 'D')::int) over (partition by conv_id order by j) as n from edits),
+turned as (select p.conv_id, j, e, n, o.role, o.text, first_value(e = 'K' and left(o.role, 1) = 's') over (partition by p.conv_id, e <> 'D' order by j) as led
+    from placed p left join ordered o on o.conv_id is not distinct from p.conv_id and o.i = p.i and e <> 'I' where e <> 'D'),
+repaired as (select conv_id, string_agg(case when e = 'K' then role when (n - led::int) % 2 = 1 then 'user' else 'assistant' end || ':' || case when e = 'I' then '' else text end, chr(10) order by j) as said from turned group by conv_id),
+names as (select distinct conv_id from conversations)
+select n.conv_id, coalesce(gaps, 0) as gaps, coalesce(blank, 0) as blank, coalesce(duplicate, 0) as duplicate, coalesce(truncated, 0) as truncated, coalesce(illegal, 0) as illegal, coalesce(cost, 0) as cost, coalesce(audit, '') as audit,
+    sha256(coalesce(said, '')) as repaired_sha256
+from names n left join audits a on a.conv_id is not distinct from n.conv_id left join repaired r on r.conv_id is not distinct from n.conv_id
+"""
+
+
+SQL = _sql()

@@ -99,4 +99,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_secret_scan": secret_scan.SQL, "op8_decontaminate": decontaminate.SQL, "op12_warc": warc.SQL, "op13_hard_negatives": hard_negatives.SQL}
+    return {"op2_secret_scan": secret_scan.SQL, "op8_decontaminate": decontaminate.SQL, "op11_conversation_repair": conversation_repair.SQL, "op12_warc": warc.SQL, "op13_hard_negatives": hard_negatives.SQL}

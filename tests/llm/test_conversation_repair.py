@@ -6,6 +6,7 @@ import random
 import re
 import zlib
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
@@ -159,3 +160,11 @@ def test_a_very_long_text_and_clashing_columns(spark):
     rows = spark.createDataFrame([(1, 1, "user", text, 0, 1), (1, 2, "assistant", text, 0, 2)], "conv_id long, turn long, role string, text string, conv long, fault long")
     [found] = cr.repair(rows).collect()
     assert found["report"]["audit"] == "KK" and [t["text"] for t in found["turns"]] == [text, text]
+
+
+def test_the_query_agrees_with_its_sql(spark, sf):
+    con = duckdb.connect()
+    con.execute(f"create view conversations as select * from '{sf}/conversations.parquet'")
+    found = queries.op11_conversation_repair(spark, sf)
+    names = ("conv_id", *COLUMNS)
+    assert sorted(tuple(r[c] for c in names) for r in found.collect()) == sorted(con.execute(f"select {', '.join(names)} from ({cr.SQL})").fetchall())

@@ -6,6 +6,7 @@ import hashlib
 import random
 from pathlib import Path
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
@@ -133,3 +134,11 @@ def test_the_query(spark, sf):
     rows = [tuple(r) for r in spark.read.parquet(f"{sf}/pages.parquet").select("page_id", "url", "html").collect()]
     found = queries.op12_warc(spark, sf).collect()
     assert sorted((r["page_id"], r["record_type"], r["refers_to"], r["payload_bytes"], r["payload_digest"]) for r in found) == plain(rows)
+
+
+def test_the_query_agrees_with_its_sql(spark, sf):
+    con = duckdb.connect()
+    con.execute(f"create view pages as select * from '{sf}/pages.parquet'")
+    names = ("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    found = queries.op12_warc(spark, sf).collect()
+    assert sorted(tuple(r[c] for c in names) for r in found) == sorted(con.execute(f"select {', '.join(names)} from ({warc.SQL})").fetchall())
