@@ -35,20 +35,6 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
-#: Values that one partial sum of running() covers.
-_BLOCK = 64
-
-
-def running(values: Column, size: Column, body: Callable[[Column, Column], Column]) -> Column:
-    """Array of body(i, values[0] + .. + values[i]); sums over blocks keep it from being quadratic."""
-    add = lambda a: F.aggregate(a, F.lit(0), lambda x, y: x + y)
-    blocks = lambda v: F.transform(F.sequence(F.lit(0), F.floor((size - 1) / _BLOCK).cast("int")), lambda b: add(F.slice(v, b * _BLOCK + 1, F.lit(_BLOCK))))
-    before = lambda s: F.transform(s, lambda _, b: add(F.slice(s, F.lit(1), b)))
-    own = lambda v, i, block: add(F.slice(v, block * _BLOCK + 1, i % _BLOCK + 1))
-    block_of = lambda i: F.floor(i / _BLOCK).cast("int")
-    return let(values, lambda v: let(blocks(v), lambda s: let(before(s), lambda o: F.transform(v, lambda _, i: body(i, F.get(o, block_of(i)) + own(v, i, block_of(i)))))))
-
-
 def units(s: Column) -> Column:
     """Length in UTF-16 units, as scripts count: characters beyond the basic plane count twice."""
     return F.length(s) + F.length(F.regexp_replace(s, "[^\\x{10000}-\\x{10FFFF}]", ""))
