@@ -29,6 +29,8 @@ from . import common
 from .ann import matrix
 
 PIVOTS = 32
+#: Pivots that are tried at a time, and the share of rows at which trying more is given up.
+GROUP, ENOUGH = 8, 0.9
 #: Rows that pivots are chosen from; rows of a block, at least and at most (between them, blocks follow the size of the table).
 SAMPLE_ROWS, LEAST_BLOCK_ROWS, BLOCK_ROWS, BLOCKS = 2048, 512, 1 << 15, 64
 SCALE = 256
@@ -80,7 +82,7 @@ class Pivots:
 
 
 class Block:
-    """Rows of a block with their distances to the pivots, sorted by label."""
+    """Rows of a block, sorted by label, with their distances to the pivots, a row for each pivot."""
 
     def __init__(self, part: pa.Table, exact: bool):
         labels = np.array(part["label"].to_pylist(), object)
@@ -89,19 +91,45 @@ class Block:
         v = matrix(part["v"])[order]
         self.v = v.astype(float) if exact else v.astype(object)
         self.exact = exact
-        self.d = matrix(part["d"])[order]
+        self.d = np.ascontiguousarray(matrix(part["d"])[order].T)
         labels = labels[order]
         begins = np.flatnonzero(np.r_[True, labels[1:] != labels[:-1]]) if len(labels) else np.zeros(0, int)
         self.of_label = {labels[b]: (b, e) for b, e in zip(begins, np.r_[begins[1:], len(labels)], strict=True)}
 
-    def candidates(self, label: str, same: bool) -> np.ndarray:
+    def slices(self, label: str, same: bool) -> list[tuple[int, int]]:
+        """Where the rows of the label stand, or the others."""
         begin, end = self.of_label.get(label, (0, 0))
-        return np.arange(begin, end) if same else np.r_[0:begin, end : len(self.ids)]
+        every = [(begin, end)] if same else [(0, begin), (end, len(self.ids))]
+        return [(b, e) for b, e in every if e > b]
+
+    def survivors(self, begin: int, end: int, d: np.ndarray, far: float, least: float | None) -> np.ndarray:
+        """Places within a slice of the rows whose brackets meet (least, far), by some pivots at a time.
+
+        Once a group of pivots rules out next to nothing the others are left out: what stays is checked exactly anyway.
+        """
+        some = None
+        for p in range(0, len(d), GROUP):
+            near, q = self.d[p : p + GROUP, begin:end], d[p : p + GROUP, None]
+            near = near if some is None else near[:, some]
+            keep = np.abs(near - q).max(0) <= far
+            if least is not None:
+                keep &= (near + q).min(0) >= least
+            left = np.flatnonzero(keep)
+            rest, some = len(keep), left if some is None else some[left]
+            if len(left) > ENOUGH * rest or not len(some):
+                break
+        return some
 
-    def scores(self, some: np.ndarray, q: np.ndarray) -> np.ndarray:
+    def scores(self, begin: int, end: int, some: np.ndarray | None, q: np.ndarray) -> np.ndarray:
+        """Exact scores of places within a slice; None is all of them."""
+        rows = self.v[begin:end]
+        if some is not None and 2 * len(some) < end - begin:
+            rows, some = rows[some], None
         if self.exact:
-            return (self.v[some] @ q.astype(float)).astype(np.int64)
-        return np.array([max(LONGS[0], min(LONGS[1], s)) for s in (self.v[some] @ q.astype(object)).tolist()], np.int64)
+            found = (rows @ q.astype(float)).astype(np.int64)
+        else:
+            found = np.array([max(LONGS[0], min(LONGS[1], s)) for s in (rows @ q.astype(object)).tolist()], np.int64)
+        return found if some is None else found[some]
 
 
 def best_of(ids: np.ndarray, scores: np.ndarray, k: int) -> np.ndarray:
@@ -120,19 +148,19 @@ def asked_of(block: Block, pivots: Pivots, part: pa.RecordBatch, same: bool, k:
     lows, highs = part["lows"].to_pylist(), part["highs"].to_pylist()
     out = []
     for at, (n, own, label) in enumerate(zip(part["n"].to_pylist(), part["id"].to_pylist(), part["label"].to_pylist(), strict=True)):
-        some = block.candidates(label, same)
-        some = some[block.ids[some] != own]
-        low, high = min(lows[at]), max(highs[at])
-        if len(some) and (low > LONGS[0] or high < LONGS[1]):
-            near, far, off = block.d[some], pivots.radius(norms[at], low), pivots.slack(norms[at])
-            keep = np.abs(near - d[at]).max(1) <= far + 2 * off
-            if high < LONGS[1]:
-                least = np.sqrt(max(0.0, pivots.most + norms[at] - 2 * high - SLACK * 1e3 * (pivots.most + norms[at])))
-                keep &= (near + d[at]).min(1) >= least - 2 * off
-            some = some[keep]
-        if not len(some):
+        low, high, off = min(lows[at]), max(highs[at]), pivots.slack(norms[at])
+        far = pivots.radius(norms[at], low) + 2 * off if low > LONGS[0] else np.inf
+        least = np.sqrt(max(0.0, pivots.most + norms[at] - 2 * high - SLACK * 1e3 * (pivots.most + norms[at]))) - 2 * off if high < LONGS[1] else None
+        parts = []
+        for begin, end in block.slices(label, same):
+            some = block.survivors(begin, end, d[at], far, least) if far < np.inf or least is not None else None
+            if some is None or len(some):
+                ids, scores = block.ids[begin:end], block.scores(begin, end, some, q[at])
+                ids = ids if some is None else ids[some]
+                parts.append((ids[ids != own], scores[ids != own]) if (ids == own).any() else (ids, scores))
+        if not parts:
             continue
-        scores, ids = block.scores(some, q[at]), block.ids[some]
+        ids, scores = (np.concatenate(x) for x in zip(*parts, strict=True))
         for w, (lo, hi) in enumerate(zip(lows[at], highs[at], strict=True)):
             inside = np.flatnonzero((scores >= lo) & (scores <= hi))
             for b in inside[best_of(ids[inside], scores[inside], k)].tolist():

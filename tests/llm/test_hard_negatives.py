@@ -96,7 +96,7 @@ def test_brackets_rule_out_most_rows_of_clusters():
     asked, checked = pa.RecordBatch.from_pylist([{"n": 0, "id": 5, "label": "b", "v": v[5].tolist(), "lows": [int(np.sort(v @ v[5])[-6])], "highs": [hn.LONGS[1]]}]), []
     block = hn.Block(rows, True)
     whole = block.scores
-    block.scores = lambda some, q: checked.append(len(some)) or whole(some, q)
+    block.scores = lambda begin, end, some, q: checked.append(len(some)) or whole(begin, end, some, q)
     best = hn.asked_of(block, pivots, asked, False, 5)
     assert sum(checked) < 300
     order = sorted((-int(s), k) for k, s in enumerate(v @ v[5]) if k != 5)[:5]
