@@ -79,6 +79,12 @@ def translate(source: str, flags: str = "", to: Target = JVM) -> Compiled:
         elif c == "^":
             out.append(to.points(f"(?:(?<=[{LINE_END}])|\\A)") if "m" in flags else "\\A")
         elif c == "(":
+            one = _choice(source, i, unicode_mode, to)
+            if one:
+                piece, captured, i = one
+                groups += captured
+                out.append(piece)
+                continue
             depth += 1
             rest = source[i + 1 : i + 4]
             if rest[:1] != "?":
@@ -120,6 +126,51 @@ def translate(source: str, flags: str = "", to: Target = JVM) -> Compiled:
     return Compiled(mode + "".join(out), groups)
 
 
+def _choice(source: str, i: int, unicode_mode: bool, to: Target) -> tuple[str, int, int] | None:
+    """The group at i as one class, how many groups it captures, and where it ends; None unless all its alternatives are single characters.
+
+    At most one alternative of such a choice matches, and takes one character, so nothing changes but the time: choices are tried one after
+    another at each character. Alternatives that share characters, or go beyond ASCII, stay as they are written.
+    """
+    captured = int(source[i + 1 : i + 2] != "?")
+    if not captured and source[i + 1 : i + 3] != "?:":
+        return None
+    body, taken = "", set()
+    i += 1 if captured else 3
+    first = i
+    while i < len(source):
+        c = source[i]
+        if c == "[":
+            piece, i = _class(source, i, unicode_mode, to)
+            piece = piece[1:-1] if piece.startswith("[") else "^"
+        elif c == "\\":
+            if not re.match(r"[dw]|[^\sA-Za-z0-9]", source[i + 1 : i + 2]):
+                return None
+            piece, i = _escape(source, i, unicode_mode, True, to)
+        elif c in "^$.*+?()]{}|":
+            return None
+        else:
+            piece, i = ("\\" + c if c in "&~-" else c), i + 1
+        members = _members(piece)
+        if not members or members & taken:
+            return None
+        body, taken = body + piece, taken | members
+        if source[i : i + 1] == ")" and source.find("|", first, i) >= 0:
+            return ("([{}])" if captured else "[{}]").format(body), captured, i + 1
+        if source[i : i + 1] != "|":
+            return None
+        i += 1
+    return None
+
+
+def _members(body: str) -> set[int]:
+    """Characters of a class without negation, classes within it, escapes by letters, dashes at its ends or anything beyond ASCII; else none."""
+    if body.startswith(("^", "-")) or body.endswith("-") and not body.endswith("\\-") or not body.isascii() or re.search(r"\\[A-Za-z0-9]|(?<!\\)\[", body):
+        return set()
+    ends = re.findall(r"\\?(.)(?:-\\?(.))?", body, re.S)
+    return {n for low, high in ends for n in range(ord(low), ord(high or low) + 1)}
+
+
 def _escape(source: str, i: int, unicode_mode: bool, inside: bool, to: Target = JVM) -> tuple[str, int]:
     """The escape at i, and where it ends. Negated classes within a class stay as they are for _class to see."""
     if i + 1 >= len(source):

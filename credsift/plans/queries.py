@@ -57,9 +57,15 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def derived(spark: SparkSession, sf_dir: str, sql: str = CORPUS) -> DataFrame:
-    """Rows of SQL over customer; the table stands in the text by name, so no view is left behind."""
-    return spark.sql(sql.replace("{", "{{").replace("}", "}}").replace("from customer", "from {customer}"), customer=read(spark, sf_dir, "customer"))
+def derived(spark: SparkSession, sf_dir: str, sql: str = CORPUS, rows_a_task: int | None = None) -> DataFrame:
+    """Rows of SQL over customer; the table stands in the text by name, so no view is left behind.
+
+    rows_a_task deals the thin rows out before the SQL makes them long: files' sizes don't tell how much text comes of them.
+    """
+    customer = read(spark, sf_dir, "customer")
+    if rows_a_task:
+        customer = customer.repartition(max(spark.sparkContext.defaultParallelism, -(-customer.count() // rows_a_task)))
+    return spark.sql(sql.replace("{", "{{").replace("}", "}}").replace("from customer", "from {customer}"), customer=customer)
 
 
 def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -496,7 +502,7 @@ _LONG = f"select 'long/' || cast(c_custkey as varchar(20)) as path, 'mark:' || r
 @query(f"with {o.candidates(_LONG, (_DEEP,))} select path as file, line::int line, col::int \"column\", {o.fingerprint('secret')} fingerprint from cand")
 def scan_long_lines(spark, sf_dir):
     """A choice repeated over lines of up to 51,000 characters, at which matchers that recurse overflow their stack."""
-    return detect.candidates(derived(spark, sf_dir, _LONG).select("path", F.col("text").alias("content")), (_DEEP,)).select("file", "line", "column", "fingerprint")
+    return detect.candidates(derived(spark, sf_dir, _LONG, rows_a_task=4096).select("path", F.col("text").alias("content")), (_DEEP,)).select("file", "line", "column", "fingerprint")
 
 
 _DENSE_LINE = f"select 'dense/' || cast(c_custkey % 7 as varchar(20)) as path, string_agg('ghp_' || md5(c_name) || substr(md5(c_mktsegment), 1, 4), ' ' order by c_custkey) as text from customer group by c_custkey % 7"

@@ -4,16 +4,17 @@ import hashlib
 import io
 import json
 import random
+import re
 import time
 
 import pytest
 from pyspark.sql import functions as F
 
 from credsift.functions import text as fn
-from credsift.functions.dialect import PYTHON, UnsupportedPattern, translate
+from credsift.functions.dialect import JVM, PYTHON, Compiled, UnsupportedPattern, translate
 from credsift.operators import detect, matching
 from credsift.operators.registry import BUILTIN, Pattern
-from credsift.plans import report
+from credsift.plans import queries, report
 from credsift.plans.scan import scan
 from credsift.sources import files
 
@@ -167,3 +168,43 @@ def test_a_slow_file_does_not_hold_raw_values(spark):
     result = scan(spark, source=rows)
     assert "raw_value" not in result.outcomes.columns and KEY not in json.dumps([r.asDict() for r in result.outcomes.collect()])
     assert detect.candidates(rows).select("raw_value").first()[0] == KEY
+
+
+CHOICES = [
+    r"x(?:[0-9a-f]|[g-z])+;", r"(a|b)+\1", r"(?:[a-]|z)+", r"(?:[-a]|0)+", r"(?:0|[-a])+", r"(?:\d|_|[x-z])+", r"(?:[\]]|\[|\\)+", r"(?:\^|a)+", r"(?:&|~|-|a)+", r"(?:[+--]|\.)+", r"(?:[^a]|a)+", r"(?:a|b|)x", r"(?:a|bc)+", r"(?:a|[ab])+", r"(?:é|a)+",
+    r"(?:\||a)+", r"(?:\b|a)x", r"(?:\s|a)+", r"(?:[]|a)+", r"(?:[^]|a)x", r"(?:\.|a)+", r"(?:a+|b)x", r"(?:(?:a|b)|c)+", r"((?:a|b)|(c|x))+;", r"(?:a|b){2}?", r"(?=a|b).", r"(?:A|b)+",
+]
+
+
+def test_choices_of_characters_are_classes():
+    """In both dialects, with the same matches, places and groups as the choice has."""
+    rng = random.Random(5)
+    texts = ["".join(rng.choice("abcxzgA019_-+,.&~^[]|;\\ é") for _ in range(40)) for _ in range(300)]
+    for source in CHOICES:
+        plain = re.compile(source.replace("[^]", "(?s:.)").replace("[]", "(?!)"), re.ASCII)
+        found, groups = matching.compiled(source)
+        assert groups == plain.groups, source
+        for t in texts:
+            # what several alternatives of a group left behind is not compared, nor is it part of a whole match
+            assert [m.span() for m in found.finditer(t)] == [m.span() for m in plain.finditer(t)], (source, t)
+    assert [translate(r"mark:((?:[0-9a-f]|[g-z])+);", "", d).regex for d in (PYTHON, JVM)] == ["mark:([0-9a-fg-z]+);"] * 2
+    assert translate("(a|b)(?<n>c)", "", PYTHON) == Compiled("([ab])(?<n>c)", 2)
+
+
+def test_choices_take_the_time_of_classes():
+    line = b"mark:" + b"0g" * 500_000 + b";"
+
+    def took(source):
+        found, times = matching.Matcher((pattern(source),)), []
+        for _ in range(3):
+            start = time.perf_counter()
+            [candidate], _ = found.candidates(line)
+            times.append(time.perf_counter() - start)
+        assert len(candidate["raw_value"]) == 1_000_000
+        return min(times)
+
+    assert took("mark:((?:[0-9a-f]|[g-z])+);") < 4 * took("mark:([0-9a-z]+);")
+
+
+def test_long_lines_are_dealt_before_they_are_made(spark, sf):
+    assert queries.QUERIES["scan_long_lines"](spark, sf).rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
