@@ -1,3 +1,6 @@
+import time
+import warnings
+
 import numpy as np
 
 from credsift.llm import language_id as lid
@@ -82,3 +85,53 @@ def test_every_language_is_learned(spark):
     assert set(network.languages) == learned and len(learned) > 1400
     lang, score = network.predict(["some words", None, "x" * 3000])
     assert lang[1] == lid.UNKNOWN and all(0 <= s <= 1 for s in score)
+
+
+def stepped(net, seq, lengths):
+    """Probabilities of all positions of each lane, by step alone, one lane at a time."""
+    out = np.zeros((len(seq), len(net.languages), seq.shape[1]))
+    for j, n in enumerate(lengths):
+        lane = seq[:n, j : j + 1]
+        for d, places in ((0, range(n)), (1, range(n - 1, -1, -1))):
+            state = np.zeros((net.units, 1), np.float32)
+            for t in places:
+                state = net.step(d, lane[t], state)
+                out[t, :, j] += (net.p[f"o{d}"] @ state)[:, 0]
+    return lid.softmax(out + net.p["b"], 1)
+
+
+def test_positions_asked_for_equal_single_steps():
+    rng = np.random.default_rng(4)
+    lengths = np.array([60, 60, 41, 40, 7, 1])
+    seq = rng.integers(0, 256, (60, 6))
+    for scale in (1, 3, 400):  # the last one saturates all gates
+        net = lid.Network(["aa", "bb", "cc"], units=5, seed=6)
+        net.p = {k: v * np.float32(scale) if k[0] in "xu" else v for k, v in net.p.items()}
+        want = stepped(net, seq, lengths)
+        for first, last in ((0, 60), (0, None), (8, 60), (0, 33), (32, 48), (59, 60)):
+            with warnings.catch_warnings():
+                warnings.simplefilter("error")
+                got = net.position_probs(seq, lengths, first, last)
+            inside = np.arange(first, last or 60)[:, None] < lengths
+            assert np.abs((got - want[first:last]) * inside[:, None, :]).max() < 2e-5, (scale, first, last)
+
+
+def test_prediction_takes_less_time_than_steps():
+    net = lid.Network(["aa", "bb", "cc", "dd"])
+    seq = np.random.default_rng(8).integers(97, 123, (128, 1024))
+
+    def steps():
+        for d in (0, 1):
+            state = np.zeros((net.units, 1024), np.float32)
+            for t in range(128):
+                state = net.step(d, seq[t], state)
+
+    def took(f):
+        times = []
+        for _ in range(5):
+            start = time.perf_counter()
+            f()
+            times.append(time.perf_counter() - start)
+        return min(times)
+
+    assert took(lambda: net.position_probs(seq, np.full(1024, 128))) < 0.85 * took(steps)
